@@ -4,11 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from . import bm25, bpe, chat, lm, secrets, sketch, toxicity, warc
+from .common import read, shared_path
 from .jaccard import link_components
 
+#: The vocabulary of op9; a parameter, not a file of this repository.
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, from a lexicon learned outside the held-out third."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of all documents and of their edited texts."""
+    return sketch.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents, through a new ledger in the shared folder."""
+    return secrets.scan(read(spark, sf_dir, "documents"), shared_path(spark, "blob-ledger"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under the interpolated model of the training documents."""
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered, masked turns of the pairs of conversations 2k and 2k + 1."""
+    conversations = read(spark, sf_dir, "conversations")
+    return chat.preference_segments(conversations, chat.neighbour_pairs(conversations))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return bm25.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives in the shared folder and read back."""
+    return warc.round_trip(read(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of all documents, encoded and decoded."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), RANK_FILE)
+
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 3-word shingle Jaccard of 0.9 or more, as one component id per document."""
@@ -16,7 +63,46 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_warc": op8_warc,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_formatting": """
+WITH t AS (
+  SELECT conv_id, turn, min({'role': role, 'text': text}) AS said FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), s AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, said FROM t),
+met AS (
+  SELECT pair_id, turn, max(said) FILTER (side = 0) AS a, max(said) FILTER (side = 1) AS b FROM s GROUP BY pair_id, turn
+), split AS (SELECT pair_id, min(turn) AS cut FROM met WHERE a IS DISTINCT FROM b GROUP BY pair_id),
+parts AS (
+  SELECT pair_id, turn, 'prompt' AS part, a AS said FROM met LEFT JOIN split USING (pair_id) WHERE cut IS NULL OR turn < cut
+  UNION ALL SELECT pair_id, turn, 'chosen', a FROM met JOIN split USING (pair_id) WHERE turn >= cut AND a IS NOT NULL
+  UNION ALL SELECT pair_id, turn, 'rejected', b FROM met JOIN split USING (pair_id) WHERE turn >= cut AND b IS NOT NULL
+), r AS (SELECT pair_id, part, turn, coalesce(said.role, 'unknown') AS role, coalesce(said.text, '') AS body FROM parts)
+SELECT pair_id, part, turn, role,
+  '<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10) AS rendered,
+  CAST(length(role) + 5 AS BIGINT) AS text_from,
+  CAST(length(role) + 5 + length(body) + 9 AS BIGINT) AS text_to,
+  CAST(part <> 'prompt' AND role = 'assistant' AS INTEGER) AS loss
+FROM r
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, payload, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+bits AS (SELECT *, list_reduce(list_transform(range(40), lambda i: lpad(bin(strpos('123456789abcdef', substr(h, i + 1, 1))), 4, '0')), lambda a, b: a || b) AS b FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_reduce(list_transform(range(5), lambda j: CAST(substr(b, i * 5 + j + 1, 1) AS INTEGER)), lambda x, y: x * 2 + y) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits
+""",
+}
