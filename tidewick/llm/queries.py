@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, bpe, chat, lm, secrets, sketch, toxicity, warc
+from . import bm25, bpe, chat, lm, repeats, secrets, sketch, toxicity, warc
 from .common import read, shared_path
 from .jaccard import link_components
 
@@ -47,6 +47,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return bm25.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that no 400-byte string covers which starts twice in the corpus."""
+    return repeats.drop_repeats(read(spark, sf_dir, "documents"), length=400)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives in the shared folder and read back."""
     return warc.round_trip(read(spark, sf_dir, "pages"), shared_path(spark, "warc"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
