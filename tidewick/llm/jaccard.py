@@ -87,67 +87,61 @@ def _limits(ranges: int) -> np.ndarray:
     return np.array([min(((1 << 64) * r) // ranges, (1 << 64) - 1) for r in range(ranges + 1)], dtype=np.uint64)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash range, the shingles in two or more classes, given back by class with their class counts."""
-    schema = pa.schema([("digest", pa.int64()), ("keys", pa.binary()), ("df", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
-    for r, table in runs_of(batches, "r"):
-        if r == -1:
-            for ids, dg, n, known in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "digests", "keys", "owner")), strict=True):
-                ids, known = unpack(ids), unpack(known)
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(dg).view(np.int64)), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array(ids, mask=known == 0), pa.array(unpack(n).astype(np.int64))], schema=schema)
-            continue
-        names = [unpack(x) for x in table.column("digests").to_pylist()]
-        keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
-        owner = np.concatenate([d[unpack(x)] for d, x in zip(names, table.column("owner").to_pylist(), strict=True)])
-        order = np.argsort(keys)
-        keys, owner = keys[order], owner[order]
-        same = keys[1:] == keys[:-1]
-        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, owner = keys[more], owner[more]  # alone in the corpus: out
-        if not len(keys):
-            continue
-        order = np.lexsort((owner, keys))
-        keys, owner = keys[order], owner[order]
-        one = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
-        keys, owner = keys[one], owner[one]
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        df = np.diff(np.concatenate((start, [len(keys)])))
-        df = np.repeat(df, df)
-        keys, owner, df = keys[df > 1], owner[df > 1], df[df > 1].astype(np.uint32)
-        if not len(keys):
-            continue
-        order = np.argsort(owner, kind="stable")
-        keys, owner, df = keys[order], owner[order], df[order]
-        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        ends = [*start[1:], len(owner)]
-        out = [(int(owner[a : a + 1].view(np.int64)[0]), pack(keys[a:b]), pack(df[a:b])) for a, b in zip(start, ends, strict=True)]
-        for at in range(0, len(out), 5000):
-            part = list(zip(*out[at : at + 5000], strict=True))
-            m = len(part[0])
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
+def _merge(ranges: int):
+    """Of each hash range, the shingles in two or more classes, packed by buckets of classes with their class counts."""
+    schema = pa.schema([("bucket", pa.int32()), ("owner", pa.binary()), ("keys", pa.binary()), ("df", pa.binary()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, table in runs_of(batches, "r"):
+            if r == -1:
+                for ids, dg, n, known in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "digests", "keys", "owner")), strict=True):
+                    ids, known = unpack(ids), unpack(known)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), *(pa.nulls(len(ids), pa.binary()) for _ in range(3)), pa.array(unpack(dg).view(np.int64)), pa.array(ids, mask=known == 0), pa.array(unpack(n).astype(np.int64))], schema=schema)
+                continue
+            names = [unpack(x) for x in table.column("digests").to_pylist()]
+            keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
+            owner = np.concatenate([d[unpack(x)] for d, x in zip(names, table.column("owner").to_pylist(), strict=True)])
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            same = keys[1:] == keys[:-1]
+            more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            keys, owner = keys[more], owner[more]  # alone in the corpus: out
+            if not len(keys):
+                continue
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            one = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
+            keys, owner = keys[one], owner[one]
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            df = np.diff(np.concatenate((start, [len(keys)])))
+            df = np.repeat(df, df)
+            keys, owner, df = keys[df > 1], owner[df > 1], df[df > 1].astype(np.uint32)
+            if not len(keys):
+                continue
+            bucket = (owner % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((owner, bucket))
+            keys, owner, df, bucket = keys[order], owner[order], df[order], bucket[order]
+            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            out = [(int(bucket[a]), pack(owner[a:b]), pack(keys[a:b]), pack(df[a:b])) for a, b in zip(start, [*start[1:], len(keys)], strict=True)]
+            m = len(out)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=schema)
+
+    return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All shared shingles of a class, in the order (class count, hash)."""
+    """All shared shingles of each class of a bucket, in the order (class count, hash)."""
     schema = pa.schema([("digest", pa.int64()), ("keys", pa.list_(pa.int64())), ("df", pa.list_(pa.int32()))])
-    held: list[tuple] = []
-    size = 0
-    for digest, table in runs_of(batches, "digest"):
-        keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
-        df = np.concatenate([unpack(x) for x in table.column("df").to_pylist()])
-        order = np.lexsort((keys, df))
-        held.append((digest, keys[order].view(np.int64), df[order].astype(np.int32)))
-        size += len(keys)
-        if size > 1 << 19:
-            yield _lists(held, schema)
-            held, size = [], 0
-    if held:
-        yield _lists(held, schema)
-
-
-def _lists(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    off = np.concatenate(([0], np.cumsum([len(x[1]) for x in rows]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([x[i] for x in rows]))) for i in (1, 2))], schema=schema)
+    for _, table in runs_of(batches, "bucket"):
+        owner, keys, df = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("owner", "keys", "df"))
+        order = np.lexsort((keys, df, owner))
+        owner, keys, df = owner[order].view(np.int64), keys[order].view(np.int64), df[order].astype(np.int32)
+        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        for at in range(0, len(start), 2000):
+            cuts = np.append(start[at : at + 2000], start[at + 2000] if at + 2000 < len(start) else len(owner))
+            a, b = cuts[0], cuts[-1]
+            off = pa.array((cuts - a).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]]), pa.ListArray.from_arrays(off, pa.array(keys[a:b])), pa.ListArray.from_arrays(off, pa.array(df[a:b]))], schema=schema)
 
 
 def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 100, max_match: int = 3, verify_cost: float = 4.0, small_list: int = 32, max_rounds: int = 8) -> DataFrame:
@@ -164,10 +158,10 @@ def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 10
     ranges = ranges_for(docs)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(k, ranges), _OUT)
     spread = F.when(F.col("r") < 0, F.xxhash64("digests") % ranges).otherwise(F.col("r"))
-    merged = cut(packed.repartition(ranges, spread).sortWithinPartitions("r").mapInArrow(_merge, "digest long, keys binary, df binary, doc_id long, n long"), "shared-shingles")
+    merged = cut(packed.repartition(ranges, spread).sortWithinPartitions("r").mapInArrow(_merge(ranges), "bucket int, owner binary, keys binary, df binary, digest long, doc_id long, n long"), "shared-shingles")
     rows = merged.where("keys is null").select("doc_id", "digest", "n")
     classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
-    sets = merged.where("keys is not null").select("digest", "keys", "df").repartition(ranges, "digest").sortWithinPartitions("digest").mapInArrow(_gather, "digest long, keys array<long>, df array<int>")
+    sets = merged.where("keys is not null").select("bucket", "owner", "keys", "df").repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "digest long, keys array<long>, df array<int>")
     # A class can only link if as many shingles are shared as the least possible partner needs.
     sets = cut(sets.join(classes.select("digest", "n"), "digest").where(F.size("keys") * den >= F.col("n") * num), "shingle-sets")
     links = _links(sets, num, den, max_match, verify_cost, small_list, max_rounds)
@@ -179,6 +173,17 @@ def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 10
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stand for their component: the smallest doc_id of each, once, with all columns.
+
+    Rows without a doc_id can't be named by a component and stay. Rows that repeat a kept id and text count as one.
+    """
+    found = link_components(docs, k=k, num=num, den=den)
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def _links(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: float, small_list: int, max_rounds: int) -> DataFrame:
     theta = num / (num + den)
     eps = 1e-6
