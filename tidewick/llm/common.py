@@ -7,6 +7,7 @@ finished with an avalanche mix. Nothing here loops over words in Python.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -228,26 +229,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors."""
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, and survives lost executors.
+
+    With `by`, each value of that column has a folder of its own, see drop_cut().
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     back._shared_path = path  # type: ignore[attr-defined]
     return back
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Removes a table written by cut() that nothing reads any more."""
+def drop_cut(df: DataFrame, part: str = "") -> None:
+    """Removes a table written by cut(), or one part "column=value" of it, that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
+        path = f"{path}/{part}" if part else path
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of stages that nothing refers to any more, which otherwise wait for the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Texts are long: fewer rows in an Arrow batch keep Python workers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
