@@ -28,7 +28,7 @@ RESULT = "doc_id long, item_id long, score double, question_overlap double, answ
 @dataclass(frozen=True)
 class Bm25Params:
     """threshold: share of an item's own score; essential: share of its weight in essential terms, at least 1 - threshold;
-    overlap: share of the 3-word shingles of question and of answer that must be in the passage; shard_bytes bounds a broadcast index."""
+    overlap: share of the shingles of question and of answer, see _overlap(), that must be in the passage; shard_bytes bounds a broadcast index."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -179,34 +179,39 @@ def split_item(words: list[bytes], text: bytes, share: float) -> tuple[int, int]
 
 
 def _overlap(part: np.ndarray, passage: np.ndarray) -> float:
-    """Share of a word sequence's shingles (3 words, fewer if it is shorter) that are in a passage; 1 for no words."""
+    """Share of a word sequence's 3-word shingles, of its words if it has fewer than 8, that are in a passage; 1 for no words."""
     if not len(part):
         return 1.0
-    k = min(3, len(part))
+    k = 3 if len(part) >= 8 else 1
     own, there = (np.unique(shingle_hashes(x, np.array([0, len(x)]), k)[0]) for x in (part, passage))
     return float(np.isin(own, there).mean())
 
 
-def _search(index: BlockMaxIndex, ids: list[int], words: list[np.ndarray], cuts: list[int], stride: int):
+def _held(index: BlockMaxIndex, words: list[np.ndarray], cuts: list[int], stride: int, texts: list[bytes]) -> dict[tuple[int, int], tuple]:
+    """(score, question overlap, answer overlap) by (text, item) that a passage holds."""
     p = index.params
+    hashes, off = word_hashes(texts)
+    terms = index.terms_of(hashes)
+    best: dict[tuple[int, int], tuple] = {}
+    for i, c in index.windows(terms, off, stride).tolist():
+        a, b = off[i] + c * stride, min(off[i + 1], off[i] + (c + 2) * stride)
+        here = terms[a:b]
+        for item, score in index.search(np.unique(here[here >= 0]).tolist(), p.threshold):
+            # An item at the window's edge may go on beyond it.
+            passage = hashes[max(off[i], a - stride) : min(off[i + 1], b + stride)]
+            q, r = _overlap(words[item][: cuts[item]], passage), _overlap(words[item][cuts[item] :], passage)
+            if q >= p.overlap and r >= p.overlap:
+                best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, q, r))
+    return best
+
+
+def _search(index: BlockMaxIndex, ids: list[int], words: list[np.ndarray], cuts: list[int], stride: int):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
-            hashes, off = word_hashes(texts)
-            terms = index.terms_of(hashes)
             doc_ids = batch.column(0).to_pylist()
-            best: dict[tuple[int, int], tuple] = {}
-            for i, c in index.windows(terms, off, stride).tolist():
-                a, b = off[i] + c * stride, min(off[i + 1], off[i] + (c + 2) * stride)
-                here = terms[a:b]
-                for item, score in index.search(np.unique(here[here >= 0]).tolist(), p.threshold):
-                    # An item at the window's edge may go on beyond it.
-                    passage = hashes[max(off[i], a - stride) : min(off[i + 1], b + stride)]
-                    q, r = _overlap(words[item][: cuts[item]], passage), _overlap(words[item][cuts[item] :], passage)
-                    if q >= p.overlap and r >= p.overlap:
-                        best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, q, r))
-            rows = [(doc_ids[i], ids[item], *v) for (i, item), v in sorted(best.items())]
+            rows = [(doc_ids[i], ids[item], *v) for (i, item), v in sorted(_held(index, words, cuts, stride, texts).items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -226,6 +231,32 @@ def leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params())
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for shard in _shards(items, params):
+        found = rows.mapInArrow(_search(*shard), RESULT)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], RESULT)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns: a pass for each shard of items."""
+    for index, ids, words, cuts, stride in _shards(items, params):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index, words=words, cuts=cuts, stride=stride) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "text"])
+                clean, at = np.ones(batch.num_rows, dtype=bool), 0
+                for part, texts in steps(iter([column])):
+                    clean[[at + i for i, _ in _held(index, words, cuts, stride, texts)]] = False
+                    at += part.num_rows
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _shards(items: DataFrame, params: Bm25Params) -> list[tuple]:
+    """Index, item ids, word hashes, ends of questions and stride of each shard of the items."""
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and trim(text) <> ''").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // params.shard_bytes))
@@ -244,12 +275,11 @@ def leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params())
     terms = np.array(sorted(stats), dtype=np.uint64)
     df = np.array([stats[t] for t in terms.tolist()], dtype=np.float64)
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    out = None
+    out = []
     for part, words in parts:
         if not part:
             continue
         index = BlockMaxIndex(words, terms, idf, length / count, params)
         cuts = [split_item(t.encode().split(), t.encode(), params.answer_share)[0] for _, t in part]
-        found = rows.mapInArrow(_search(index, [i for i, _ in part], words, cuts, max(params.least_stride, longest)), RESULT)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+        out.append((index, [i for i, _ in part], words, cuts, max(params.least_stride, longest)))
+    return out

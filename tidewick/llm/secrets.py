@@ -98,34 +98,39 @@ def scan(docs: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "blob").join(found, "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, path: str, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of text replaced by a mark (overlapping spans as one) and n_chars, if there, renewed.
 
-    Null texts stay null; all columns stay.
+    Findings come from the ledger at path, which a scan of docs extends first. Null texts stay null; all columns stay.
     """
-
-    def one(text: str, raw: bytes) -> str:
-        spans = find_spans(text, raw)
-        if not spans:
-            return text
-        out, at, end = [], 0, -1
-        for a, b, _ in spans:
-            if a >= end:
-                if end >= 0:
-                    out.append(mark)
-                    at = end
-                out.append(text[at:a])
-            end = max(end, b)
-        return "".join([*out, mark, text[end:]])
+    scan(docs, path)
+    found = ledger(docs.sparkSession, path).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    names = docs.columns
+    rows = docs.withColumn("__blob", F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))).join(found, "__blob", "left").select(*names, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("text")
-            there = batch.column(i).is_valid().to_pylist()
-            texts = [one(r.decode(), r) if ok else None for r, ok in zip(text_bytes(batch.column(i)), there, strict=True)]
-            columns = list(batch.columns)
-            columns[i] = pa.array(texts, batch.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+            i, n = batch.schema.get_field_index("text"), batch.num_columns - 1
+            if batch.column(n).null_count < batch.num_rows:
+                texts = [t if not spans else _masked(t, spans, mark) for t, spans in zip(batch.column(i).to_pylist(), batch.column(n).to_pylist(), strict=True)]
+                columns = [pa.array(texts, batch.schema.field(i).type) if k == i else c for k, c in enumerate(batch.columns[:n])]
+            else:
+                columns = batch.columns[:n]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+def _masked(text: str, spelled: str, mark: str) -> str:
+    out, at, end = [], 0, -1
+    for s in spelled.split(","):
+        _, a, b = s.split(":")
+        a, b = int(a), int(b)
+        if a >= end:
+            if end >= 0:
+                out.append(mark)
+                at = end
+            out.append(text[at:a])
+        end = max(end, b)
+    return "".join([*out, mark, text[end:]])

@@ -307,3 +307,15 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, hits long, quoted long")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            texts = text_bytes(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array([scorer(t.decode())[0] < lexicon.params.threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
