@@ -498,7 +498,7 @@ def hazards_smoothed(spark, sf_dir):
 nc AS (SELECT ag.date AS date, ag.state AS state, ag.age AS age, 1 - coalesce(hs.hazard, 0.05) AS stay FROM ag LEFT JOIN tt ON tt.state = ag.state LEFT JOIN hs ON hs.state = ag.state AND hs.age = least(ag.age, top))
 SELECT date, nc.state AS state, age, to_state, round(CASE WHEN nc.state = to_state THEN stay ELSE (1 - stay) * prob / mass END, 8) AS prob FROM nc JOIN tr ON tr.from_state = nc.state JOIN tm ON tm.from_state = nc.state""")
 def nowcast(spark, sf_dir):
-    s = daily_state(spark, sf_dir)
+    s = daily_state(spark, sf_dir).persist()  # a row a day, read four times
     return rounded(regimes.nowcast(s, regimes.transitions(s), regimes.smooth(regimes.hazards(s))), 8, "prob")
 
 
