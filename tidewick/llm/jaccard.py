@@ -8,7 +8,8 @@
    more postings but fewer verifications; frequencies of its tokens give the estimate. Classes x
    and y are candidates if they share min(l_x, l_y) prefix tokens.
 4. A posting list of up to `small_list` classes gives its pairs. A longer one gives only edges to
-   a pivot p, the class with fewest rarer tokens. For a pair of classes x, y of such a list,
+   a pivot p, the class with fewest unshared tokens, which is mostly the same one in all lists of a
+   family. For a pair of classes x, y of such a list,
        |x & y| = |p| - |p-x| - |p-y| + s,   s = tokens in which both differ from p,
    so a class that isn't linked with p can only link with classes that share enough of its
    differences: these differences are indexed by prefix in turn, with a list for each, until
@@ -197,10 +198,10 @@ def _links(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: flo
         choice = F.when(weight[m - 1] == best, F.lit(m)).otherwise(choice)
     chosen = base.withColumn("l", choice).where(F.col("u") < F.col("p") + F.col("l") - 1)
     tokens = F.slice("keys", 1, F.least(F.size("keys"), F.col("p") + F.col("l") - 1 - F.col("u")))
-    lists = chosen.select(F.posexplode(tokens).alias("i", "token"), F.col("digest").alias("x"), "n", "u", "l").select(F.xxhash64("token").alias("list"), "x", "n", F.col("l").cast("int").alias("need"), (F.col("i") + F.col("u")).cast("int").alias("at"), F.lit(True).alias("probe"), F.lit(True).alias("index"))
+    lists = chosen.select(F.posexplode(tokens).alias("i", "token"), F.col("digest").alias("x"), "n", "u", "l").select(F.xxhash64("token").alias("list"), "x", "n", F.col("l").cast("int").alias("need"), (F.col("i") + F.col("u")).cast("int").alias("at"), F.col("u"), F.lit(True).alias("probe"), F.lit(True).alias("index"))
     known: DataFrame | None = None
     for level in range(max_rounds + 1):
-        stats = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("at", "n", "x")).alias("pivot")).where("c > 1")
+        stats = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "x")).alias("pivot")).where("c > 1")
         held = cut(lists.join(stats, "list").select("list", "x", "n", "need", "at", "probe", "index", "c", F.col("pivot.x").alias("p")), f"lists-{level}")
         small = held if level == max_rounds else held.where(F.col("c") <= small_list)
         a, b = small.alias("a"), small.alias("b")
@@ -246,4 +247,4 @@ def _differences(star: DataFrame, theta: float, eps: float) -> DataFrame:
     keep = F.slice(tokens, 1, F.greatest(F.lit(0), F.least(F.size(tokens), F.greatest("probe_at", "index_at") - F.col("alone") + 1)))
     e = d.select("x", "y", "nx", "alone", "probe_at", "index_at", "size", F.posexplode(keep).alias("i", "token"))
     at = F.col("alone") + F.col("i")
-    return e.select(F.xxhash64("y", "token").alias("list"), "x", F.col("nx").alias("n"), F.lit(1).alias("need"), F.col("size").alias("at"), (at <= F.col("probe_at")).alias("probe"), (at <= F.col("index_at")).alias("index")).where("probe or index")
+    return e.select(F.xxhash64("y", "token").alias("list"), "x", F.col("nx").alias("n"), F.lit(1).alias("need"), F.col("size").alias("at"), F.col("alone").alias("u"), (at <= F.col("probe_at")).alias("probe"), (at <= F.col("index_at")).alias("index")).where("probe or index")
