@@ -9,7 +9,8 @@ nondeterministic automaton that accepts every word within the allowed distance o
 determinised as words are read, and its transitions are kept, so a word costs a look-up per
 letter until its state set is empty.
 
-Scoring: each hit has the precision that its entry, or its kind of near miss, shows in training;
+Scoring: each hit has the precision that its entry, or its kind of near miss, shows in training; near
+misses, which harmless neighbours of an entry make too, count once a text by the strongest;
 a window around the hit tells quotation (inside quote marks, after reporting words) from abuse.
 """
 
@@ -172,10 +173,11 @@ class Scorer:
         self.params = lexicon.params
         self.clean: set[str] = set()
         self.found: dict[str, float] = {}
+        self.exact: set[str] = set()
 
     def __call__(self, text: str) -> tuple[float, int, int]:
         """(score, hits, quoted hits) of a whole text."""
-        rest, hits, quoted = 1.0 - self.params.prior, 0, 0
+        rest, hits, quoted, near = 1.0 - self.params.prior, 0, 0, 0.0
         for piece in pieces(text):
             low = piece.lower()
             words = set(TOKEN.findall(low))
@@ -188,6 +190,8 @@ class Scorer:
                 if weight is None:
                     m = self.match(w)
                     weight = m[0] if m else 0.0
+                    if m and m[2] == 0:
+                        self.exact.add(w)
                     if weight < 0.02:
                         self.clean.add(w)
                         continue
@@ -204,8 +208,11 @@ class Scorer:
                 if self.is_quoted(low, a, b):
                     quoted += 1
                     weight *= self.params.quoted
-                rest *= 1.0 - weight
-        return 1.0 - rest, hits, quoted
+                if m[0] in self.exact:
+                    rest *= 1.0 - weight
+                else:
+                    near = max(near, weight)
+        return 1.0 - rest * (1.0 - near), hits, quoted
 
     def is_quoted(self, low: str, a: int, b: int) -> bool:
         n = self.params.window
