@@ -146,6 +146,23 @@ def test_toxicity_by_held_out_labels(spark):
     assert toxicity.score(frame(spark, []), lexicon).count() == 0
 
 
+def test_misspelled_insults_add_up(spark):
+    rng = random.Random(9)
+    bad, near = ["grunlok", "vexatio", "mublern", "pradost"], ["runlok", "vexati"]  # harmless neighbours
+    typos = ["grunlog", "mublerm", "pradosst", "vexxatio"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.randrange(40)}x" for _ in range(40)]
+        for _ in range(3):
+            words[rng.randrange(40)] = rng.choice(near if i % 4 else bad * 5 + typos)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = ["you grunlokk so vexatiio a mublrn and pradoost", "one grunlokk only", "a grunlokk is a grunlokk is a grunlokk is a grunlokk", "runlok and vexati, vexati and runlok"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), SCHEMA), lexicon).collect()
+    assert [r["predicted"] for r in sorted(got)] == [1, 0, 0, 0]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -9,9 +9,10 @@ nondeterministic automaton that accepts every word within the allowed distance o
 determinised as words are read, and its transitions are kept, so a word costs a look-up per
 letter until its state set is empty.
 
-Scoring: each hit has the precision that its entry, or its kind of near miss, shows in training; near
-misses, which harmless neighbours of an entry make too, count once a text by the strongest;
-a window around the hit tells quotation (inside quote marks, after reporting words) from abuse.
+Scoring: each hit has the precision that its entry shows in training. A near miss has that of its own
+form, smoothed by all near misses of its entry, and these by all of their kind, so harmless neighbours
+of an entry weigh little. Different near misses add up; one that repeats counts once a text, by its
+strongest hit. A window around the hit tells quotation (inside quote marks, after reporting words) from abuse.
 """
 
 from __future__ import annotations
@@ -39,7 +40,11 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_rows bounds the labelled rows that the lexicon is learned from; everything else covers all rows."""
+    """max_rows bounds the labelled rows that the lexicon is learned from; everything else covers all rows.
+
+    near_entry forms and near_form contexts are what the smoothing of near misses counts as; near_most is its highest weight, so
+    one alone makes no text toxic. The three were set on a third of the training rows.
+    """
 
     max_rows: int = 12_000
     min_contexts: int = 5
@@ -53,15 +58,20 @@ class ToxicityParams:
     quoted: float = 0.25
     prior: float = 0.01
     threshold: float = 0.7
+    near_entry: float = 2.0
+    near_form: float = 2.0
+    near_most: float = 0.5
 
 
 @dataclass
 class Lexicon:
-    """Entries (text, is a stem, weight) and the weight of near misses by (is a stem, edits)."""
+    """Entries (text, is a stem, weight) and the weight of near misses by (is a stem, edits), by (entry, edits) and by form, the most special first."""
 
     entries: list[tuple[str, bool, float]]
     near: dict[tuple[bool, int], float] = field(default_factory=dict)
     params: ToxicityParams = field(default_factory=ToxicityParams)
+    near_entries: dict[tuple[int, int], float] = field(default_factory=dict)
+    near_forms: dict[str, float] = field(default_factory=dict)
 
 
 class Matcher:
@@ -74,6 +84,8 @@ class Matcher:
         self.budget: list[int] = [0]
         self.entries = lexicon.entries
         self.near = lexicon.near
+        self.near_entries = lexicon.near_entries
+        self.near_forms = lexicon.near_forms
         for k, (text, stem, _) in enumerate(lexicon.entries):
             edits = (2 if len(text) >= p.fuzzy2_from else 1 if len(text) >= p.fuzzy_from else 0) - stem
             node = 0
@@ -131,27 +143,34 @@ class Matcher:
         self.moves[state][c] = to = self._state(out)
         return to
 
-    def __call__(self, word: str) -> tuple[float, int, int] | None:
-        """(weight, entry, edits) of the best entry within its distance; None if there is none."""
-        state, moves = self.start, self.moves
+    def within(self, word: str) -> dict[int, int]:
+        """Edits by entry, of all entries within their distance."""
+        state, moves, out = self.start, self.moves, {}
         for c in word:
             to = moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state == self.dead:
-                return None
-        best = None
+                return out
         for node, e in self.sets[state]:
             k = -1 - node if node < 0 else self.ends[node]
-            if k < 0 or e > self.limit[k]:
-                continue
-            weight = self.entries[k][2] if e == 0 else min(self.entries[k][2], self.near.get((self.entries[k][1], e), 0.0))
-            if best is None or (weight, -e, -k) > (best[0], -best[2], -best[1]):
-                best = (weight, k, e)
+            if k >= 0 and e <= min(self.limit[k], out.get(k, 99)):
+                out[k] = e
         if len(self.sets) > 200_000:  # keeps memory bounded
             self.ids.clear()
             self.sets.clear()
             self.moves.clear()
             self.start, self.dead = self._state({(0, 0)}), self._state(set())
+        return out
+
+    def __call__(self, word: str) -> tuple[float, int, int] | None:
+        """(weight, entry, edits) of the best entry within its distance; None if there is none."""
+        best, form = None, self.near_forms.get(word)
+        for k, e in self.within(word).items():
+            _, stem, weight = self.entries[k]
+            if e:
+                weight = min(weight, self.near_entries.get((k, e), self.near.get((stem, e), 0.0)) if form is None else form)
+            if best is None or (weight, -e, -k) > (best[0], -best[2], -best[1]):
+                best = (weight, k, e)
         return best
 
 
@@ -177,7 +196,8 @@ class Scorer:
 
     def __call__(self, text: str) -> tuple[float, int, int]:
         """(score, hits, quoted hits) of a whole text."""
-        rest, hits, quoted, near = 1.0 - self.params.prior, 0, 0, 0.0
+        rest, hits, quoted = 1.0 - self.params.prior, 0, 0
+        near: dict[str, float] = {}
         for piece in pieces(text):
             low = piece.lower()
             words = set(TOKEN.findall(low))
@@ -211,8 +231,8 @@ class Scorer:
                 if m[0] in self.exact:
                     rest *= 1.0 - weight
                 else:
-                    near = max(near, weight)
-        return 1.0 - rest * (1.0 - near), hits, quoted
+                    near[m[0]] = max(near.get(m[0], 0.0), weight)
+        return 1.0 - rest * math.prod(1.0 - w for w in near.values()), hits, quoted
 
     def is_quoted(self, low: str, a: int, b: int) -> bool:
         n = self.params.window
@@ -272,30 +292,42 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
                 short.append((r["word"], True, weight(r["bad"], r["good"])))
         plain = {r["word"]: weight(r["bad"], r["good"]) for r in found if not r["stem"]} | {w: weight(*seeds[w]) if w in seeds else 0.8 for w in SEED}
         lexicon = Lexicon([*short, *((w, False, x) for w, x in sorted(plain.items()) if not any(w.startswith(s) for s, _, _ in short))], {}, params)
-        lexicon.near = _near_weights(words, lexicon)
-        return lexicon
+        return _with_near_weights(words, lexicon)
     finally:
         words.unpersist()
 
 
-def _near_weights(words: DataFrame, lexicon: Lexicon) -> dict[tuple[bool, int], float]:
-    """Precision of near misses of words and stems by edits, over the training words."""
-    trial = Lexicon(lexicon.entries, {(s, e): 1.0 for s in (False, True) for e in (1, 2)}, lexicon.params)
+def near_weights(lexicon: Lexicon, found: list[tuple[str, int, int, int, int]]) -> Lexicon:
+    """The lexicon with near misses weighted by found: (form, entry, edits, bad, good contexts), each form at each entry that it misses."""
+    p, kinds, entries = lexicon.params, {}, {}
+    # A form counts once for its entries and kind, however frequent: a frequent harmless one says little of others.
+    for form, k, e, b, g in found:
+        kinds.setdefault((lexicon.entries[k][1], e), {})[form] = b / (b + g)
+        entries.setdefault((k, e), []).append(b / (b + g))
+    near = {kind: (sum(x.values()) + 0.5) / (len(x) + 1) for kind, x in kinds.items()}
+    by_entry = {(k, e): (sum(x) + p.near_entry * near[lexicon.entries[k][1], e]) / (len(x) + p.near_entry) for (k, e), x in entries.items()}
+    forms: dict[str, float] = {}
+    for form, k, e, b, g in found:
+        forms[form] = max(forms.get(form, 0.0), (b + p.near_form * by_entry[k, e]) / (b + g + p.near_form))
+    near, by_entry, forms = ({x: min(w, p.near_most) for x, w in weights.items()} for weights in (near, by_entry, forms))
+    return Lexicon(lexicon.entries, near, p, by_entry, forms)
+
+
+def _with_near_weights(words: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """Weighs near misses by the training words that are some; these are collected, and a small part of the words of max_rows rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, sums = Matcher(trial), {}
+        match = Matcher(lexicon)
         for batch in batches:
+            rows = []
             for w, b, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                m = match(w)
-                if m and m[2]:
-                    s = sums.setdefault((trial.entries[m[1]][1], m[2]), [0, 0])
-                    s[0] += b
-                    s[1] += g
-        rows = [(k[0], k[1], *v) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.int64(), pa.int64()))], names=["stem", "edits", "bad", "good"])
-
-    rows = words.select("word", "bad", "good").mapInArrow(run, "stem boolean, edits int, bad long, good long").groupBy("stem", "edits").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
-    return {(r["stem"], r["edits"]): (r["bad"] + 0.5) / (r["bad"] + r["good"] + 1) for r in rows}
+                at = match.within(w)
+                if at and min(at.values()):
+                    rows += [(w, k, e, b, g) for k, e in at.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "entry", "edits", "bad", "good"])
+
+    rows = words.select("word", "bad", "good").mapInArrow(run, "word string, entry int, edits int, bad long, good long").collect()
+    return near_weights(lexicon, [tuple(r) for r in rows])
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
