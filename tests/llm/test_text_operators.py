@@ -114,6 +114,19 @@ def test_lm_learns_word_order(spark):
     assert r["score"] > 2 * r["base_score"] / 3
 
 
+def test_lm_weights_come_from_all_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(5, 60)))) for i in range(400)]
+    seen, fit = [], lm.fit_weights
+    monkeypatch.setattr(lm, "fit_weights", lambda cells, counts, types: seen.append(counts.sum()) or fit(cells, counts, types))
+    scores = []
+    for parts in (2, 40):
+        got = lm.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        assert seen[-1] == got[0]["train_tokens"]
+        scores.append({r["doc_id"]: r["score"] for r in got})
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9) for i, _ in rows)
+
+
 def test_mixture_weights_are_distributions():
     w = lm.fit_weights(np.array([(5 * 161 + 4) * 161 + 20, (5 * 161 + 160) * 161 + 160]), np.array([50.0, 5.0]), 100)
     assert np.allclose(w.sum(axis=1), 1, atol=1e-3) and w[5, 0] > 0.5

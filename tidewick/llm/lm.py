@@ -32,8 +32,6 @@ _BLOB = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("r", pa.int32()
 _BLOB_DDL = "block long, kind int, r int, payload binary, counts binary"
 #: Bins of an octave, and of all, when probabilities are tallied for the mixture weights.
 OCTAVE, BINS = 4, 160
-#: One in so many blocks lends its training texts as held-out ones, once there are enough blocks.
-HELD_BLOCKS = 8
 
 
 @dataclass
@@ -250,8 +248,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     many = blocks.count()
     both = blocks.select(*_BLOB.names).unionByName(totals.where("kind in (0, 1)"))
     meet = lambda df, n: df.repartition(max(1, n), "block").sortWithinPartitions("block", "kind", "r")
-    lent = both.where(F.pmod(F.xxhash64("block"), F.lit(HELD_BLOCKS)) == 0) if many >= 4 * HELD_BLOCKS else both
-    tally = meet(lent, many // HELD_BLOCKS if many >= 4 * HELD_BLOCKS else many).mapInArrow(_tally(tokens, texts), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).collect()  # cells are bounded by the bins
+    tally = meet(both, many).mapInArrow(_tally(tokens, texts), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).collect()  # cells are bounded by the bins
     weights = fit_weights(np.array([r["cell"] for r in tally], dtype=np.int64), np.array([r["c"] for r in tally], dtype=np.float64), types)
     out = meet(both, many).mapInArrow(_score(Mixture(weights, tokens, types, texts)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
