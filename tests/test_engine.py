@@ -195,3 +195,9 @@ def test_queries_equal_their_sql(spark, name):
         return sorted(tuple("~" if pd.isna(v) else "%.9g" % v if isinstance(v, float) else str(v)[:19].removesuffix(" 00:00:00") for v in r) for r in p[cols].itertuples(index=False))
 
     assert rows(got) == rows(want)
+
+
+def test_boosted_has_the_published_trees():
+    from tidewick.operators import ml
+
+    assert {k: ml.BOOSTED[k] for k in ("maxIter", "stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode")} == {"maxIter": 300, "stepSize": 0.03, "maxDepth": 2, "subsamplingRate": 0.7, "minInstancesPerNode": 20}

@@ -14,7 +14,7 @@ from . import dataset, metrics
 FLOOR = 1e-12
 # Published best parameters.
 ELASTIC = {"alpha": 8.111e-4, "l1_ratio": 0.2}
-BOOSTED = {"maxIter": 60, "stepSize": 0.03, "maxDepth": 2, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "seed": 17}
+BOOSTED = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 2, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "seed": 17}
 
 
 def _assembler() -> VectorAssembler:
