@@ -212,6 +212,11 @@ def test_quotation_counts_less():
     assert s("you are an idiot")[0] > 0.8 > 0.4 > s('they wrote "idiot" there')[0]
 
 
+def test_words_touch_underscores():
+    s = toxicity.Scorer(toxicity.Lexicon([("idiot", False, 0.9)]))
+    assert [s(t)[1] for t in ("_idiot_", "you_idiot", "idiot_idiot", "idiots_", "xidiot")] == [1, 1, 2, 0, 0]
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(7)
     items = [np.array(sorted(rng.sample(range(60), 15)), dtype=np.uint64) for _ in range(200)]

@@ -221,7 +221,7 @@ class Scorer:
                 self.clean = set()
             if not there:
                 continue
-            for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(there, key=len, reverse=True))) + r")\b", low):
+            for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(there, key=len, reverse=True))) + r")(?![^\W_])", low):
                 a, b = m.span()
                 weight = there[m[0]]
                 hits += 1
