@@ -212,6 +212,14 @@ def test_quotation_counts_less():
     assert s("you are an idiot")[0] > 0.8 > 0.4 > s('they wrote "idiot" there')[0]
 
 
+def test_insults_without_labels_are_weak(spark):
+    rows = [(i, f"some text of number n{i} {'grunlok' if i % 4 == 0 else 'plain'}") for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for lab in (labels, labels.where("false")):
+        s = toxicity.Scorer(toxicity.learn(docs, lab))
+        assert 0.1 < s("take out the trash, all the trash")[0] < 0.7 < s("you loser, you pathetic clown")[0]
+
+
 def test_words_touch_underscores():
     s = toxicity.Scorer(toxicity.Lexicon([("idiot", False, 0.9)]))
     assert [s(t)[1] for t in ("_idiot_", "you_idiot", "idiot_idiot", "idiots_", "xidiot")] == [1, 1, 2, 0, 0]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, text_bytes
 
-# Common English insults that are entries without evidence; training sets their weights.
+# Common English insults that are weak entries (near_most at most, once a text) until training supports them as it does other words.
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
 # Words before a reported term, and quotation marks.
 REPORTING = frozenset("said says say quote quoted quotes quoting called calls wrote writes term word words cited".split())
@@ -210,7 +210,7 @@ class Scorer:
                 if weight is None:
                     m = self.match(w)
                     weight = m[0] if m else 0.0
-                    if m and m[2] == 0:
+                    if m and m[2] == 0 and weight > self.params.near_most:
                         self.exact.add(w)
                     if weight < 0.02:
                         self.clean.add(w)
@@ -273,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         total = words.agg(F.sum("bad"), F.sum("good")).first()
         bad, good = (total[0] or 0), (total[1] or 0)
         if not bad:
-            return Lexicon([(w, False, 0.8) for w in SEED], {}, params)
+            return Lexicon([(w, False, params.near_most) for w in SEED], {}, params)
         rate = bad / (bad + good)
         stems = words.select(F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in params.stem_lengths))).alias("word"), "bad", "good").where("word is not null")
         stems = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("forms")).where(f"forms >= {params.stem_forms}")
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         for r in sorted((r for r in found if r["stem"]), key=lambda r: (len(r["word"]), r["word"])):
             if not any(r["word"].startswith(s) for s, _, _ in short):
                 short.append((r["word"], True, weight(r["bad"], r["good"])))
-        plain = {r["word"]: weight(r["bad"], r["good"]) for r in found if not r["stem"]} | {w: weight(*seeds[w]) if w in seeds else 0.8 for w in SEED}
+        plain = {w: min(params.near_most, weight(*seeds.get(w, (0, 0)))) for w in SEED} | {r["word"]: weight(r["bad"], r["good"]) for r in found if not r["stem"]}
         lexicon = Lexicon([*short, *((w, False, x) for w, x in sorted(plain.items()) if not any(w.startswith(s) for s, _, _ in short))], {}, params)
         return _with_near_weights(words, lexicon)
     finally:
