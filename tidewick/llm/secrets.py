@@ -22,15 +22,17 @@ from .common import text_bytes
 #: Base kinds in the order that breaks ties, then the added ones.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "url")
 BASE = 3
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
-_URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{4,200}@[A-Za-z0-9.-]+")
+# Header lines, then the body up to its END line, or the base64 lines of a key that is cut off.
+_PEM = re.compile(r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*+
+    (?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*\n[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|\Z))+(?:\n(?:[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/=]+\Z))?))?""".replace("\n    ", ""))
+_URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:[^\s/@]{4,}@[A-Za-z0-9.-]+")
 
 FINDINGS = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
