@@ -4,7 +4,7 @@ import re
 import pytest
 
 from tidewick.llm.graph import components
-from tidewick.llm.jaccard import link_components
+from tidewick.llm.jaccard import link_components, one_of_each
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,18 +51,57 @@ def family(rng, base, n, most, start):
     return rows
 
 
-@pytest.mark.parametrize(("k", "num", "small_list", "seed"), [(3, 90, 3, 1), (5, 80, 2, 3), (1, 70, 10_000, 4)])
+@pytest.mark.parametrize(("k", "num", "small_list", "seed"), [(3, 90, 8, 1), (5, 80, 6, 3), (1, 70, 10_000, 4)])
 def test_families_equal_brute_force(spark, k, num, small_list, seed):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(200)}" for _ in range(70)]
     other = base[:60] + [f"v{i}" for i in range(10)]
-    rows = family(rng, base, 70, 5, 0) + family(rng, other, 50, 4, 1000)
+    rows = family(rng, base, 50, 5, 0) + family(rng, other, 30, 4, 1000)
     rows += [(2000 + i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60)))) for i in range(60)]
     rows += [(3000 + i, rows[i][1].upper()) for i in range(20)]
     rng.shuffle(rows)
     assert run(spark, rows, k=k, num=num, den=100, small_list=small_list) == brute(rows, k, num, 100)
 
 
+def test_variants_of_variants_equal_brute_force(spark):
+    """Families whose classes are mostly not linked with a centre: differences go through several levels."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for v in range(4):
+        mid = list(base)
+        for _ in range(3 + v):
+            mid[rng.randrange(60)] = f"v{v}"
+        for s in range(12):
+            w = list(mid)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(60)] = f"e{rng.randrange(4)}"
+            rows.append((v * 100 + s, " ".join(w)))
+    for num, k in ((80, 2),):
+        assert run(spark, rows, k=k, num=num, small_list=3) == brute(rows, k, num, 100)
+
+
+def test_finer_ranges_by_several_exchanges(spark, monkeypatch):
+    import tidewick.llm.jaccard as j
+
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(200)}" for _ in range(70)]
+    rows = family(rng, base, 40, 5, 0) + [(2000 + i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60)))) for i in range(60)]
+    monkeypatch.setattr(j, "FAN_OUT", 3)
+    monkeypatch.setattr(j, "SPLIT_BYTES", 500)
+    monkeypatch.setattr(j, "ranges_for", lambda docs: 20)
+    assert run(spark, rows) == brute(rows, 3, 90, 100)
+
+
+def test_one_of_each(spark):
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (4, ""), (5, "x y z u v w")]
+    df = spark.createDataFrame([(*r, n, "k") for n, r in enumerate(rows)], "doc_id long, text string, said int, kept string")
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, rows[1][1], 1, "k"), (None, rows[3][1], 3, "k"), (2, None, 4, "k"), (4, "", 5, "k"), (5, rows[6][1], 6, "k")], key=str)
+    assert one_of_each(df.where("false")).count() == 0
+
+
 def test_nulls_short_and_repeated(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (5, "one two"), (None, "one two"), (6, "one"), (7, "a b c d"), (None, "x y z w"), (8, "É b c"), (9, "é b c")]
     assert run(spark, rows) == brute(rows, 3, 90, 100)
