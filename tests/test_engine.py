@@ -7,10 +7,11 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewick.functions.rolling import symbol_key, week_of
 from tidewick.operators import backtest, dataset, features, forecasters, metrics, regimes, sizing
-from tidewick.plans import catalog
+from tidewick.plans import files
 from tidewick.sources import bars as src
 from tidewick.sources import forecasts as fsrc
 
@@ -157,9 +158,112 @@ def test_symbols_and_layouts(spark):
     d = spark.createDataFrame([("eth_usd",), ("BTC-USD",), ("Btc",)], "s string")
     assert [r[0] for r in d.select(symbol_key(d["s"])).collect()] == ["ETH", "BTC", "BTC"]
     wide = spark.createDataFrame([("2020-01-01", 1.0, 2.0)], "date string, btc double, eth_usd double")
-    assert {(r["ticker"], r["pred"]) for r in fsrc.normalize(wide, tickers=["BTC-USD", "ETH-USD"]).collect()} == {("BTC-USD", 1.0), ("ETH-USD", 2.0)}
-    long = spark.createDataFrame([("2020-01-01", "A", 1.0, "gbr"), ("2020-01-01", "A", 3.0, "gbr"), ("2020-01-01", "A", 9.0, "elasticnet")], "date string, symbol string, pred double, model string")
-    assert [r["pred"] for r in fsrc.normalize(long, model="gbm").collect()] == [2.0]
+    assert {(r["ticker"], r["pred"]) for r in fsrc.normalize_daily(wide, ["BTC-USD", "ETH-USD"], alpha=2.0).collect()} == {("BTC-USD", 2.0), ("ETH-USD", 4.0)}
+    long = spark.createDataFrame([("2020-01-01", "A", 1.0, 7.0, "gbr"), ("2020-01-01", "A_USD", 3.0, 7.0, "gbr"), ("2020-01-01", "A", 9.0, 7.0, "elasticnet")], "Date string, Ticker string, pred double, vol_hat double, model string")
+    assert [r["pred"] for r in fsrc.normalize_daily(long, ["A"], model="gbm").collect()] == [2.0]
+    assert fsrc.normalize_daily(long.drop("pred", "vol_hat"), ["A"]).count() == 0 == fsrc.normalize_daily(wide, ["XRP"]).count()
+
+
+@pytest.mark.parametrize(("schema", "want"), [("dt date, code string, x double, sigma double", ("dt", "code", "sigma")), ("Date date, sid string, x int, z double", ("Date", "sid", "z")), ("index date, A double, N double", None), ("ds date, ticker string, y double, pred double", ("ds", "ticker", "pred"))])
+def test_guessed_columns(spark, schema, want):
+    assert fsrc.guess_columns(spark.createDataFrame([], schema)) == want
+
+
+@pytest.mark.parametrize("schema", ["ticker string, pred double", "date date, pred double", "date date, ticker string, note string"])
+def test_columns_that_cannot_be_told(spark, schema):
+    with pytest.raises(ValueError, match="column"):
+        fsrc.guess_columns(spark.createDataFrame([], schema))
+
+
+def test_provider_layouts_that_fail(spark, tmp_path):
+    days = make_bars(spark, [1.0, 2.0])
+    with pytest.raises(FileNotFoundError):
+        fsrc.provider_forecasts(spark, str(tmp_path), ["T"], days)
+    spark.createDataFrame([(1.0, 2.0, 3.0)] * 3, "y_true double, pred_en double, pred_gbm double").write.parquet(str(tmp_path / "preds_test_k10.parquet"))
+    days.select("date", "ticker").write.parquet(str(tmp_path / "rows"))
+    with pytest.raises(ValueError, match="2 rows and 3"):
+        fsrc.provider_forecasts(spark, str(tmp_path), ["T"], days, rows_path=str(tmp_path / "rows"))
+    with pytest.raises(ValueError, match="single"):
+        fsrc.provider_forecasts(spark, str(tmp_path), ["T"], days)
+    spark.createDataFrame([(DAY, "T", 1.0), (DAY, "T", 2.0)], "date date, ticker string, pred double").write.mode("overwrite").parquet(str(tmp_path / "preds_test_k10.parquet"))
+    with pytest.raises(Exception, match="repeated ticker and date"):
+        fsrc.provider_forecasts(spark, str(tmp_path), ["T"], days).collect()
+    with pytest.raises(ValueError, match="unknown provider"):
+        backtest.provider(spark, "other", days)
+
+
+def test_files_that_are_missing(spark, tmp_path):
+    from tidewick.sources import paths, readers
+
+    with pytest.raises(FileNotFoundError):
+        paths.read_table(spark, str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        readers.returns_or_close(spark, str(tmp_path))
+    assert paths.read_json(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "broken.json").write_text("{")
+    assert fsrc.manifest_alpha(spark, str(tmp_path / "broken.json")) == 1.0
+    got = readers.close_with_fallback(spark, str(tmp_path / "none"), make_bars(spark, [1.0, 2.0]), ["T"])
+    assert sorted(r["price"] for r in got.collect()) == [1.0, 2.0]
+
+
+def test_adjusted_prices_come_first(spark):
+    closes = walk(80)
+    b = make_bars(spark, closes)
+    half = b.selectExpr("date", "ticker", "open", "high", "low", "close", "close / 2 as adj_close", "volume")
+    a, c = (features.build(x).where("ema9 is not null").orderBy("date").first() for x in (b, half))
+    assert c["ema9"] == pytest.approx(a["ema9"] / 2) and c["park_d"] == a["park_d"]
+    from tidewick.sources import readers
+
+    assert [r["price"] for r in readers.newest_first(half).orderBy("idx").limit(1).collect()] == [pytest.approx(closes[-1] / 2)]
+
+
+def test_canonical_names():
+    assert [src.canonical(x) for x in ("AAA Close", "Adj Close", "adj_close", " High", "TRADE VOLUME", "Date", "Ticker")] == ["close", "adj_close", "adj_close", "high", "volume", "date", "ticker"]
+
+
+def test_sizes_are_guarded(spark):
+    d = spark.createDataFrame([(10.0, 0.5), (10.0, 0.0)], "p double, v double")
+    assert d.where("v > 0").select(sizing.checked_shares(d["p"], d["v"], F.lit(1.0), 100.0)).first()[0] == 20.0
+    with pytest.raises(Exception, match="must be positive"):
+        d.select(sizing.checked_shares(d["p"], d["v"], F.lit(1.0), 100.0)).collect()
+
+
+def test_quantiles_and_ranks_equal_pandas(spark):
+    import numpy as np
+
+    from tidewick.functions import ranks
+
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, 700).astype(float), rng.normal(size=700)
+    d = spark.createDataFrame([("t", DAY + dt.timedelta(i), float(a), float(b) if i % 50 else None) for i, (a, b) in enumerate(zip(x, y, strict=True))], "ticker string, date date, x double, y double")
+    p = pd.DataFrame({"x": x, "y": [b if i % 50 else None for i, b in enumerate(y)]}).astype(float)
+    probs = [0.0, 0.005, 0.33, 0.5, 0.995, 1.0]
+    for r in ranks.quantiles(d, ["x", "y"], probs).collect():
+        assert r["q"] == pytest.approx([p[r["feature"]].quantile(q) for q in probs])
+    got = ranks.average_ranks(d, ["x"], "ticker", "date").toPandas().sort_values("date")
+    assert got["r"].tolist() == p["x"].rank().tolist()
+
+
+def test_models_are_saved_and_chosen(spark, tmp_path):
+    from tidewick.operators import ml
+
+    rng = random.Random(5)
+    rows = [("t", DAY + dt.timedelta(i), *(rng.random() for _ in dataset.feature_columns())) for i in range(120)]
+    names = dataset.feature_columns()
+    d = spark.createDataFrame(rows, ", ".join(["ticker string", "date date", *(f"{c} double" for c in names)])).withColumn("label", F.col("rv10") * 0.5 + 0.1).coalesce(1)
+    assert ml.grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+    assert [len(ml.grid(g)) for g in (ml.ELASTIC_GRID, ml.BOOSTED_GRID)] == [60, 72]
+    few = {"elasticnet": [{"alpha": 1.0, "l1_ratio": 0.5}, {"alpha": 1e-6, "l1_ratio": 0.5}], "gbt": [{"maxIter": 2}]}
+    found = ml.train(dataset.split(d), str(tmp_path), tuned=few)
+    assert {(r["model"], r["split"], r["in_sample"]) for r in found.collect()} == {(m, s, s != "test") for m in ("en", "gbm") for s in ml.SPLITS}
+    test = spark.read.parquet(str(tmp_path / "preds_test_k10.parquet")).toPandas().sort_values("date")
+    again = ml.predict(ml.load_model(str(tmp_path), "elasticnet"), dataset.split(d).where("split = 'test'")).toPandas().sort_values("date")
+    assert test["pred_en"].tolist() == pytest.approx(again["pred"].tolist()) and len(test) == 30
+    assert fsrc.model_alpha(spark, str(tmp_path / "model_manifest_k10.json"), "en") == pytest.approx(1.0, abs=0.01)
+    from tidewick.sources.paths import read_json
+
+    assert read_json(spark, str(tmp_path / "model_manifest_k10.json"))["best_en"]["alpha"] == 1e-6
+    assert fsrc.pick_model(spark, str(tmp_path / "metrics_k10.json")) == "en"
 
 
 def test_required_columns_and_tickers(spark, tmp_path):
@@ -177,7 +281,7 @@ def test_weekly_backtest_by_hand(spark):
     assert [(r["price"], r["pnl"]) for r in rows] == [(10.0, 50_000 / 5.0), (11.0, pytest.approx(50_000 / 5.5))]
 
 
-NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly")]
+NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly", "portfolio_summary", "stationary_distribution", "time_folds", "cached_close", "saved_split", "saved_transitions", "forecasts_daily_long", "forecasts_long", "forecasts_by_position", "forecasts_by_ticker_file", "weekly_backtest_fallback", "manifest_factors", "legacy_details")]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -186,8 +290,8 @@ def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    want = con.execute(catalog.ORACLES[name]).df()
-    got = catalog.QUERIES[name](spark, SF).toPandas()
+    want = con.execute(files.ORACLES[name]).df()
+    got = files.QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     cols = sorted(want.columns)
 

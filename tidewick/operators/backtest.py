@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import UNBOUNDED, clip, week_of
 from ..sources.bars import weekly
+from ..sources.forecasts import provider_forecasts
+from .forecasters import legacy_lookahead
 from .sizing import LEVERAGE, NOTIONAL, RISK, shares
 
 CAPITAL = NOTIONAL * LEVERAGE * RISK
@@ -100,3 +102,20 @@ def holdings(positions: DataFrame, provider: str) -> DataFrame:
 def with_fallback(forecasts: DataFrame, fallback: DataFrame) -> DataFrame:
     """forecasts, and fallback's rows of tickers that have none."""
     return forecasts.unionByName(fallback.join(forecasts.select("ticker").distinct(), "ticker", "left_anti"))
+
+
+def details(positions: DataFrame) -> DataFrame:
+    """(date, ticker, pnl, shares): daily results by ticker, a missing one 0, and the shares that made them."""
+    return positions.select("date", "ticker", F.coalesce("pnl", F.lit(0.0)).alias("pnl"), "shares")
+
+
+def provider(spark, name: str, bars: DataFrame, *, folder: str | None = None, tickers: list[str] | None = None, fill_tail: bool = False, **layout) -> DataFrame:
+    """(ticker, date, pred_vol) of a provider by name: ewma_legacy (the look-ahead forecast without its tail, or with it carried
+    on) or ml_manifest (forecast files under folder, see provider_forecasts); another name raises ValueError."""
+    if name == "ewma_legacy":
+        d = legacy_lookahead(bars, fill_tail=fill_tail).select("ticker", "date", "pred_vol")
+        return d if fill_tail else d.where("pred_vol is not null")
+    if name == "ml_manifest":
+        found = provider_forecasts(spark, folder, tickers, bars, **layout)
+        return found.where("pred is not null").select("ticker", "date", F.col("pred").alias("pred_vol"))
+    raise ValueError(f"unknown provider {name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import by_column, quantiles
 from ..functions.rolling import clip
 from .features import DAYS, MONTHS, NUMERIC
 
@@ -27,7 +28,7 @@ def winsor_columns(columns: list[str]) -> list[str]:
 
 def caps(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """One row of the training quantiles {c}_lo, {c}_hi."""
-    return df.where("split = 'train'").agg(*(F.percentile(c, q).alias(f"{c}_{s}") for c in columns for s, q in (("lo", low), ("hi", high))))
+    return by_column(quantiles(df.where("split = 'train'"), columns, [low, high]), columns, ["lo", "hi"])
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
@@ -59,18 +60,26 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 
 def folds(df: DataFrame, n: int = 4, gap: int = 0) -> DataFrame:
-    """(fold, role, rows...) of expanding folds by date: training up to a border, validation the next part.
+    """(fold, role, rows...) of expanding folds over the rows by date, equal dates by ticker: train up to a border, val the next part.
 
-    Borders are at n equal steps from 62.5 % of the dates (n = 4: .625, .75 and .875, each validated on 9.375 %).
+    Borders are at n equal steps from half of the rows, the first left out (n = 4: .625, .75 and .875 of them, each
+    validated on the next 9.375 %); `gap` rows before a border are in neither.
     """
+    from .metrics import ordinal
+
     starts = [0.5 + 0.5 * (i + 1) / n for i in range(n - 1)]
-    width = (0.5 - 0.5 / n) / n
-    days = df.select("date").distinct().withColumn("p", F.percent_rank().over(Window.orderBy("date"))).withColumn("i", F.row_number().over(Window.orderBy("date")))
-    last = days.agg(F.count(F.lit(1)).alias("m"))
-    d = days.crossJoin(F.broadcast(last))
-    role = lambda a: F.when(F.col("i") <= F.floor(F.lit(a) * F.col("m")) - gap, "train").when((F.col("i") > F.floor(F.lit(a) * F.col("m"))) & (F.col("i") <= F.floor(F.lit(a + width) * F.col("m"))), "val")
-    d = d.select("date", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("fold"), role(a).alias("role")) for k, a in enumerate(starts)))).alias("x")).select("date", "x.*").where("role is not null")
-    return df.join(d, "date")
+    width = (1 - starts[0]) / n
+    d = ordinal(df.withColumn("__day", F.unix_date("date").cast("double")), "__day", "ticker").drop("__day")
+    border = lambda a: F.floor(F.lit(a) * F.col("total"))
+    role = lambda a: F.when(F.col("rank") <= border(a) - gap, "train").when((F.col("rank") > border(a)) & (F.col("rank") <= border(a + width)), "val")
+    d = d.withColumn("x", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("fold"), role(a).alias("role")) for k, a in enumerate(starts)))))
+    return d.select("x.fold", "x.role", *(F.col(c) for c in df.columns)).where("role is not null")
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """(rows, features, train, val, test) of a data set."""
+    names = [c for c in df.columns if c.lower() not in ("date", "ticker", "split", "label")]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(names)).alias("features"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")))
 
 
 def feature_columns() -> list[str]:
@@ -91,4 +100,4 @@ def clean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(c) for c in columns}).na.drop(how="any", subset=columns)
 
 
-__all__ = ["caps", "clean", "clip", "drop_columns", "feature_columns", "folds", "missing_rates", "scale", "scaler", "split", "split_counts", "winsor_columns", "winsorize"]
+__all__ = ["caps", "clean", "clip", "counts", "drop_columns", "feature_columns", "folds", "missing_rates", "scale", "scaler", "split", "split_counts", "winsor_columns", "winsorize"]

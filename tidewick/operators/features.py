@@ -137,10 +137,10 @@ def past_median(df: DataFrame, columns: list[str], n: int = 20, least: int = 3,
 def build(bars: DataFrame, k: int = 10, impute: bool = False) -> DataFrame:
     """(date, ticker, 13 numeric features, 19 calendar columns, label): one exchange by ticker.
 
-    A feature is null before its history is complete. With impute, later nulls are filled from the past; rows that
+    Prices are the adjusted closes, closes where there is none. A feature is null before its history is complete. With impute, later nulls are filled from the past; rows that
     still lack a feature or the label go.
     """
-    d = log_returns(bars.where("close is not null"))
+    d = log_returns(bars.withColumn("close", F.coalesce("adj_close", "close")).where("close is not null"))
     d = recursive(d)
     d = realized_vol(d)
     d = drawdown(slope(shape(vol_of_vol(d)))).withColumn("park_d", parkinson())
@@ -149,6 +149,3 @@ def build(bars: DataFrame, k: int = 10, impute: bool = False) -> DataFrame:
     out = d.select("date", "ticker", *masked, *calendar_columns(), "label")
     return past_median(out, list(NUMERIC)).na.drop(how="any", subset=[*NUMERIC, "label"]) if impute else out
 
-
-def mean_over(x: str, a: int, b: int) -> Column:
-    return F.avg(x).over(Window.partitionBy("ticker").orderBy("date").rowsBetween(a, b))

@@ -19,6 +19,11 @@ def _blend(recent, history):
     return SCALE * (RECENT * recent + (1 - RECENT) * history)
 
 
+def _known_last():
+    """A ticker's rows by date, those without a return first, so that frames over returns have no gaps: one pass for both."""
+    return Window.partitionBy("ticker").orderBy(F.col("ret").isNotNull(), "date")
+
+
 def ewma_blend(bars: DataFrame) -> DataFrame:
     """V1: unnormalised weights, history the 54 spreads before; the oldest spread is left out, so the first value comes at return 87."""
     d = simple_returns(bars.where("close is not null"), pad=False).where("ret is not null")
@@ -30,11 +35,9 @@ def ewma_blend(bars: DataFrame) -> DataFrame:
 def lagged_blend(bars: DataFrame) -> DataFrame:
     """V2: normalised weights, history 54 spreads with today's, result of the day before."""
     d = simple_returns(bars.where("close is not null"), pad=False)
-    some = d.where("ret is not null").withColumn("sd", weighted_spread("ret", geometric_weights(LENGTH, normalized=True)))
-    some = some.withColumn("now", _blend(F.col("sd"), roll(F.avg, "sd", 1 - HISTORY, 0, HISTORY)))
-    first = d.where("ret is null").withColumn("sd", F.lit(None).cast("double")).withColumn("now", F.lit(None).cast("double"))
-    both = some.unionByName(first)
-    return both.withColumn("pred_vol", F.lag("now").over(by_ticker())).drop("sd", "now", "ret")
+    w = _known_last()
+    d = d.withColumn("sd", weighted_spread("ret", geometric_weights(LENGTH, normalized=True), w)).withColumn("now", _blend(F.col("sd"), roll(F.avg, "sd", 1 - HISTORY, 0, HISTORY, w)))
+    return d.withColumn("pred_vol", F.lag("now").over(by_ticker())).drop("sd", "now", "ret")
 
 
 def legacy_lookahead(bars: DataFrame, n: int = 55, horizon: int = 54, fill_tail: bool = False) -> DataFrame:
@@ -60,18 +63,14 @@ def legacy_snapshot(bars: DataFrame) -> DataFrame:
 
 def legacy_vectors(bars: DataFrame, capital: float = 100_000 * 2.5 * 0.2) -> DataFrame:
     """V5: newest-first vectors (ticker, idx, date, close, ret, ewma32, stdev32, pred_vol, position_size); idx 0 is the newest bar."""
-    w = by_ticker()
     d = simple_returns(bars.where("close is not null"), pad=False)
-    weights = geometric_weights(LENGTH)
-    some = d.where("ret is not null")
-    values = F.reverse(F.collect_list("ret").over(w.rowsBetween(1 - LENGTH, 0)))
+    weights, known = geometric_weights(LENGTH), _known_last()
+    values = F.reverse(F.collect_list("ret").over(known.rowsBetween(1 - LENGTH, 0)))
     mean = F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    some = some.withColumn("ewma32", F.when(F.size(values) == LENGTH, mean)).withColumn("stdev32", weighted_spread("ret", weights))
-    some = some.withColumn("pred_vol", _blend(F.col("stdev32"), roll(F.avg, "stdev32", 1 - HISTORY, -1, HISTORY - 1)))
+    both = d.withColumn("ewma32", F.when(F.size(values) == LENGTH, mean)).withColumn("stdev32", weighted_spread("ret", weights, known))
+    both = both.withColumn("pred_vol", _blend(F.col("stdev32"), roll(F.avg, "stdev32", 1 - HISTORY, -1, HISTORY - 1, known)))
     # One more spread must exist than the mean takes.
-    some = some.withColumn("pred_vol", F.when(F.count("stdev32").over(w.rowsBetween(Window.unboundedPreceding, 0)) > HISTORY, F.col("pred_vol")))
-    none = F.lit(None).cast("double")
-    both = some.unionByName(d.where("ret is null").withColumns({"ewma32": none, "stdev32": none, "pred_vol": none}))
+    both = both.withColumn("pred_vol", F.when(F.count("stdev32").over(known.rowsBetween(Window.unboundedPreceding, 0)) > HISTORY, F.col("pred_vol")))
     size = F.try_divide(F.lit(capital), F.col("close") * F.when(F.col("pred_vol") != 0, F.col("pred_vol")))
     return both.select("ticker", (F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))) - 1).alias("idx"), "date", "close", "ret", "ewma32", "stdev32", "pred_vol", size.alias("position_size"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import average_ranks, by_column, quantiles
 from ..functions.rolling import roll
 
 FLOOR = 1e-12
@@ -72,22 +73,24 @@ def top_decile_lift(table: DataFrame) -> DataFrame:
     return table.agg((F.max_by("mean_y", "decile") / F.avg("mean_y")).alias("lift"))
 
 
-def average_rank(c: str, partition: list[str] | None = None) -> Column:
-    """Mean rank among ties. Without a partition this is a global order: for small tables."""
-    w = Window.partitionBy(*(partition or []))
-    return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*(partition or []), c)) - 1) / 2
-
-
 def spearman(d: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, rho): rank correlation of each feature with the target over rows where all are known; null without spread.
 
-    Features become rows, so that each is ranked in a task of its own.
+    Features become rows, and ranks come from coarse value ranges, so that no task holds a whole feature.
     """
-    rows = d.na.drop(how="any", subset=[*features, target]).select(F.col(target).alias("t"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features))).alias("f")).select("t", "f.*")
-    r = rows.withColumn("rx", average_rank("x", ["feature"])).withColumn("rt", average_rank("t", ["feature"]))
+    known = d.na.drop(how="any", subset=[*features, target])
+    rx = average_ranks(known, features, "ticker", "date").select("ticker", "date", "feature", F.col("r").alias("rx"))
+    rt = average_ranks(known, [target], "ticker", "date").select("ticker", "date", F.col("r").alias("rt"))
+    r = rx.join(rt, ["ticker", "date"])
     return r.groupBy("feature").agg(F.when((F.stddev_pop("rx") > FLOOR) & (F.stddev_pop("rt") > FLOOR), F.corr("rx", "rt")).alias("rho"))
 
 
+def top_features(found: DataFrame, n: int = 20, by: str = "rho") -> DataFrame:
+    """The n rows of largest absolute value, with place 1, 2, ...; equal ones by name. Unknown values come last."""
+    d = found.orderBy(F.desc_nulls_last(F.abs(by)), "feature").limit(n)
+    return d.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs(by)), "feature")))
+
+
 def pearson(d: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, r): linear correlation of each feature with the target."""
     one = d.agg(*(F.corr(c, target).alias(c) for c in features))
@@ -96,9 +99,8 @@ def pearson(d: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def correlated_pairs(d: DataFrame, features: list[str], least: float = 0.9) -> DataFrame:
     """(a, b, rho) of feature pairs whose ranks correlate at least so much, over rows where all are known."""
-    rows = d.na.drop(how="any", subset=features).withColumn("__row", F.struct("ticker", "date"))
-    ranked = rows.select("__row", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features))).alias("f")).select("__row", "f.*").withColumn("r", average_rank("x", ["feature"]))
-    wide = ranked.groupBy("__row").pivot("feature", features).agg(F.first("r"))
+    ranked = average_ranks(d.na.drop(how="any", subset=features), features, "ticker", "date")
+    wide = ranked.groupBy("ticker", "date").pivot("feature", features).agg(F.first("r"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     one = wide.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs))).alias("x")).select("x.*").where(F.abs("rho") >= least)
@@ -106,7 +108,9 @@ def correlated_pairs(d: DataFrame, features: list[str], least: float = 0.9) -> D
 
 def robust_alpha(d: DataFrame) -> DataFrame:
     """(alpha): median of y / pred over finite ratios, 1 without any."""
-    return d.where("y is not null and pred is not null").agg(F.coalesce(F.percentile(F.col("y") / F.greatest("pred", F.lit(FLOOR)), 0.5), F.lit(1.0)).alias("alpha"))
+    ratio = F.col("y") / F.greatest("pred", F.lit(FLOOR))
+    known = d.where("y is not null and pred is not null").select(ratio.alias("ratio")).where(~F.isnan("ratio") & (F.abs("ratio") != float("inf")))
+    return by_column(quantiles(known, ["ratio"], [0.5]), ["ratio"], ["median"]).select(F.coalesce("ratio_median", F.lit(1.0)).alias("alpha"))
 
 
 def calibration_slope(d: DataFrame) -> DataFrame:
@@ -125,3 +129,30 @@ def histogram(d: DataFrame, column: str, bins: int = 50) -> DataFrame:
     x = d.where(F.col(column).isNotNull()).crossJoin(F.broadcast(s))
     k = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("a")) / ((F.col("b") - F.col("a")) / bins))).cast("int")
     return x.withColumn("bin", F.when(F.col("b") > F.col("a"), k).otherwise(0)).groupBy("bin").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("n")).select("bin", (F.col("a") + F.col("bin") * (F.col("b") - F.col("a")) / bins).alias("lo"), "n")
+
+
+def central_histogram(d: DataFrame, column: str, bins: int = 50, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """histogram() with inside: whether a bin reaches into the central part between two quantiles."""
+    edge = by_column(quantiles(d, [column], [low, high]), [column], ["lo", "hi"])  # one row
+    h = histogram(d, column, bins)
+    step = F.max("lo").over(Window.partitionBy()) - F.min("lo").over(Window.partitionBy())
+    h = h.withColumn("step", F.try_divide(step, F.max("bin").over(Window.partitionBy()).cast("double"))).crossJoin(F.broadcast(edge))  # a row a bin
+    return h.select("bin", "lo", "n", ((F.col("lo") <= F.col(f"{column}_hi")) & (F.col("lo") + F.coalesce("step", F.lit(0.0)) >= F.col(f"{column}_lo"))).alias("inside"))
+
+
+def coverage(d: DataFrame, column: str) -> DataFrame:
+    """(ticker, last, share): the last date of each ticker, and the share of its rows where the column is known."""
+    return d.groupBy("ticker").agg(F.max("date").alias("last"), F.avg(F.col(column).isNotNull().cast("double")).alias("share"))
+
+
+def value_counts(d: DataFrame, column: str) -> DataFrame:
+    """(value, n) of the known values."""
+    return d.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def head_tail(d: DataFrame, n: int = 2) -> DataFrame:
+    """The first and the last n rows of each ticker by date, marked head or tail in `part`; a row may be in both."""
+    w = Window.partitionBy("ticker")
+    d = d.withColumn("__a", F.row_number().over(w.orderBy("date"))).withColumn("__b", F.row_number().over(w.orderBy(F.desc("date"))))
+    ends = F.filter(F.array(F.when(F.col("__a") <= n, F.lit("head")), F.when(F.col("__b") <= n, F.lit("tail"))), lambda x: x.isNotNull())
+    return d.withColumn("part", F.explode(ends)).drop("__a", "__b")

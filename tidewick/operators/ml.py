@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import itertools
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import write_json
 from . import dataset, metrics
 
 FLOOR = 1e-12
+SPLITS = ("train", "val", "test")
+KINDS = {"elasticnet": "en", "gbt": "gbm"}
 # Published best parameters.
 ELASTIC = {"alpha": 8.111e-4, "l1_ratio": 0.2}
+# The grids that are searched.
+ELASTIC_GRID = {"alpha": [10 ** (-4 + 5 * i / 11) for i in range(12)], "l1_ratio": [0.05, 0.2, 0.5, 0.8, 0.95]}
+BOOSTED_GRID = {"maxIter": [300, 600, 900], "stepSize": [0.03, 0.06, 0.1], "maxDepth": [2, 3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [5, 20]}
+SAMPLED_GRID = {"maxIter": [400, 700], "stepSize": [0.05, 0.1], "maxDepth": [3, 4], "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["0.7", "all"], "minInstancesPerNode": [1, 5]}
 BOOSTED = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 2, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "seed": 17}
 
 
@@ -29,19 +38,24 @@ def elastic_net(train: DataFrame, alpha: float, l1_ratio: float) -> LinearRegres
     return LinearRegression(labelCol="label", regParam=lam, elasticNetParam=alpha * l1_ratio / lam if lam else 0.0, standardization=False, maxIter=200)
 
 
+def grid(values: dict[str, list]) -> list[dict]:
+    """All combinations of a grid's values, the last name varying fastest. The sampled grid lacks L1 and L2 weights, which the estimator hasn't."""
+    return [dict(zip(values, x, strict=True)) for x in itertools.product(*values.values())]
+
+
 def fit(train: DataFrame, kind: str, **params):
     """A fitted pipeline; kind is elasticnet or gbt."""
     est = elastic_net(train, **(ELASTIC | params)) if kind == "elasticnet" else GBTRegressor(labelCol="label", **(BOOSTED | params))
     return Pipeline(stages=[_assembler(), est]).fit(train)
 
 
-def tune(df: DataFrame, kind: str, grid: list[dict], n: int = 4) -> dict:
+def tune(df: DataFrame, kind: str, candidates: list[dict], n: int = 4) -> dict:
     """The grid's parameters of least mean MAPE over expanding folds by date."""
     folds = dataset.folds(df, n).cache()
     try:
         ids = [r["fold"] for r in folds.select("fold").distinct().collect()]
         best = None
-        for params in grid:
+        for params in candidates:
             total = 0.0
             for k in ids:
                 model = fit(folds.where((F.col("fold") == k) & (F.col("role") == "train")), kind, **params)
@@ -65,16 +79,54 @@ def fit_report(split: DataFrame, kind: str) -> DataFrame:
     model = fit(fitted, kind)
     alpha = metrics.robust_alpha(predict(model, fitted)).first()["alpha"]
     out = None
-    for s in ("train", "val", "test"):
+    for s in SPLITS:
         m = metrics.regression_metrics(predict(model, d.where(F.col("split") == s), alpha)).select(F.lit(kind).alias("model"), F.lit(s).alias("split"), F.lit(s != "test").alias("in_sample"), "*")
         out = m if out is None else out.unionByName(m)
-    return out
+    rows = out.collect()  # a row a split
+    d.unpersist()
+    return split.sparkSession.createDataFrame(rows, out.schema)
+
+
+def train(split: DataFrame, folder: str, k: int = 10, tuned: dict[str, list[dict]] | None = None) -> DataFrame:
+    """Tunes (kinds with candidates in `tuned`, on train rows), fits on train and val, and saves what later steps read.
+
+    Under folder: models/{kind}_k{k}, preds_val_k{k}.parquet and preds_test_k{k}.parquet (ticker, date, y_true, pred_en,
+    pred_gbm), metrics_k{k}.json and model_manifest_k{k}.json. Returns the metrics (model, split, in_sample, ...).
+    """
+    spark = split.sparkSession
+    d = split.cache()
+    rows, manifest, facts, preds = [], {"k_label": k, "feature_columns": dataset.feature_columns()}, {}, None
+    for kind, name in KINDS.items():
+        candidates = (tuned or {}).get(kind)
+        best = tune(d.where("split = 'train'"), kind, candidates) if candidates else {}
+        model = fit(d.where("split <> 'test'"), kind, **best)
+        model.write().overwrite().save(f"{folder}/models/{kind}_k{k}")
+        alpha = metrics.robust_alpha(predict(model, d.where("split <> 'test'"))).first()["alpha"]
+        manifest |= {f"best_{name}": best or (ELASTIC if kind == "elasticnet" else BOOSTED), f"alpha_{name}": alpha}
+        facts[name] = {}
+        for s in SPLITS:
+            m = metrics.regression_metrics(predict(model, d.where(F.col("split") == s))).first()
+            facts[name] |= {f"{what}_{s}": m[what] for what in ("mae", "rmse", "mape", "r2")}
+            rows.append((name, s, s != "test", *(m[c] for c in ("mae", "rmse", "mape", "r2", "n"))))
+        p = model.transform(d.where("split <> 'train'")).select("ticker", "date", "split", F.col("label").alias("y_true"), F.greatest("prediction", F.lit(FLOOR)).alias(f"pred_{name}"))
+        preds = p if preds is None else preds.join(p.drop("y_true"), ["ticker", "date", "split"])
+    for s in ("val", "test"):
+        preds.where(F.col("split") == s).drop("split").write.mode("overwrite").parquet(f"{folder}/preds_{s}_k{k}.parquet")
+    write_json(spark, f"{folder}/metrics_k{k}.json", facts)
+    write_json(spark, f"{folder}/model_manifest_k{k}.json", manifest)
+    d.unpersist()
+    return spark.createDataFrame(rows, "model string, split string, in_sample boolean, mae double, rmse double, mape double, r2 double, n long")
+
+
+def load_model(folder: str, kind: str, k: int = 10) -> PipelineModel:
+    return PipelineModel.load(f"{folder}/models/{kind}_k{k}")
 
 
 def importance(split: DataFrame) -> DataFrame:
     """(feature, gbt, elasticnet): impurity gain and absolute coefficient."""
     d = dataset.scale(split, dataset.feature_columns()).where("split <> 'test'").cache()
     g, e = fit(d, "gbt").stages[-1].featureImportances.toArray(), fit(d, "elasticnet").stages[-1].coefficients.toArray()
+    d.unpersist()
     rows = [(c, float(a), float(abs(b))) for c, a, b in zip(dataset.feature_columns(), g, e, strict=True)]
     return split.sparkSession.createDataFrame(rows, "feature string, gbt double, elasticnet double")
 

@@ -57,17 +57,13 @@ def votes(labelled: DataFrame) -> DataFrame:
 
 
 def hysteresis(states: DataFrame, k: int = 3) -> DataFrame:
-    """(date, state): a switch needs k days in a row of one new state. One series, a row a day, folded in order."""
-    d = states.agg(F.sort_array(F.collect_list(F.struct("date", "state"))).alias("s"))
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.lit(None).cast("string").alias("next"), F.lit(0).alias("n"), F.array().cast("array<struct<date:date,state:string>>").alias("out"))
+    """(date, state): a switch needs k days in a row of one new state.
 
-    def step(a, x):
-        s = x["state"]
-        n = F.when(a["now"].isNull() | (s == a["now"]), 0).when(s.eqNullSafe(a["next"]), a["n"] + 1).otherwise(1)
-        now = F.when(a["now"].isNull() | (n >= k), s).otherwise(a["now"])
-        return F.struct(now.alias("now"), F.when((n > 0) & (n < k), s).alias("next"), F.when(n >= k, 0).otherwise(n).alias("n"), F.concat(a["out"], F.array(F.struct(x["date"].alias("date"), now.alias("state")))).alias("out"))
-
-    return d.select(F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("x")).select("x.*")
+    So the state is that of the last run that had reached its k-th day, and before any the first day's.
+    """
+    w = _dates().rowsBetween(UNBOUNDED, 0)
+    reached = F.when(F.col("age") >= k, F.col("state"))
+    return ages(states).select("date", F.coalesce(F.last(reached, ignorenulls=True).over(w), F.first("state").over(w)).alias("state"))
 
 
 def transitions(states: DataFrame, smoothing: float = 0.5) -> DataFrame:

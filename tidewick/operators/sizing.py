@@ -68,3 +68,8 @@ def portfolio_summary(ewma: DataFrame, ml: DataFrame, state: DataFrame) -> DataF
     totals = ewma.agg(F.sum("notional_alloc").alias("te")).crossJoin(ml.agg(F.sum("notional_alloc").alias("tm"))).crossJoin(now)
     d = side(ewma, "ewma").join(side(ml, "ml"), "ticker", "full_outer").crossJoin(F.broadcast(totals))
     return d.select("ticker", "units_ewma", "units_ml", "alloc_ewma", "alloc_ml", F.try_divide("alloc_ewma", "te").alias("share_ewma"), F.try_divide("alloc_ml", "tm").alias("share_ml"), F.try_divide("units_ml", "units_ewma").alias("ratio"), "state")
+
+
+def totals(snapshot: DataFrame) -> DataFrame:
+    """(units, notional_alloc, pred_vol): sums, and the median forecast, of a snapshot of a portfolio's few rows."""
+    return snapshot.agg(F.sum("units").alias("units"), F.sum("notional_alloc").alias("notional_alloc"), F.percentile("pred_vol", 0.5).alias("pred_vol"))

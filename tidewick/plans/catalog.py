@@ -11,6 +11,7 @@ from ..functions.rolling import symbol_key
 from ..operators import backtest, dataset, features, forecasters, metrics, ml, regimes, sizing
 from ..sources import bars as src
 from ..sources import forecasts as fsrc
+from ..sources.paths import shared_folder
 from ..streaming.bars import stream_hourly
 from . import oracle as q
 
@@ -113,9 +114,7 @@ def close_long(spark, sf_dir):
 @query("SELECT event_type AS ticker, CAST(ts AS DATE) AS date, round(arg_min(value, row(ts, event_id)), 6) AS first_value, round(arg_max(value, row(ts, event_id)), 6) AS last_value FROM events GROUP BY 1, 2")
 def dedupe_first_last(spark, sf_dir):
     e = src.table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "ts", "event_id", "value")
-    a = src.first_of_day(e, "ts", "event_id").select("ticker", "date", F.col("value").alias("first_value"))
-    b = src.last_of_day(e, "ts", "event_id").select("ticker", "date", F.col("value").alias("last_value"))
-    return rounded(a.join(b, ["ticker", "date"]), 6, "first_value", "last_value")
+    return rounded(src.ends_of_day(e, "value", "ts", "event_id"), 6, "first_value", "last_value")
 
 
 _ALIAS = [("eth_usd", 1.0), ("BTC", 2.0), ("sol-usd", 3.0), ("doge", 4.0)]
@@ -242,9 +241,12 @@ def split_counts(spark, sf_dir):
     return dataset.split_counts(_dataset(spark, sf_dir))
 
 
-@query()
+@query(f"""{q.DATASET}, o AS (SELECT *, row_number() OVER (ORDER BY date, ticker) AS rk, count(*) OVER () AS t FROM s),
+fo AS (SELECT * FROM (VALUES (1, 0.625), (2, 0.75), (3, 0.875)) v(fold, a)),
+ro AS (SELECT fold, date, CASE WHEN rk <= floor(a * t) THEN 'train' WHEN rk <= floor((a + 0.09375) * t) THEN 'val' END AS role FROM o CROSS JOIN fo)
+SELECT fold, role, count(*) AS n, min(date) AS start, max(date) AS "end" FROM ro WHERE role IS NOT NULL GROUP BY fold, role""")
 def time_folds(spark, sf_dir):
-    """Rows by fold and role of expanding folds over dates."""
+    """Rows by fold and role of expanding folds over the rows by date."""
     return dataset.folds(_dataset(spark, sf_dir)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
 
 
@@ -302,15 +304,23 @@ def ml_snapshot(spark, sf_dir):
     return rounded(rounded(rounded(sizing.ml_snapshot(_ml(spark, sf_dir), src.daily(spark, sf_dir), sizing.weights_table(spark)), 4, "notional_alloc"), 8, "pred_vol"), 6, "units")
 
 
-@query()
+def _portfolio_sql() -> str:
+    shares = ", ".join(f"{v} AS {c}" for c, v in {"share_ewma": "round(alloc_ewma / sum(alloc_ewma) OVER (), 4)", "share_ml": "round(alloc_ml / sum(alloc_ml) OVER (), 4)", "ratio": "round(units_ml / units_ewma, 3)"}.items())
+    return f"""SELECT ticker, round(units_ewma, 4) AS units_ewma, round(units_ml, 4) AS units_ml, round(alloc_ewma, 2) AS alloc_ewma, round(alloc_ml, 2) AS alloc_ml, {shares}, state FROM (
+SELECT a.ticker AS ticker, a.units AS units_ewma, b.units AS units_ml, a.notional_alloc AS alloc_ewma, b.notional_alloc AS alloc_ml FROM ({ORACLES['ewma_snapshot']}) a FULL JOIN ({ORACLES['ml_snapshot']}) b ON a.ticker = b.ticker)
+CROSS JOIN ({q.STATE} SELECT arg_max(state, date) AS state FROM ds)"""
+
+
+@query(_portfolio_sql())
 def portfolio_summary(spark, sf_dir):
     b, w = src.daily(spark, sf_dir), sizing.weights_table(spark)
-    return sizing.portfolio_summary(sizing.ewma_snapshot(b, w), sizing.ml_snapshot(_ml(spark, sf_dir), b, w), daily_state(spark, sf_dir))
+    d = sizing.portfolio_summary(sizing.ewma_snapshot(b, w), sizing.ml_snapshot(_ml(spark, sf_dir), b, w), daily_state(spark, sf_dir))
+    return rounded(rounded(rounded(d, 4, "units_ewma", "units_ml"), 2, "alloc_ewma", "alloc_ml"), 4, "share_ewma", "share_ml").withColumn("ratio", F.round("ratio", 3))
 
 
 def _positions(spark, sf_dir, provider: str) -> DataFrame:
     b = src.daily(spark, sf_dir)
-    f = forecasters.lagged_blend(b) if provider == "ewma" else fsrc.align(fsrc.scale(_ml(spark, sf_dir), 1.0), b).withColumnRenamed("pred", "pred_vol")
+    f = forecasters.lagged_blend(b) if provider == "ewma" else fsrc.align(_ml(spark, sf_dir), b).withColumnRenamed("pred", "pred_vol")
     return backtest.weekly_positions(b, f.select("ticker", "date", "pred_vol"), sizing.weights_table(spark))
 
 
@@ -469,9 +479,14 @@ def expected_duration(spark, sf_dir):
     return rounded(regimes.expected_durations(regimes.transitions(daily_state(spark, sf_dir))), 6, "days")
 
 
-@query()
+_TREES = {"risk_off": "bo * co + bo * cb + co * bc", "neutral": "ob * cb + ob * co + cb * oc", "risk_on": "oc * bc + oc * bo + bc * ob"}
+_CELLS = ", ".join(f"max(prob) FILTER (from_state = '{a}' AND to_state = '{b}') AS {x}{y}" for x, a in zip("obc", regimes.STATES, strict=True) for y, b in zip("obc", regimes.STATES, strict=True) if x != y)
+
+
+@query(f"{q.STATE}, cl AS (SELECT {_CELLS} FROM tr), w AS (" + " UNION ALL ".join(f"SELECT '{s}' AS state, {x} AS v FROM cl" for s, x in _TREES.items()) + ") SELECT state, round(v / sum(v) OVER (), 8) AS prob FROM w")
 def stationary_distribution(spark, sf_dir):
-    return regimes.stationary(regimes.transitions(daily_state(spark, sf_dir)))
+    """SQL takes the sums over spanning trees of the three states."""
+    return rounded(regimes.stationary(regimes.transitions(daily_state(spark, sf_dir))), 8, "prob")
 
 
 @query(f'{q.STATE} SELECT run, state, start, "end", length FROM rl')
@@ -498,7 +513,9 @@ def hazards_smoothed(spark, sf_dir):
 nc AS (SELECT ag.date AS date, ag.state AS state, ag.age AS age, 1 - coalesce(hs.hazard, 0.05) AS stay FROM ag LEFT JOIN tt ON tt.state = ag.state LEFT JOIN hs ON hs.state = ag.state AND hs.age = least(ag.age, top))
 SELECT date, nc.state AS state, age, to_state, round(CASE WHEN nc.state = to_state THEN stay ELSE (1 - stay) * prob / mass END, 8) AS prob FROM nc JOIN tr ON tr.from_state = nc.state JOIN tm ON tm.from_state = nc.state""")
 def nowcast(spark, sf_dir):
-    s = daily_state(spark, sf_dir).persist()  # a row a day, read four times
+    path = shared_folder(spark, "daily-state")  # a row a day, read four times
+    daily_state(spark, sf_dir).write.parquet(path)
+    s = spark.read.parquet(path)
     return rounded(regimes.nowcast(s, regimes.transitions(s), regimes.smooth(regimes.hazards(s))), 8, "prob")
 
 
@@ -519,12 +536,12 @@ def feature_importance(spark, sf_dir):
     return ml.importance(_dataset(spark, sf_dir))
 
 
-@query()
+@query(f"{q.DATASET}, rk AS (SELECT {_ranked(_NUM)} FROM s WHERE split = 'train') " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS rho FROM rk" for a in _NUM for b in _NUM))
 def rank_corr_matrix(spark, sf_dir):
-    return ml.rank_matrix(_dataset(spark, sf_dir).where("split = 'train'"), _NUM)
+    return rounded(ml.rank_matrix(_dataset(spark, sf_dir).where("split = 'train'"), _NUM), 6, "rho")
 
 
-@query(ORACLES["bars_hourly"])
+@query(f"SELECT * FROM ({ORACLES['bars_hourly']}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")
 def stream_bars_hourly(spark, sf_dir):
-    """The hourly bars, by a stream over the events that runs until its input is read."""
+    """The hourly bars that a stream over the events has closed when its input is read."""
     return rounded(stream_hourly(spark, sf_dir).drop("adj_close"), 6, "open", "high", "low", "close")

@@ -45,13 +45,20 @@ def by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(o, "ticker", "date")
 
 
+def canonical(name: str) -> str:
+    """The field that a column's name stands for: open, high, low, adj_close, close or volume if it holds that word, else itself in lower case."""
+    low = name.strip().lower().replace(" ", "_")
+    return next((f for f in ("open", "high", "low", "adj_close", "close", "volume") if f in low), low)
+
+
 def load_long(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A long table from Parquet or CSV with column names in any case and spacing; missing optional columns are null.
+    """A long table from Parquet or CSV with column names in any case, spacing and with additions ("AAA Close"), the first of
+    equal meaning; missing optional columns are null.
 
     Raises ValueError if date, ticker, high or low is missing. Zones are dropped, NaN becomes null.
     """
     raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
-    named = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
+    named = {canonical(c): c for c in reversed(raw.columns)}
     missing = [c for c in REQUIRED if c not in named]
     if missing:
         raise ValueError(f"missing columns: {missing}")
@@ -90,6 +97,12 @@ def last_of_day(bars: DataFrame, *order: str) -> DataFrame:
     return bars.groupBy("ticker", "date").agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("r")).select("ticker", "date", "r.*")
 
 
+def ends_of_day(bars: DataFrame, value: str, *order: str) -> DataFrame:
+    """(ticker, date, first_value, last_value) in the given order, in one aggregation."""
+    at = F.struct(*order)
+    return bars.groupBy("ticker", "date").agg(F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"))
+
+
 def to_wide(bars: DataFrame, tickers: list[str], field: str = "close") -> DataFrame:
     """A column for each ticker; a repeated (ticker, date) raises when the result is read."""
     one = F.when(F.count(field) <= 1, F.first(field)).otherwise(F.raise_error(F.lit("repeated ticker and date")).cast("double"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.paths import shared_folder
+
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
@@ -22,12 +22,16 @@ def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs hourly_bars over the events file as a stream until its input is read; the result of the complete mode."""
+    """Runs hourly_bars over the events file as a stream until its input is read: the hours that the watermark has closed.
+
+    Append mode keeps the state of open hours only, and finished ones go to files; both folders are shared ones.
+    """
     events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"bars_{uuid.uuid4().hex}"
-    run = hourly_bars(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = shared_folder(spark, "stream-bars")
+    out = hourly_bars(events).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/bars").option("checkpointLocation", f"{folder}/progress")
+    run = out.trigger(availableNow=True).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/bars")
