@@ -8,6 +8,7 @@ finished with an avalanche mix. Nothing here loops over words in Python.
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -215,9 +216,11 @@ def ranges_for(df: DataFrame, each: int = 8 << 20) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, a temporary one (local runs)."""
+    """The folder that driver and executors share; in local mode, where there is one machine, a temporary one if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tidewick-")
@@ -253,9 +256,13 @@ def drop_cut(df: DataFrame, part: str = "") -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Frees the shuffle files of stages that nothing refers to any more, which otherwise wait for the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Frees the shuffle files of stages that nothing refers to any more, which otherwise wait for the driver's next collection.
+
+    Python's references go first, and reach the JVM with the next call, so it takes two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
