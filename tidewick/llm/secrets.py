@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import text_bytes
+from .common import cut, text_bytes
 
 #: Base kinds in the order that breaks ties, then the added ones.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "url")
@@ -89,7 +89,8 @@ def scan(docs: DataFrame, path: str) -> DataFrame:
 
     (doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans). A row is one historical version: ids and texts may
     repeat, each row gives a row. A null text is the empty blob, without findings; ids may be null; other columns are
-    ignored. Texts are read whole. A blob that two runs scan at once is in the ledger twice and counts once.
+    ignored. Texts are read whole, however long. Spans that begin together go in the order of KINDS; spans of different
+    kinds may overlap. A blob that two runs scan at once is in the ledger twice and counts once. No rows give none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -100,19 +101,23 @@ def scan(docs: DataFrame, path: str) -> DataFrame:
     reps = rows.groupBy("blob").agg(F.min(version).alias("version")).join(rules.select("blob"), "blob", "left_anti")
     texts = rows.withColumn("version", version).join(reps, ["blob", "version"]).select("blob", "text")
     texts.mapInArrow(_scan, FINDINGS).write.mode("append").parquet(path)
-    found = ledger(spark, path).where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]).drop("rule_version")
+    # Written, so that nothing but the join shares its exchange: a hot blob's versions can be split between tasks.
+    found = cut(ledger(spark, path).where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]).drop("rule_version"), "findings")
     return rows.select("doc_id", "blob").join(found, "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def redact(docs: DataFrame, path: str, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of text replaced by a mark (overlapping spans as one) and n_chars, if there, renewed.
 
-    Findings come from the ledger at path, which a scan of docs extends first. Null texts stay null; all columns stay.
+    Findings come from the ledger at path, which a scan of docs extends first. Null texts stay null; all columns stay,
+    whatever their names; repeated rows stay; no rows give none.
     """
     scan(docs, path)
-    found = ledger(docs.sparkSession, path).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     names = docs.columns
-    rows = docs.withColumn("__blob", F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))).join(found, "__blob", "left").select(*names, "__spans")
+    blob, found_spans = ("_" * (1 + max(map(len, names))) + c for c in ("blob", "spans"))  # no column has so long a name
+    found = ledger(docs.sparkSession, path).where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("spans").alias(found_spans))
+    found = cut(found, "secrets")
+    rows = docs.withColumn(blob, F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))).join(found, blob, "left").select(*(F.col(f"`{c}`") for c in names), found_spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
