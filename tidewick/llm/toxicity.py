@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, text_bytes
 
-# Common English insults that are weak entries (near_most at most, once a text) until training supports them as it does other words.
-SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
-# Words before a reported term, and quotation marks.
-REPORTING = frozenset("said says say quote quoted quotes quoting called calls wrote writes term word words cited".split())
+# Words before a reported term in English, German, French and Spanish, and quotation marks.
+REPORTING = frozenset(
+    "said says say quote quoted quotes quoting called calls wrote writes term word words cited "
+    "sagt sagte schrieb schreibt nannte nennt wort worte zitat zitiert dit disait écrit écrivait appelle appelait mot mots cité "
+    "dijo dice escribió escribe llamó llama palabra palabras término cita citó".split()
+)
 QUOTES = re.compile("[\"“”„«»‹›]")
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -210,7 +212,7 @@ class Scorer:
                 if weight is None:
                     m = self.match(w)
                     weight = m[0] if m else 0.0
-                    if m and m[2] == 0 and weight > self.params.near_most:
+                    if m and m[2] == 0:
                         self.exact.add(w)
                     if weight < 0.02:
                         self.clean.add(w)
@@ -259,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     """Lexicon from documents (doc_id, text) with labels (doc_id, toxic 0/1) outside the held-out third.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1 are read; of these at most about max_rows, chosen by a
-    hash of doc_id. Repeated labels of a document count as toxic if one is. Null labels, ids and texts teach nothing.
+    hash of doc_id. Repeated labels of a document count as toxic if one is. Null labels, ids and texts teach nothing;
+    without labelled rows, or without toxic ones, the lexicon is empty and every text scores `prior`.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", 3) != 1)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -273,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         total = words.agg(F.sum("bad"), F.sum("good")).first()
         bad, good = (total[0] or 0), (total[1] or 0)
         if not bad:
-            return Lexicon([(w, False, params.near_most) for w in SEED], {}, params)
+            return Lexicon([], {}, params)
         rate = bad / (bad + good)
         stems = words.select(F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in params.stem_lengths))).alias("word"), "bad", "good").where("word is not null")
         stems = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("forms")).where(f"forms >= {params.stem_forms}")
@@ -283,14 +286,13 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
         evidence = (F.col("bad") + F.col("good")) * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
         # A bound on the chance that any of the candidates is so one-sided by luck.
         found = both.where((share >= params.purity) & (evidence >= math.log(max(1, tests) / params.alpha))).collect()
-        seeds = {r["word"]: (r["bad"], r["good"]) for r in words.where(F.col("word").isin(*SEED)).collect()}
         both.unpersist()
         weight = lambda b, g: (b + 1) / (b + g + 2)
         short: list[tuple[str, bool, float]] = []
         for r in sorted((r for r in found if r["stem"]), key=lambda r: (len(r["word"]), r["word"])):
             if not any(r["word"].startswith(s) for s, _, _ in short):
                 short.append((r["word"], True, weight(r["bad"], r["good"])))
-        plain = {w: min(params.near_most, weight(*seeds.get(w, (0, 0)))) for w in SEED} | {r["word"]: weight(r["bad"], r["good"]) for r in found if not r["stem"]}
+        plain = {r["word"]: weight(r["bad"], r["good"]) for r in found if not r["stem"]}
         lexicon = Lexicon([*short, *((w, False, x) for w, x in sorted(plain.items()) if not any(w.startswith(s) for s, _, _ in short))], {}, params)
         return _with_near_weights(words, lexicon)
     finally:
@@ -333,8 +335,9 @@ def _with_near_weights(words: DataFrame, lexicon: Lexicon) -> Lexicon:
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, held_out, score, predicted, hits, quoted) for every row of docs (doc_id, text).
 
-    score is 0 to 1. A null or empty text has no hit and the score `prior`. predicted is 1 from the threshold up.
-    Repeated rows and null ids each give a row (a null id isn't held out); other columns are ignored.
+    score is 0 to 1. A null or empty text has no hit and the score `prior`. predicted is 1 from the threshold up, equal
+    to it included. A text over PIECE characters is read whole, in pieces cut at blanks; a quotation across a cut isn't seen.
+    Repeated rows and null ids each give a row (a null id isn't held out); other columns are ignored; no rows give none.
     """
     threshold = lexicon.params.threshold
 
@@ -349,7 +352,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns, in one pass."""
+    """The rows of docs whose text scores below the threshold, with all their columns, in one pass.
+
+    Null and empty texts stay, rows without an id too; repeated rows stay or go together; a score equal to the threshold goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
