@@ -4,8 +4,8 @@ Format "warc", options path, target_bytes (compressed bytes of a read partition)
 makes one archive of gzip members, a record each, and an index of their offsets and types; the
 driver's commit moves both to their names, so a lost or repeated task leaves nothing that is read.
 
-Reading plans partitions from the indexes (an archive without one is a partition of its own),
-takes equality, IN and prefix predicates on record type and header columns, decompresses a
+Reading plans byte ranges of the archives, whose members a task finds in the index (an archive
+without one is a partition of its own), takes equality, IN and prefix predicates on record type and header columns, decompresses a
 record's headers first, and goes on to its payload only if the record passes and the schema has
 the column `payload`.
 """
@@ -86,8 +86,12 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 @dataclass
 class ArchiveSpan(InputPartition):
+    """The members of an archive that begin in bytes [start, stop); without an index, the whole archive."""
+
     path: str
-    members: list[tuple[int, int]] | None  # offset and length; None: the whole file, without an index
+    index: str | None
+    start: int = 0
+    stop: int = 0
 
 
 @dataclass
@@ -99,17 +103,15 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.date = options.get("date", "2024-01-01T00:00:00Z")
-        if overwrite:
-            fs, p = open_fs(self.path)
-            if fs.get_file_info(p).type != pafs.FileType.NotFound:
-                fs.delete_dir_contents(p)
+        self.overwrite = overwrite
+        self.pending = f"_pending-{uuid.uuid4().hex}"  # of this write alone
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         fs, folder = open_fs(self.path)
         name = uuid.uuid4().hex
-        fs.create_dir(f"{folder}/_pending", recursive=True)
+        fs.create_dir(f"{folder}/{self.pending}", recursive=True)
         index, at = [], 0
-        with fs.open_output_stream(f"{folder}/_pending/{name}.warc.gz", compression=None) as out:
+        with fs.open_output_stream(f"{folder}/{self.pending}/{name}.warc.gz", compression=None) as out:
             for batch in iterator:
                 for page_id, url, payload, digest, refers_to in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                     z = zlib.compressobj(5, zlib.DEFLATED, 31)
@@ -117,16 +119,20 @@ class WarcWriter(DataSourceArrowWriter):
                     out.write(member)
                     index.append((at, len(member), "response" if refers_to is None else "revisit"))
                     at += len(member)
-        with fs.open_output_stream(f"{folder}/_pending/{name}.idx") as out:
+        with fs.open_output_stream(f"{folder}/{self.pending}/{name}.idx") as out:
             out.write(json.dumps(index).encode())
         return Archives([name])
 
     def commit(self, messages: list) -> None:
         fs, folder = open_fs(self.path)
+        if self.overwrite:  # what was there goes only now that all of the new is written
+            for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+                if f.is_file:
+                    fs.delete_file(f.path)
         for m in messages:
             for name in m.names if m else []:
                 for end in (".idx", ".warc.gz"):
-                    fs.move(f"{folder}/_pending/{name}{end}", f"{folder}/{name}{end}")
+                    fs.move(f"{folder}/{self.pending}/{name}{end}", f"{folder}/{name}{end}")
         self._clear()
 
     def abort(self, messages: list) -> None:
@@ -134,8 +140,8 @@ class WarcWriter(DataSourceArrowWriter):
 
     def _clear(self) -> None:
         fs, folder = open_fs(self.path)
-        if fs.get_file_info(f"{folder}/_pending").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{folder}/_pending")
+        if fs.get_file_info(f"{folder}/{self.pending}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{folder}/{self.pending}")
 
 
 class WarcReader(DataSourceReader):
@@ -159,10 +165,10 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ArchiveSpan]:
+        """Byte ranges of the archives, from the folder's listing alone; the tasks read the indexes."""
         fs, folder = open_fs(self.path)
         files = {f.path: f for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.is_file}
         out = []
-        types = self.equal.get("record_type")
         for path in sorted(files):
             if not path.endswith((".warc.gz", ".warc")):
                 continue
@@ -170,19 +176,15 @@ class WarcReader(DataSourceReader):
             if at not in files:
                 out.append(ArchiveSpan(path, None))
                 continue
-            with fs.open_input_stream(at) as f:
-                members = [(a, n) for a, n, kind in json.loads(f.read()) if types is None or kind in types]
-            size, part = 0, []
-            for m in members:
-                part.append(m)
-                size += m[1]
-                if size >= self.target:
-                    out.append(ArchiveSpan(path, part))
-                    size, part = 0, []
-            if part:
-                out.append(ArchiveSpan(path, part))
+            out += [ArchiveSpan(path, at, a, a + self.target) for a in range(0, files[path].size, self.target)]
         return out
 
+    def members(self, fs: pafs.FileSystem, span: ArchiveSpan) -> list[tuple[int, int]]:
+        """Offset and length of the span's members, of the wanted types if those are known."""
+        types = self.equal.get("record_type")
+        with fs.open_input_stream(span.index) as f:
+            return [(a, n) for a, n, kind in json.loads(f.read()) if span.start <= a < span.stop and (types is None or kind in types)]
+
     def passes(self, head: dict[str, str]) -> bool:
         return all(_value(c, head) in want for c, want in self.equal.items()) and all((_value(c, head) or "").startswith(p) for c, p in self.prefix)
 
@@ -192,7 +194,8 @@ class WarcReader(DataSourceReader):
         types = [pa.binary() if c == "payload" else pa.int64() if c in NUMBERS else pa.string() for c in self.columns]
         wanted = "payload" in self.columns
         rows, size = [], 0
-        for head, body in _records(open_fs(self.path)[0], partition, self.passes, wanted):
+        fs = open_fs(self.path)[0]
+        for head, body in _records(fs, partition.path, self.members(fs, partition) if partition.index else None, self.passes, wanted):
             payload = None
             if wanted and head.get("warc-type") != "revisit" and body is not None:
                 payload = body.partition(b"\r\n\r\n")[2] if body.startswith(b"HTTP/") else body
@@ -210,13 +213,13 @@ def _value(column: str, head: dict[str, str]):
     return int(x) if x is not None and column in NUMBERS else x
 
 
-def _records(fs: pafs.FileSystem, span: ArchiveSpan, passes, wanted: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def _records(fs: pafs.FileSystem, path: str, members: list[tuple[int, int]] | None, passes, wanted: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers, and the block if wanted, of the records that pass."""
-    if span.members is None:
-        yield from _stream(fs.open_input_stream(span.path, compression=None), span.path.endswith(".gz"), passes, wanted)
+    if members is None:
+        yield from _stream(fs.open_input_stream(path, compression=None), path.endswith(".gz"), passes, wanted)
         return
-    with fs.open_input_file(span.path) as f:
-        for at, n in span.members:
+    with fs.open_input_file(path) as f:
+        for at, n in members:
             raw = f.read_at(n, at)
             z = zlib.decompressobj(31)
             data = z.decompress(raw, 2048)
@@ -306,6 +309,7 @@ def write_pages(pages: DataFrame, path: str, *, min_bytes: int = 0) -> None:
     Of the rows with equal payloads of at least min_bytes, those with the smallest page_id are responses, the others
     revisits of it (rows that repeat that page_id too are responses; a null page_id counts as larger than any, and
     where no row of a payload has one, all are responses). A null html is an empty payload, a null url about:blank.
+    Payloads are written whole, however long; a record must fit in a task's memory. No pages make no archive.
     """
     register(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
