@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, steps, word_hashes
+from .common import cut, shingle_hashes, steps, word_hashes
 
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -28,7 +28,7 @@ RESULT = "doc_id long, item_id long, score double, question_overlap double, answ
 @dataclass(frozen=True)
 class Bm25Params:
     """threshold: share of an item's own score; essential: share of its weight in essential terms, at least 1 - threshold;
-    overlap: share of the shingles of question and of answer, see _overlap(), that must be in the passage; shard_bytes bounds a broadcast index."""
+    overlap: share of the shingles of question and of answer, see _overlap(), that must be in the passage; shard_bytes bounds the index that travels with tasks."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -211,7 +211,10 @@ def _search(index: BlockMaxIndex, ids: list[int], words: list[np.ndarray], cuts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
             doc_ids = batch.column(0).to_pylist()
-            rows = [(doc_ids[i], ids[item], *v) for (i, item), v in sorted(_held(index, words, cuts, stride, texts).items())]
+            best: dict[tuple[int, int], tuple] = {}  # an item may have several texts
+            for (i, item), v in _held(index, words, cuts, stride, texts).items():
+                best[i, ids[item]] = max(best.get((i, ids[item]), (0.0, 0.0, 0.0)), v)
+            rows = [(doc_ids[i], item, *v) for (i, item), v in sorted(best.items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -222,25 +225,33 @@ def leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params())
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every item that a passage of a document holds.
 
     docs (doc_id, text), items (item_id, text); other columns are ignored. Passages are windows of two strides, a stride
-    apart, so each run of words as long as the longest item lies in one. score is the best passage's BM25 as a share of
-    the item's own. Null, empty and blank texts hold and are nothing. Repeated documents each give their rows; items
-    with a null id are ignored, repeated ones count once. No items or no documents give no rows.
+    apart, so each run of words as long as the longest item lies in one; texts are read whole, in steps of bounded size.
+    score is the best passage's BM25 as a share of the item's own; values that equal a bound count as reached. Null, empty
+    and blank texts hold and are nothing. Repeated documents each give their rows; items with a null id are ignored,
+    repeated ones count once, and of one with several texts the best match counts. No items or no documents give no rows.
 
-    The index of up to shard_bytes of item text is broadcast; a larger benchmark is searched in shards of that size, each
-    of all documents, with word statistics of the whole. No shuffle of documents.
+    The index of up to shard_bytes of item text travels with the tasks; a larger benchmark is searched in shards of that
+    size, one after the other, each with all documents and with word statistics of the whole. No shuffle of documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for shard in _shards(items, params):
+    shards, each = _shards(items, params)
+    out = spark.createDataFrame([], RESULT)
+    for shard in each:
         found = rows.mapInArrow(_search(*shard), RESULT)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+        if shards == 1:
+            return found
+        out = out.unionByName(cut(found, "leaks"))  # the driver holds one shard at a time
+    return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns: a pass for each shard of items."""
-    for index, ids, words, cuts, stride in _shards(items, params):
+    """The rows of docs that hold no item, with all their columns: a pass for each shard of items.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all rows stay.
+    """
+    shards, each = _shards(items, params)
+    for index, ids, words, cuts, stride in each:
 
         def run(batches: Iterator[pa.RecordBatch], index=index, words=words, cuts=cuts, stride=stride) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,34 +263,53 @@ def without_leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Pa
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if shards > 1:
+            docs = cut(docs, "no-leaks")
     return docs
 
 
-def _shards(items: DataFrame, params: Bm25Params) -> list[tuple]:
-    """Index, item ids, word hashes, ends of questions and stride of each shard of the items."""
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, words) for each distinct word of each item, and (null, words) for the item itself."""
+    for batch in batches:
+        for part, texts in steps(iter([batch])):
+            hashes, off = word_hashes(texts)
+            terms = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(off[:-1], off[1:], strict=True)]
+            n = np.diff(off)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.concatenate(terms)), pa.nulls(len(n), pa.int64())]), pa.array(np.concatenate((np.repeat(n, [len(t) for t in terms]), n)))], names=["term", "words"])
+
+
+def _shards(items: DataFrame, params: Bm25Params) -> tuple[int, Iterator[tuple]]:
+    """The number of shards, and of each in turn index, item ids, word hashes, ends of questions and stride.
+
+    Word statistics are counted by Spark; a shard's items and the counts of its words, in proportion to shard_bytes, come
+    to the driver.
+    """
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and trim(text) <> ''").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // params.shard_bytes))
-    count, length, longest, stats = 0, 0, 0, {}
-    parts = []
-    for k in range(shards):
-        part = sorted((r["item_id"], r["text"]) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect())  # shard_bytes or so
-        hashes, off = word_hashes([t.encode() for _, t in part])
-        words = [hashes[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-        keep = [i for i, w in enumerate(words) if len(w)]
-        for i in keep:
-            count, length, longest = count + 1, length + len(words[i]), max(longest, len(words[i]))
-            for t in np.unique(words[i]).tolist():
-                stats[t] = stats.get(t, 0) + 1
-        parts.append(([part[i] for i in keep], [words[i] for i in keep]))
-    terms = np.array(sorted(stats), dtype=np.uint64)
-    df = np.array([stats[t] for t in terms.tolist()], dtype=np.float64)
-    idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    out = []
-    for part, words in parts:
-        if not part:
-            continue
-        index = BlockMaxIndex(words, terms, idf, length / count, params)
-        cuts = [split_item(t.encode().split(), t.encode(), params.answer_share)[0] for _, t in part]
-        out.append((index, [i for i, _ in part], words, cuts, max(params.least_stride, longest)))
-    return out
+    terms = tests.select("item_id", "text").mapInArrow(_item_words, "term long, words long")
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"), F.max("words").alias("longest"))
+    if shards > 1:
+        counts = cut(counts, "item-words")
+    whole = counts.where("term is null and words > 0").first()
+
+    def each() -> Iterator[tuple]:
+        for k in range(shards if whole else 0):
+            mine = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
+            part = sorted((r["item_id"], r["text"]) for r in mine.collect())
+            hashes, off = word_hashes([t.encode() for _, t in part])
+            words = [hashes[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+            keep = [i for i, w in enumerate(words) if len(w)]
+            part, words = [part[i] for i in keep], [words[i] for i in keep]
+            if not part:
+                continue
+            own = mine.mapInArrow(_item_words, "term long, words long").where("term is not null").select("term").distinct()
+            df = counts.where("term is not null").join(own, "term").select("term", "df").toPandas()
+            found = df["term"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(found)
+            n = df["df"].to_numpy(np.float64)[order]
+            index = BlockMaxIndex(words, found[order], np.log1p((whole["df"] - n + 0.5) / (n + 0.5)), whole["words"] / whole["df"], params)
+            cuts = [split_item(t.encode().split(), t.encode(), params.answer_share)[0] for _, t in part]
+            yield index, [i for i, _ in part], words, cuts, max(params.least_stride, whole["longest"])
+
+    return shards, each()
