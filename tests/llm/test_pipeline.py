@@ -14,11 +14,13 @@ def test_stages(spark, tmp_path):
     text = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
     item = text(30) + ". " + text(6)
     clean = [(i, text(80)) for i in range(30)]
-    rows = [*clean, (100, clean[0][1]), (101, clean[1][1] + " tail"), (102, f"{text(50)} {item} {text(20)}"), (103, "you worthless idiot " + text(40)), (104, text(30) + ' password = "abcdefghijklmnop" ' + text(5)), (105, None), (106, "")]
+    clean += [(200 + i, text(60)) for i in range(60)]
+    learned = [(300 + i, f"{text(20)} grunlok {text(20)} grunlok {text(20)}") for i in range(60)]
+    rows = [*clean, *learned, (100, clean[0][1]), (101, clean[1][1] + " tail"), (102, f"{text(50)} {item} {text(20)}"), (103, f"{text(5)} grunlok {text(40)}"), (104, text(30) + ' password = "abcdefghijklmnop" ' + text(5)), (105, None), (106, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     d = str(tmp_path)
     docs.write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(103, 1, 1), (0, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([*((i, 1, 1) for i, _ in learned), *((i, 1, 0) for i, _ in clean)], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     left = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -31,6 +33,26 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in final.collect()} == set(got)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, clashing names, and no rows at all."""
+    d = str(tmp_path)
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (2, ""), (None, "a null id has words"), (None, None), (3, long), (4, "plain words here"), (4, "plain words here"), (4, "other text of this id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "b", "c") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, blob string, spans string")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for table in (docs, docs.where("false")):
+        left = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, d)
+            assert left.columns == docs.columns
+        got = sorted(((r["doc_id"], len(r["text"] or "")) for r in left.collect()), key=str)
+        kept = [(1, 0), (2, 0), (None, 19), (None, 0), (3, len(long)), (4, 16), (4, 21)]
+        assert got == (sorted(kept, key=str) if table is docs else [])
+        final = corpus_pipeline.STAGES[-1][1](spark, left, d)
+        assert final.count() == len(got)
+
+
 def test_each_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

@@ -8,7 +8,7 @@ assemble() makes one row a pair of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template around a turn.
@@ -48,12 +48,14 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame, *, trained_r
 def assemble(segments: DataFrame) -> DataFrame:
     """(pair_id, prompt, chosen, rejected, chosen_loss, rejected_loss) from segments: one training example a row.
 
-    The losses are lists of [from, to) spans with loss 1 in the completion. An example must fit in a row.
+    The losses are lists of [from, to) spans, in code points, with loss 1 in the completion. A pair without a common
+    prefix has an empty prompt, one that is all prefix two empty completions. An example must fit in a row.
     """
-    rows = segments.groupBy("pair_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "rendered", "text_from", "text_to", "loss"))).alias("t"))
+    w = Window.partitionBy("pair_id", "part").orderBy("turn")
+    at = F.coalesce(F.sum(F.length("rendered")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = segments.withColumn("at", at).groupBy("pair_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "rendered", (F.col("at") + F.col("text_from")).alias("a"), (F.col("at") + F.col("text_to")).alias("b"), "loss"))).alias("t"))
     whole = F.array_join(F.transform("t", lambda x: x["rendered"]), "")
-    at = F.aggregate("t", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<array<bigint>>").alias("spans")), lambda a, x: F.struct((a["n"] + F.length(x["rendered"])).alias("n"), F.when(x["loss"] == 1, F.concat(a["spans"], F.array(F.array(a["n"] + x["text_from"], a["n"] + x["text_to"])))).otherwise(a["spans"]).alias("spans")), lambda a: a["spans"])
-    rows = rows.select("pair_id", "part", whole.alias("s"), at.alias("l"))
+    rows = rows.select("pair_id", "part", whole.alias("s"), F.transform(F.filter("t", lambda x: x["loss"] == 1), lambda x: F.array(x["a"], x["b"])).alias("l"))
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
     none = F.array().cast("array<array<bigint>>")
     return rows.groupBy("pair_id").agg(*(F.coalesce(pick(p, "s"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")), *(F.coalesce(pick(p, "l"), none).alias(f"{p}_loss") for p in ("chosen", "rejected")))
@@ -61,4 +63,4 @@ def assemble(segments: DataFrame) -> DataFrame:
 
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs of conv_ids 2k (chosen) and 2k + 1 (rejected) with pair_id k, for every conversation that exists."""
-    return conversations.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"))
+    return conversations.where("conv_id is not null").select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"))

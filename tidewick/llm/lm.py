@@ -227,7 +227,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     The model learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null id counts as the empty text, which
     is among them). Tokens are A-Z lower-cased words between ASCII white space, then one end, so an empty or null
-    text is one token. score is the log10 probability of the whole text under the model; base_score is that of
+    text is one token; a text of any length is read whole, in a block of its own. For the weights, EM reads the tally of
+    all training tokens in bins of a quarter octave of their two probabilities; scores use the probabilities themselves.
+    score is the log10 probability of the whole text under the model; base_score is that of
     add-one word counts. Rows of one id each count and each give a row; other columns are ignored. An empty table
     gives no rows; without training rows all counts are 0. Words are told apart by 64-bit hashes, pairs by 56 bits.
     """

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bm25, bpe, chat, lm, repeats, secrets, sketch, toxicity, warc
 from .common import read, shared_path
@@ -37,9 +38,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered, masked turns of the pairs of conversations 2k and 2k + 1."""
+    """Prompt and masked completions of the pairs of conversations 2k and 2k + 1; masks as from:to, comma-joined."""
     conversations = read(spark, sf_dir, "conversations")
-    return chat.preference_segments(conversations, chat.neighbour_pairs(conversations))
+    pairs = chat.assemble(chat.preference_segments(conversations, chat.neighbour_pairs(conversations)))
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))), ",")
+    return pairs.select("pair_id", "prompt", "chosen", "rejected", spelled("chosen_loss").alias("chosen_loss"), spelled("rejected_loss").alias("rejected_loss"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +96,21 @@ parts AS (
   SELECT pair_id, turn, 'prompt' AS part, a AS said FROM met LEFT JOIN split USING (pair_id) WHERE cut IS NULL OR turn < cut
   UNION ALL SELECT pair_id, turn, 'chosen', a FROM met JOIN split USING (pair_id) WHERE turn >= cut AND a IS NOT NULL
   UNION ALL SELECT pair_id, turn, 'rejected', b FROM met JOIN split USING (pair_id) WHERE turn >= cut AND b IS NOT NULL
-), r AS (SELECT pair_id, part, turn, coalesce(said.role, 'unknown') AS role, coalesce(said.text, '') AS body FROM parts)
-SELECT pair_id, part, turn, role,
-  '<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10) AS rendered,
-  CAST(length(role) + 5 AS BIGINT) AS text_from,
-  CAST(length(role) + 5 + length(body) + 9 AS BIGINT) AS text_to,
-  CAST(part <> 'prompt' AND role = 'assistant' AS INTEGER) AS loss
-FROM r
+), r AS (SELECT pair_id, part, turn, coalesce(said.role, 'unknown') AS role, coalesce(said.text, '') AS body FROM parts),
+t2 AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10) AS rendered, length(role) + length(body) + 14 AS size FROM r
+), pos AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t2
+), m AS (
+  SELECT *, CAST(start + length(role) + 5 AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS span, part <> 'prompt' AND role = 'assistant' AS loss FROM pos
+)
+SELECT pair_id,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY turn) FILTER (part = 'chosen' AND loss), '') AS chosen_loss,
+  coalesce(string_agg(span, ',' ORDER BY turn) FILTER (part = 'rejected' AND loss), '') AS rejected_loss
+FROM m GROUP BY pair_id
 """,
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

@@ -2,7 +2,8 @@
 
 The size of a sketch follows that of its text, so containment between very unequal texts can be
 estimated, and the sketch of a union is the union of sketches. Where no hash is below the
-threshold, the smallest one stands in, so only texts without words have an empty sketch.
+threshold, the smallest one stands in, so only texts without words have an empty sketch. merge() is exact all
+the same (a union's sketch needs no stand-in if either has a hash below); containment of a stand-in is 1 or 0.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import partitions, ranges_for, shingle_hashes, text_bytes, word_hashes
 
 LEAST = -(1 << 63)
+#: Bytes of text of a bucket of consecutive ids.
+BUCKET_BYTES = 64 << 20
 
 
 def sketches(texts: list[bytes], k: int = 5, fraction: float = 0.25) -> list[np.ndarray]:
@@ -125,11 +128,13 @@ def edited_fingerprints(docs: DataFrame, *, k: int = 5, fraction: float = 0.25)
     the next doc_id, the first one after the last; rows of one id go by text, a null id is the least. A single document is
     its own next. Null texts count as empty. Every row gives a row; other columns are ignored; no rows give none.
 
-    Texts move once: to buckets of consecutive ids, each with a copy of the row that begins the next bucket.
+    Texts move once: to buckets of consecutive ids, each with a copy of the row that begins the next bucket. As for a
+    partitioning by range, the driver holds a border for each bucket of BUCKET_BYTES. A bucket is read as a stream, a few
+    MB at a time and never less than two texts, so texts of any length are compared whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(LEAST))
-    many = ranges_for(docs, 4 << 20)
+    many = ranges_for(docs, BUCKET_BYTES)
     ids = rows.select(key.alias("key"))
     cuts = sorted({int(x) for x in ids.approxQuantile("key", [i / many for i in range(many)], 1 / (4 * many))})
 
@@ -144,5 +149,5 @@ def edited_fingerprints(docs: DataFrame, *, k: int = 5, fraction: float = 0.25)
     # One number for each bucket, of which there are `many` at most.
     firsts = sorted(r["key"] for r in ids.mapInArrow(bucketed, "bucket long, key long").groupBy("bucket").agg(F.min("key").alias("key")).collect())
     dealt = rows.mapInArrow(_dealt(firsts), "bucket int, mark boolean, doc_id long, text string")
-    ordered = dealt.repartition(max(partitions(docs.sparkSession), many // 3), "bucket").sortWithinPartitions("bucket", "mark", "doc_id", "text")
+    ordered = dealt.repartition(max(partitions(docs.sparkSession), many), "bucket").sortWithinPartitions("bucket", "mark", "doc_id", "text")
     return ordered.mapInArrow(_compared(k, fraction), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
