@@ -377,8 +377,10 @@ def plain_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "seed"), [(64, 1), (100, 2)])
-def test_repeats_equal_brute_force(spark, length, seed):
+@pytest.mark.parametrize(("length", "seed", "index_bytes"), [(64, 1, 1_500_000), (100, 2, 400)])
+def test_repeats_equal_brute_force(spark, monkeypatch, length, seed, index_bytes):
+    """The second case splits nearly every anchor, level after level, as hot."""
+    monkeypatch.setattr(repeats, "INDEX_BYTES", index_bytes)
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     shared = [text(rng.randrange(40, 400)) for _ in range(6)]
@@ -389,18 +391,30 @@ def test_repeats_equal_brute_force(spark, length, seed):
     assert repeats.drop_repeats(frame(spark, []), length=length).count() == 0
 
 
-def test_long_texts_in_pieces_and_large_groups(spark, monkeypatch):
+def test_long_texts_in_pieces(monkeypatch):
     rng = random.Random(9)
     body = "".join(rng.choice("abcd") for _ in range(3000))
-    texts = [body, "x" + body[500:900] + "y", "".join(rng.choice("abcd") for _ in range(500))]
     monkeypatch.setattr(repeats, "PIECE", 300)
     pieces = [(at, p) for at, p in repeats.long_pieces(body.encode(), 64)]
     starts = sorted(itertools.chain(*([at + k for k in range(len(p) - 63)] for at, p in pieces)))
     assert starts == list(range(3000 - 63))
-    bodies = [t.encode() for t in texts]
-    index = [x.tolist() for x in repeats._repeating_starts(bodies, 64)]
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 1)
-    assert index == [x.tolist() for x in repeats._repeating_starts(bodies, 64)]
+
+
+def test_one_hot_anchor_is_split(spark, monkeypatch):
+    """Many variants of one passage: their segments share an anchor and are more than an index takes."""
+    rng = random.Random(17)
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 3000)
+    base = "".join(rng.choice("abcdefgh") for _ in range(500))
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(500)] = rng.choice("XYZ")
+        rows.append((i, "".join(t)))
+    for widths in (repeats.WIDTHS, (40, 1)):
+        monkeypatch.setattr(repeats, "WIDTHS", widths)
+        got = sorted((tuple(r) for r in repeats.drop_repeats(frame(spark, rows), length=150).collect()), key=str)
+        assert got == plain_repeats(rows, 150)
 
 
 def test_matching_statistics():

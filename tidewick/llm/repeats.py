@@ -2,16 +2,20 @@
 
 1. Texts that occur twice repeat as a whole. Of each distinct text, every window of `length` bytes is
    assigned to its anchor, the least-hashed k-byte string in it (leftmost of equals). Equal windows
-   have equal anchors, wherever they are. The windows of an anchor are a segment of the text.
-2. Anchors meet by hash range, as numbers: segments that occur twice as a whole repeat; anchors
+   have equal anchors, wherever they are, at the same place. The windows of an anchor are a segment of the text.
+2. Segments are counted by anchor and by hash: those that occur twice as a whole repeat; anchors
    that occur once can't; only the other segments need a look at their bytes.
-3. Their bytes meet by hash range, with one copy of each segment that is known to repeat: a suffix
+3. An anchor with more bytes than an index takes is split: its windows by the anchor's place in them, in
+   buckets, and these by the bytes that all windows of a bucket have. What then is alone, or repeats as a
+   whole, is settled; what is still too much is split again, into narrower buckets. A bucket of one place
+   holds whole windows, so this ends, and no task gets a hot anchor.
+4. The bytes of each group meet, with one copy of each segment that is known to repeat: a suffix
    array (prefix tripling), its Burrows-Wheeler transform in runs, and samples at the run ends. A
    row within a run has its predecessor's match one byte later, so lengths are compared at run
    heads only and streamed along the text: PLCP[i] = PLCP[i - 1] - 1 elsewhere. A position's
    matching statistic is the longer of its matches with the neighbouring rows; a start with at
    least `length` is marked.
-4. The marks go back to the texts, whose covered bytes are dropped.
+5. The marks go back to the texts, whose covered bytes are dropped.
 """
 
 from __future__ import annotations
@@ -24,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE_VALUE, cut, mix64, pack, partitions, ranges_for, runs_of, text_bytes, unpack
+from .common import _BASE, _BYTE_VALUE, cut, drop_cut, mix64, ranges_for, runs_of, text_bytes
 
 KMER = 32
 PIECE = 1 << 20
-#: Bytes of segments that one index takes; a group of one anchor that is larger is counted by window hashes instead.
+#: Bytes of segments that one index takes; an anchor that has more is split.
 INDEX_BYTES = 1_500_000
+#: Places of an anchor in a bucket, from split to split.
+WIDTHS = (96, 24, 6, 1)
 _U = np.uint64
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_ANCHORS = "r int, owner binary, akey binary, skey binary, first binary, size binary"
+_ANCHORS = "owner long, first long, many long, lead long, akey long, skey long"
+_BODIES = "part string, akey long, owner long, first long, many long, lead long, state int, bhash long, body binary"
+_BODY_SCHEMA = pa.schema([("part", pa.string()), *((c, pa.int64()) for c in ("akey", "owner", "first", "many", "lead")), ("state", pa.int32()), ("bhash", pa.int64()), ("body", pa.binary())])
 
 
 def _prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +66,9 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, windows, anchor hash, segment hash) of the anchors of texts of at least `length` bytes."""
+    """(text, first start, windows, anchor's place in the first window, anchor hash, segment hash) of the anchors of texts of at least `length` bytes."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(raw) < length:
         return none
     h, back = _prefix_hashes(raw)
@@ -79,7 +87,7 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     place = (least[first] & _U((1 << 24) - 1)).astype(np.int64)
     stop = last + length
     skey = mix64(mix64((h[stop] - h[first]) * back[first]) + (place - first).astype(np.uint64) * _BASE + (stop - first).astype(np.uint64))
-    return text[first], first - (ends - sizes)[text[first]], last - first + 1, kmers[place], skey
+    return text[first], first - (ends - sizes)[text[first]], last - first + 1, place - first, kmers[place], skey
 
 
 def long_pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -90,14 +98,13 @@ def long_pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
         at += PIECE
 
 
-def _anchors(length: int, ranges: int):
-    schema = pa.schema([("r", pa.int32()), *((c, pa.binary()) for c in ("owner", "akey", "skey", "first", "size"))])
+def _anchors(length: int):
+    schema = pa.schema([(c, pa.int64()) for c in ("owner", "first", "many", "lead", "akey", "skey")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             held: list[tuple[int, int, bytes]] = []
-            found: list[tuple] = []
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 if key in seen or len(text) < length:
@@ -107,61 +114,37 @@ def _anchors(length: int, ranges: int):
                     held.append((key, at, piece))
                     size += len(piece)
                     if size >= PIECE:
-                        found.append(made(held))
+                        yield made(held)
                         held, size = [], 0
             if held:
-                found.append(made(held))
-            if not found:
-                continue
-            owner, first, many, akey, skey = (np.concatenate(x) for x in zip(*found, strict=True))
-            r = (akey >> _U(32)).astype(np.int64) * ranges >> 32
-            order = np.argsort(r, kind="stable")
-            cuts = np.searchsorted(r[order], np.arange(ranges + 1))
-            rows = [(k, *(pack(x[order[a:b]]) for x in (owner, akey, skey, first, many))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield made(held)
 
-    def made(held: list[tuple[int, int, bytes]]) -> tuple:
-        text, first, many, akey, skey = segments([x[2] for x in held], length)
+    def made(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        text, first, many, lead, akey, skey = segments([x[2] for x in held], length)
         keys = np.array([x[0] for x in held], dtype=np.int64)
         base = np.array([x[1] for x in held], dtype=np.int64)
-        return keys[text], (base[text] + first), many.astype(np.uint32), akey, skey
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[text], base[text] + first, many, lead, akey.view(np.int64), skey.view(np.int64))], schema=schema)
 
     return run
 
 
-def _meet(ranges: int):
-    """Of a range's anchors: segments that repeat as a whole (state 1), whose bytes are needed (2), or that stand for repeating ones in an index (3)."""
-    schema = pa.schema([("owner", pa.int64()), ("first", pa.int64()), ("many", pa.int64()), ("akey", pa.int64()), ("state", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in runs_of(batches, "r"):
-            owner, akey, skey, first, many = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("owner", "akey", "skey", "first", "size"))
-            order = np.lexsort((first, owner, skey, akey))
-            owner, akey, skey, first, many = (x[order] for x in (owner, akey, skey, first, many))
-            # A text that several tasks have read comes several times.
-            one = np.concatenate(([True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1]) | (akey[1:] != akey[:-1]) | (skey[1:] != skey[:-1])))
-            owner, akey, skey, first, many = (x[one] for x in (owner, akey, skey, first, many))
-
-            def count(new: np.ndarray) -> np.ndarray:
-                start = np.flatnonzero(np.concatenate(([True], new)))
-                c = np.diff(np.append(start, len(akey)))
-                return np.repeat(c, c)
-
-            group = akey[1:] != akey[:-1]
-            alike = count(group | (skey[1:] != skey[:-1]))
-            together = count(group)
-            state = np.where(alike > 1, 1, np.where(together > 1, 2, 0))
-            start = np.flatnonzero(np.concatenate(([True], group)))
-            wanted = np.repeat(np.maximum.reduceat((state == 2).astype(np.int64), start), np.diff(np.append(start, len(akey)))) > 0
-            stands = wanted & (state == 1) & np.concatenate(([True], group | (skey[1:] != skey[:-1])))
-            for mask, value in ((state == 1, 1), (state == 2, 2), (stands, 3)):
-                at = np.flatnonzero(mask)
-                for k in range(0, len(at), 100_000):
-                    i = at[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[i]), pa.array(first[i]), pa.array(many[i].astype(np.int64)), pa.array(akey[i].view(np.int64)), pa.array(np.full(len(i), value, dtype=np.int32))], schema=schema)
+def _met(segments: DataFrame, kind: str) -> DataFrame:
+    """segments (akey, `kind`, owner, first, state, ...) that repeat or need a look, with their new state: 1 repeats as a
+    whole, 2 its bytes are needed, 3 stands for repeating ones among such; and bytes, those of its anchor that need a look.
 
-    return run
+    A segment of state 3 repeats already. Counts are combined before they are exchanged, and only joined to the rows.
+    """
+    kinds = segments.groupBy("akey", kind).agg(F.count(F.lit(1)).alias("n"), F.max("state").alias("known"), F.min(F.struct("owner", "first")).alias("rep"), F.first("size").alias("one"))
+    alone = (F.col("n") == 1) & (F.col("known") == 2)
+    groups = kinds.groupBy("akey").agg(F.count(F.lit(1)).alias("kinds"), F.max(alone).alias("open"), F.sum("one").alias("bytes"))
+    # Written, so that a hot anchor's rows can be split between tasks of the join.
+    groups = cut(groups.where("kinds > 1 and open").drop("kinds", "open"), "anchor-groups")
+    kinds = cut(kinds.join(groups, "akey", "left").where("n > 1 or bytes is not null").drop("one"), "anchor-kinds")
+    d = segments.withColumnRenamed("state", "was").join(kinds, ["akey", kind])
+    again = (F.col("n") > 1) & (F.col("was") == 2)
+    stands = F.col("bytes").isNotNull() & ((F.col("n") > 1) | (F.col("was") == 3)) & (F.struct("owner", "first") == F.col("rep"))
+    states = F.filter(F.array(F.when(again, 1), F.when(F.col("bytes").isNotNull() & (F.col("n") == 1) & (F.col("was") == 2), 2), F.when(stands, 3)), lambda x: x.isNotNull())
+    return d.withColumn("state", F.explode(states)).drop("was", "n", "known", "rep")
 
 
 def _merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -175,8 +158,30 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack((s[start, 0], reach[np.append(start[1:], len(s)) - 1]), axis=1)
 
 
-def _segment_bytes(length: int):
-    schema = pa.schema([("r", pa.int32()), ("akey", pa.int64()), ("owner", pa.int64()), ("first", pa.int64()), ("state", pa.int32()), ("body", pa.binary())])
+def _body_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BODY_SCHEMA, strict=True)], schema=_BODY_SCHEMA)
+
+
+def _number(*parts: bytes | int) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for x in parts:
+        h.update(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True))
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _split(row: tuple, length: int, width: int) -> Iterator[tuple]:
+    """A segment's windows by buckets of the anchor's place in them, keyed by the bytes that all windows of the bucket have."""
+    _, akey, owner, first, many, lead, state, _, body = row
+    for bucket in range((lead - many + 1) // width, lead // width + 1):
+        low, high = max(lead - many + 1, bucket * width), min(lead, bucket * width + width - 1)
+        n = high - low + 1
+        part = body[lead - high : lead - high + n + length - 1]
+        core = high - bucket * width
+        yield "split", _number(akey, bucket, width, part[core : core + max(0, length - width + 1)]), owner, first + lead - high, n, high, state, _number(high, n, part), part
+
+
+def _segment_bytes(length: int, width: int):
+    """Bytes of the segments that are asked for; those of hot anchors come split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +189,24 @@ def _segment_bytes(length: int):
             for owner, text, asked in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for x in asked:
                     body = text[x["first"] : x["first"] + x["many"] + length - 1]
-                    rows.append((x["r"], x["akey"], owner, x["first"], x["state"], body))
+                    row = ("whole", x["akey"], owner, x["first"], x["many"], x["lead"], x["state"], 0, body)
+                    rows += _split(row, length, width) if x["hot"] else [row]
                     size += len(body)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if size > 2 << 20:
+                    yield _body_rows(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _body_rows(rows)
+
+    return run
+
+
+def _split_again(length: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for row in zip(*(batch.column(c).to_pylist() for c in _BODY_SCHEMA.names), strict=True) for x in _split(row, length, width)]
+            for at in range(0, len(rows), 2000):
+                yield _body_rows(rows[at : at + 2000])
 
     return run
 
@@ -283,42 +299,35 @@ class RunLengthIndex:
 
 def _repeating_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
     """Per segment, the starts of windows that start elsewhere among the segments too."""
-    if sum(map(len, bodies)) > 16 * INDEX_BYTES:  # one anchor's group that is too large for an index
-        hashes = []
-        for b in bodies:
-            h, back = _prefix_hashes(np.frombuffer(b, dtype=np.uint8))
-            hashes.append(mix64((h[length:] - h[:-length]) * back[: len(b) - length + 1]))
-        everything = np.sort(np.concatenate(hashes))
-        twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        return [np.flatnonzero(np.isin(x, twice)) for x in hashes]
     index = RunLengthIndex(bodies)
     long = index.matching_statistics() >= length
     return [np.flatnonzero(long[a : a + len(b)]) for a, b in zip(index.starts, bodies, strict=True)]
 
 
-def _mark(length: int):
+def _mark(length: int, index_bytes: int):
     schema = pa.schema([("owner", pa.int64()), ("first", pa.int64()), ("many", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
         for _, table in runs_of(batches, "akey"):
-            held.append(table)
-            size += table.column("body").nbytes
-            if size > INDEX_BYTES:
+            n = table.column("body").nbytes
+            if held and size + n > index_bytes:
                 yield from marked(held)
                 held, size = [], 0
+            held.append(table)
+            size += n
         if held:
             yield from marked(held)
 
     def marked(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         rows = {}
         for t in tables:
-            for owner, first, state, body in zip(*(t.column(c).to_pylist() for c in ("owner", "first", "state", "body")), strict=True):
-                rows[owner, first] = (state, body)
+            for akey, owner, first, state, body in zip(*(t.column(c).to_pylist() for c in ("akey", "owner", "first", "state", "body")), strict=True):
+                rows[akey, owner, first] = (state, body)
         keys = list(rows)
         out = []
-        for (owner, first), (state, _), at in zip(keys, rows.values(), _repeating_starts([b for _, b in rows.values()], length), strict=True):
+        for (_, owner, first), (state, _), at in zip(keys, rows.values(), _repeating_starts([b for _, b in rows.values()], length), strict=True):
             if state == 2 and len(at):
                 cuts = np.flatnonzero(np.diff(at) > 1) + 1
                 out += [(owner, first + int(x[0]), len(x)) for x in np.split(at, cuts)]
@@ -358,24 +367,49 @@ def drop_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     another; strings overlap, and lie within a text. n_spans counts maximal removed runs. Texts are UTF-8; a null or
     empty text has 0 bytes and keeps the digest of none. Rows that repeat a text repeat each other: all of it goes if
     it has `length` bytes. A null doc_id is a document like any other; other columns are ignored; an empty table gives
-    none. `length` is at least 64. Texts are told apart by 64 bits of their MD5, windows by bytes.
+    none. `length` is at least 64. Texts are told apart by 64 bits of their MD5, segments by 64-bit hashes; a text of any
+    length is read whole, in pieces that overlap.
     """
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
-    ranges = ranges_for(docs)
+    many = ranges_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long"))
+    rows = rows.withColumn("key", F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("long"))
     version = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     texts = rows.groupBy("key").agg(F.min(version).alias("version"), F.count(F.lit(1)).alias("copies"))
-    sent = rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_anchors(length, ranges), _ANCHORS)
-    met = cut(sent.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(_meet(ranges), "owner long, first long, many long, akey long, state int"), "segments")
+    sent = rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_anchors(length), _ANCHORS)
+    # A text that several tasks have read comes several times.
+    sent = cut(sent.distinct(), "segments").withColumn("state", F.lit(2)).withColumn("size", F.col("many") + length - 1)
+    met = cut(_met(sent, "skey").select("owner", "first", "many", "lead", "akey", "state", "bytes"), "met")
+    marks = met.where("state = 1").select("owner", "first", "many")
     # Bytes of the segments that need a look, from one copy of each text.
-    range_of = F.shiftright(F.shiftrightunsigned("akey", 32) * ranges, 32).cast("int")
-    asked = met.where("state > 1").groupBy("owner").agg(F.collect_list(F.struct("first", "many", "akey", "state", range_of.alias("r"))).alias("asked"))
+    asked = met.where("state > 1").groupBy("owner").agg(F.collect_list(F.struct("first", "many", "lead", "akey", "state", (F.col("bytes") > INDEX_BYTES).alias("hot"))).alias("asked"))
     asked = asked.join(texts.select(F.col("key").alias("owner"), "version"), "owner")
-    bodies = rows.withColumn("version", version).join(asked.withColumnRenamed("owner", "key"), ["key", "version"]).select("key", "text", "asked").mapInArrow(_segment_bytes(length), "r int, akey long, owner long, first long, state int, body binary")
-    looked = bodies.repartition(max(partitions(docs.sparkSession), ranges), "akey").sortWithinPartitions("akey").mapInArrow(_mark(length), "owner long, first long, many long")
-    marks = cut(met.where("state = 1").select("owner", "first", "many").unionByName(looked), "repeats")
+    bodies = rows.withColumn("version", version).join(asked.withColumnRenamed("owner", "key"), ["key", "version"]).select("key", "text", "asked").mapInArrow(_segment_bytes(length, WIDTHS[0]), _BODIES)
+    bodies = cut(bodies, "bodies", by="part")
+    drop_cut(sent)
+    fields = [f.name for f in _BODY_SCHEMA]
+    whole, split, level = [bodies.where("part = 'whole'")], bodies.where("part = 'split'"), 0
+    while not split.isEmpty():
+        level += 1
+        # Rows that repeat an id and text have sent a segment twice.
+        split = split.dropDuplicates(["akey", "owner", "first"]).withColumn("size", F.octet_length("body"))
+        found = _met(split, "bhash").withColumn("part", F.when(F.col("state") == 1, "repeats").when(F.col("bytes") > INDEX_BYTES, "hot").otherwise("whole"))
+        found = cut(found.select(*fields), f"split-{level}", by="part")
+        marks = marks.unionByName(found.where("part = 'repeats'").select("owner", "first", "many"))
+        whole.append(found.where("part = 'whole'"))
+        split = found.where("part = 'hot'")
+        if level < len(WIDTHS):
+            split = split.select(*fields).mapInArrow(_split_again(length, WIDTHS[level]), _BODIES)
+            split = cut(split, f"narrower-{level}")
+    looked = None
+    for part in whole:
+        part = part.select("akey", "owner", "first", "state", "body")
+        looked = part if looked is None else looked.unionByName(part)
+    looked = looked.repartition(many, "akey").sortWithinPartitions("akey").mapInArrow(_mark(length, INDEX_BYTES), "owner long, first long, many long")
+    marks = cut(marks.unionByName(looked), "repeats")
+    drop_cut(bodies)
+    drop_cut(met)
     spans = marks.groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     # Of texts that occur twice nothing else is asked.
     found = texts.select("key", "copies").where("copies > 1").join(spans, "key", "full_outer").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("spans"))
