@@ -53,6 +53,13 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return d.agg(*(F.avg(c).alias(c) for c in columns)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("rate")) for c in columns))).alias("x")).select("x.*")
 
 
+def prepare(df: DataFrame, columns: list[str], *, winsor: bool = False, drop: tuple[str, ...] = (), purge: int = 0) -> DataFrame:
+    """Splits, drops named columns, clips heavy tails (winsor) and scales by training statistics, in this order."""
+    kept = [c for c in columns if c not in drop]
+    d = split(drop_columns(df, list(drop)), purge=purge)
+    return scale(winsorize(d, winsor_columns(kept)) if winsor else d, kept)
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     """(ticker, train, val, test, total)."""
     d = df.groupBy("ticker").agg(*(F.sum((F.col("split") == s).cast("long")).alias(s) for s in ("train", "val", "test")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.paths import write_json
+from ..sources.sinks import save_reports
 from . import dataset, metrics
 
 FLOOR = 1e-12
@@ -51,7 +52,7 @@ def fit(train: DataFrame, kind: str, **params):
 
 def tune(df: DataFrame, kind: str, candidates: list[dict], n: int = 4) -> dict:
     """The grid's parameters of least mean MAPE over expanding folds by date."""
-    folds = dataset.folds(df, n).cache()
+    folds = dataset.folds(df, n).hint("rebalance").cache()
     try:
         ids = [r["fold"] for r in folds.select("fold").distinct().collect()]
         best = None
@@ -74,7 +75,7 @@ def predict(model, df: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 def fit_report(split: DataFrame, kind: str) -> DataFrame:
     """(model, split, in_sample, mae, rmse, mape, r2, n): fitted on train and val as published, so only test is out of sample."""
-    d = dataset.scale(dataset.winsorize(split, dataset.winsor_columns(dataset.feature_columns())), dataset.feature_columns()).cache()
+    d = dataset.scale(dataset.winsorize(split, dataset.winsor_columns(dataset.feature_columns())), dataset.feature_columns()).hint("rebalance").cache()
     fitted = d.where("split <> 'test'")
     model = fit(fitted, kind)
     alpha = metrics.robust_alpha(predict(model, fitted)).first()["alpha"]
@@ -94,7 +95,7 @@ def train(split: DataFrame, folder: str, k: int = 10, tuned: dict[str, list[dict
     pred_gbm), metrics_k{k}.json and model_manifest_k{k}.json. Returns the metrics (model, split, in_sample, ...).
     """
     spark = split.sparkSession
-    d = split.cache()
+    d = split.hint("rebalance").cache()  # partitions by size: each tree is several jobs over all of them
     rows, manifest, facts, preds = [], {"k_label": k, "feature_columns": dataset.feature_columns()}, {}, None
     for kind, name in KINDS.items():
         candidates = (tuned or {}).get(kind)
@@ -122,9 +123,32 @@ def load_model(folder: str, kind: str, k: int = 10) -> PipelineModel:
     return PipelineModel.load(f"{folder}/models/{kind}_k{k}")
 
 
+def report(preds: DataFrame, model: str = "pred_gbm") -> dict[str, DataFrame]:
+    """What is reported of saved forecasts (ticker, date, y_true, pred_...): deciles, errors by ticker and in all, lift,
+    calibration slope and factor, residuals and rolling errors, each a table."""
+    d = preds.select("ticker", "date", F.col("y_true").alias("y"), F.col(model).alias("pred"))
+    deciles = metrics.deciles(d)
+    return {
+        "deciles": deciles,
+        "by_ticker": metrics.by_ticker_metrics(d),
+        "overall": metrics.regression_metrics(d),
+        "lift": metrics.top_decile_lift(deciles),
+        "slope": metrics.calibration_slope(d),
+        "alpha": metrics.robust_alpha(d),
+        "residuals": metrics.histogram(d.select((F.col("y") - F.col("pred")).alias("residual")), "residual", 40),
+        "rolling": metrics.rolling_mape(d),
+    }
+
+
+def train_and_report(split: DataFrame, folder: str, k: int = 10, tuned: dict[str, list[dict]] | None = None) -> dict[str, str]:
+    """train(), then report() of the test forecasts as CSV under folder/reports; returns the reports' paths."""
+    train(split, folder, k, tuned)
+    return save_reports(f"{folder}/reports", **report(split.sparkSession.read.parquet(f"{folder}/preds_test_k{k}.parquet")))
+
+
 def importance(split: DataFrame) -> DataFrame:
     """(feature, gbt, elasticnet): impurity gain and absolute coefficient."""
-    d = dataset.scale(split, dataset.feature_columns()).where("split <> 'test'").cache()
+    d = dataset.scale(split, dataset.feature_columns()).where("split <> 'test'").hint("rebalance").cache()
     g, e = fit(d, "gbt").stages[-1].featureImportances.toArray(), fit(d, "elasticnet").stages[-1].coefficients.toArray()
     d.unpersist()
     rows = [(c, float(a), float(abs(b))) for c, a, b in zip(dataset.feature_columns(), g, e, strict=True)]

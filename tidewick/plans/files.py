@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import geometric_weights
-from ..operators import backtest, dataset, features, forecasters, metrics, regimes, sizing
+from ..operators import backtest, dataset, features, forecasters, metrics, ml, regimes, sizing
 from ..sources import bars as src
 from ..sources import forecasts as fsrc
 from ..sources import readers, sinks
@@ -34,7 +34,8 @@ def scan_adjusted_range(spark, sf_dir):
     return rounded(readers.adjusted_close(b, fill=False, start="1995-01-01", end="1996-12-31"), 9, "price")
 
 
-@query(f"WITH {q.bars()} SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS INTEGER) AS idx, date, round(close, 9) AS price FROM bars")
+@query(f"""WITH {q.bars()} SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS INTEGER) AS idx,
+    date, round(close, 9) AS price FROM bars""")
 def scan_newest_first(spark, sf_dir):
     return rounded(readers.newest_first(src.daily(spark, sf_dir)), 9, "price")
 
@@ -47,7 +48,10 @@ def cached_close(spark, sf_dir):
     return rounded(readers.close_with_fallback(spark, f"{at}/close", b, TICKERS), 9, "price")
 
 
-@query(f"WITH {q.bars()} SELECT date, max(CASE WHEN ticker = 'A' THEN round(close, 9) END) AS \"A\", max(CASE WHEN ticker = 'N' THEN round(close, 9) END) AS \"N\", max(CASE WHEN ticker = 'R' THEN round(close, 9) END) AS \"R\" FROM bars GROUP BY date")
+@query(f"""WITH {q.bars()} SELECT date, max(CASE WHEN ticker = 'A' THEN round(close, 9) END) AS "A", max(CASE
+    WHEN ticker = 'N' THEN round(close,
+    9) END) AS "N", max(CASE WHEN ticker = 'R' THEN round(close, 9) END) AS "R"
+    FROM bars GROUP BY date""")
 def saved_close_wide(spark, sf_dir):
     """The wide closes that saving bars leaves, as CSV."""
     paths = sinks.save_bars(src.daily(spark, sf_dir), shared_folder(spark, "bars"), TICKERS, csv=True)
@@ -74,6 +78,19 @@ def returns_from_saved_close(spark, sf_dir):
     return rounded(readers.returns_or_close(spark, at), 8, "ret")
 
 
+@query(f"""WITH {q.bars()} SELECT date, ticker, round(open, 9) AS open, round(close, 9) AS close,
+    CASE WHEN day(date) <> 13 THEN volume END AS volume FROM bars""")
+def bars_from_csv(spark, sf_dir):
+    """Bars read from CSV with other names, some numbers that aren't any and a row without a date."""
+    at, b = shared_folder(spark, "csv"), src.daily(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    volume = F.when(F.dayofmonth("date") != 13, text("volume")).otherwise("n/a")
+    out = b.select(text("date").alias("Date"), F.col("ticker").alias("Ticker"), *(text(c).alias(n) for c, n in (("open", "Price Open"), ("high", "HIGH"), ("low", "low"), ("close", "Close"), ("adj_close", "Adj Close"))), volume.alias("Volume"))
+    bad = out.limit(1).withColumn("Date", F.lit("no date"))
+    sinks.write_csv(out.unionByName(bad), at)
+    return rounded(src.load_long(spark, at, "csv").select("date", "ticker", "open", "close", "volume"), 9, "open", "close")
+
+
 # --- labels, features, data sets ---
 
 @query(f"{q.BASE}, {_LABELS} SELECT date, ticker, round(label, 8) AS label FROM lb WHERE k = 10")
@@ -92,7 +109,10 @@ def saved_features(spark, sf_dir):
     return _rounded_features(readers.raw_features(spark, at).drop(*features.DAYS, *features.MONTHS))
 
 
-@query(f"{q.BASE}, {q.FEATURES}, m AS (SELECT date, ticker, {q.MASKED}, label FROM f3) SELECT ticker, count(*) AS n, count(rv20) AS known, round(avg(rv20), 8) AS rv20 FROM m GROUP BY ticker")
+@query(f"""{q.BASE}, {q.FEATURES},
+    m AS (SELECT date, ticker, {q.MASKED}, label
+    FROM f3) SELECT ticker, count(*) AS n, count(rv20) AS known, round(avg(rv20), 8) AS rv20
+    FROM m GROUP BY ticker""")
 def saved_features_csv(spark, sf_dir):
     """The same as CSV, where there is no Parquet."""
     at = shared_folder(spark, "features")
@@ -109,7 +129,8 @@ def saved_split(spark, sf_dir):
     return _rounded_features(readers.splits(spark, at, "val").drop(*features.DAYS, *features.MONTHS))
 
 
-@query(f"{q.DATASET} SELECT split, count(*) AS rows, count(DISTINCT ticker) AS tickers, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS \"end\" FROM s GROUP BY split")
+@query(f"""{q.DATASET} SELECT split, count(*) AS rows, count(DISTINCT ticker) AS tickers, CAST(min(date) AS VARCHAR) AS start,
+    CAST(max(date) AS VARCHAR) AS "end" FROM s GROUP BY split""")
 def split_facts(spark, sf_dir):
     """The facts saved beside the splits."""
     at = shared_folder(spark, "splits")
@@ -125,11 +146,38 @@ def saved_scaler(spark, sf_dir):
     return rounded(spark.createDataFrame([(c, x["mean"], x["std"]) for c, x in found.items()], "feature string, mean double, std double"), 7, "mean", "std")
 
 
-@query(f"{q.DATASET} SELECT count(*) AS rows, 32 AS features, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM s")
+@query(f"""{q.DATASET} SELECT count(*) AS rows, 32 AS features, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,
+    count(*) FILTER (split = 'test') AS test FROM s""")
 def dataset_counts(spark, sf_dir):
     return dataset.counts(_dataset(spark, sf_dir))
 
 
+_KEPT = [c for c in _NUM if c != "rv20"]
+_CAPPED = dataset.winsor_columns(_KEPT)
+_SCALED = ", ".join(f"round(({c} - {c}_mu) / {c}_sd, 5) AS {c}" for c in _KEPT)
+
+
+@query(f"""{q.DATASET}, cp AS (SELECT {', '.join(f'quantile_cont({c}, 0.005) AS {c}_lo, quantile_cont({c}, 0.995) AS {c}_hi' for c in _CAPPED)} FROM s WHERE split = 'train'),
+    wz AS (SELECT date, ticker, split, {', '.join(f'least(greatest({c}, {c}_lo), {c}_hi) AS {c}' if c in _CAPPED else c for c in _KEPT)} FROM s CROSS JOIN cp),
+    sc AS (SELECT {', '.join(f'avg({c}) AS {c}_mu, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS {c}_sd' for c in _KEPT)} FROM wz WHERE split = 'train')
+    SELECT date, ticker, split, {_SCALED} FROM wz CROSS JOIN sc""")
+def dataset_prepared(spark, sf_dir):
+    """The data set without rv20, clipped and scaled."""
+    d = dataset.prepare(features.build(src.daily(spark, sf_dir), impute=True), _NUM, winsor=True, drop=("rv20",))
+    return rounded(d.select("date", "ticker", "split", *_KEPT), 5, *_KEPT)
+
+
+@query(f"""SELECT r.lift AS lift, c.slope AS slope, c.alpha AS alpha, m.mae AS mae, m.n AS n
+    FROM ({ORACLES['top_decile_lift']}) r CROSS JOIN ({ORACLES['calibration']}) c CROSS JOIN ({ORACLES['regression_metrics']}) m""")
+def forecast_report(spark, sf_dir):
+    """One row of the report of saved test forecasts."""
+    at = shared_folder(spark, "report")
+    _forecasts(spark, sf_dir).write.parquet(f"{at}/preds_test_k10.parquet")
+    r = ml.report(spark.read.parquet(f"{at}/preds_test_k10.parquet"))
+    one = r["lift"].crossJoin(r["slope"]).crossJoin(r["alpha"]).crossJoin(r["overall"].select("mae", "n"))  # a row each
+    return rounded(one, 8, "lift", "slope", "alpha", "mae")
+
+
 # --- forecasts in files ---
 
 def _forecasts(spark, sf_dir) -> DataFrame:
@@ -138,8 +186,13 @@ def _forecasts(spark, sf_dir) -> DataFrame:
     return d.select("ticker", "date", F.col("y").alias("y_true"), F.col("pred").alias("pred_gbm"), (F.col("pred") * 1.1).alias("pred_en"))
 
 
-_PM = f"{q.BASE}, pm AS (SELECT ticker, date, {q.rv(10)} AS pv, {q.label(10)} AS y FROM r), pk AS (SELECT ticker, date, pv FROM pm WHERE pv IS NOT NULL AND y IS NOT NULL)"
-_ON_DAYS = "dd AS (SELECT DISTINCT date FROM bars), tt AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) t(ticker)), gr AS (SELECT ticker, date FROM tt CROSS JOIN dd)"
+_PM = f"""{q.BASE},
+    pm AS (SELECT ticker, date, {q.rv(10)} AS pv, {q.label(10)} AS y
+    FROM r),
+    pk AS (SELECT ticker, date, pv FROM pm WHERE pv IS NOT NULL AND y IS NOT NULL)"""
+_ON_DAYS = """dd AS (SELECT DISTINCT date FROM bars),
+    tt AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) t(ticker)),
+    gr AS (SELECT ticker, date FROM tt CROSS JOIN dd)"""
 
 
 @query(f"{_PM} SELECT ticker || '-USD' AS ticker, date, round(pv * 1.05, 8) AS pred FROM pk WHERE ticker <> 'R'")
@@ -156,7 +209,10 @@ def _wide(d: DataFrame, *names: tuple[str, str]) -> DataFrame:
     return d.groupBy("date").agg(*(F.max(F.when(F.col("ticker") == t, F.col("pred_gbm"))).alias(n) for t, n in names))
 
 
-@query(f"{_PM} SELECT ticker, date, round(pv, 8) AS pred FROM pk WHERE ticker <> 'R' UNION ALL SELECT DISTINCT t.ticker, pk.date, NULL FROM pk, (VALUES ('A'), ('N')) t(ticker) WHERE NOT EXISTS (SELECT 1 FROM pk z WHERE z.date = pk.date AND z.ticker = t.ticker)")
+@query(f"""{_PM} SELECT ticker, date, round(pv, 8) AS pred
+    FROM pk WHERE ticker <> 'R' UNION ALL SELECT DISTINCT t.ticker, pk.date, NULL
+    FROM pk, (VALUES ('A'), ('N')) t(ticker) WHERE NOT EXISTS (SELECT 1
+    FROM pk z WHERE z.date = pk.date AND z.ticker = t.ticker)""")
 def forecasts_daily_wide(spark, sf_dir):
     """A wide CSV, whose columns for A and A-USD are averaged, without a manifest."""
     at = shared_folder(spark, "forecasts")
@@ -164,7 +220,8 @@ def forecasts_daily_wide(spark, sf_dir):
     return rounded(fsrc.daily_forecasts(spark, at, ["A", "N"]), 8, "pred")
 
 
-@query(f"{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv * 0.9, 8) AS pred FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date")
+@query(f"""{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv * 0.9, 8) AS pred
+    FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date""")
 def forecasts_long(spark, sf_dir):
     """A provider's long file on the calendar, times a nested factor."""
     at, b = shared_folder(spark, "forecasts"), src.daily(spark, sf_dir)
@@ -173,14 +230,16 @@ def forecasts_long(spark, sf_dir):
     return rounded(fsrc.provider_forecasts(spark, at, TICKERS, b), 8, "pred")
 
 
-@query(f"{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv, 8) AS pred FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date")
+@query(f"""{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv, 8) AS pred
+    FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date""")
 def forecasts_wide(spark, sf_dir):
     at, b = shared_folder(spark, "forecasts"), src.daily(spark, sf_dir)
     _wide(_forecasts(spark, sf_dir), *((t, t) for t in TICKERS)).withColumnRenamed("date", "index").write.parquet(f"{at}/preds_test_k10.pq")
     return rounded(fsrc.provider_forecasts(spark, at, TICKERS, b), 8, "pred")
 
 
-@query(f"{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(CASE WHEN gr.ticker <> 'R' THEN pv END, 8) AS pred FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date")
+@query(f"""{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(CASE WHEN gr.ticker <> 'R' THEN pv END, 8) AS pred
+    FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date""")
 def forecasts_by_ticker_file(spark, sf_dir):
     """A file for each ticker: Parquet, CSV, and none."""
     at, d, b = shared_folder(spark, "forecasts"), _forecasts(spark, sf_dir), src.daily(spark, sf_dir)
@@ -189,7 +248,8 @@ def forecasts_by_ticker_file(spark, sf_dir):
     return rounded(fsrc.provider_forecasts(spark, at, TICKERS, b, ticker_folder=f"{at}/by"), 8, "pred")
 
 
-@query(f"{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv * 1.1, 8) AS pred FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date")
+@query(f"""{_PM}, {_ON_DAYS} SELECT gr.ticker AS ticker, gr.date AS date, round(pv * 1.1, 8) AS pred
+    FROM gr LEFT JOIN pk ON pk.ticker = gr.ticker AND pk.date = gr.date""")
 def forecasts_by_position(spark, sf_dir):
     """Forecasts without keys, and the rows that they belong to, by their places in the files."""
     at, d, b = shared_folder(spark, "forecasts"), _forecasts(spark, sf_dir), src.daily(spark, sf_dir)
@@ -201,7 +261,14 @@ def forecasts_by_position(spark, sf_dir):
     return rounded(fsrc.provider_forecasts(spark, at, TICKERS, b, rows_path=f"{at}/rows", value="pred_en"), 8, "pred")
 
 
-@query(f"{_PM}, {_ON_DAYS}, va AS (SELECT pv, row_number() OVER (ORDER BY date) AS i FROM pk WHERE ticker = 'N'), vd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM dd), vv AS (SELECT date, pv FROM vd JOIN va ON va.i = vd.i) SELECT gr.ticker AS ticker, gr.date AS date, round(CASE WHEN ticker = 'N' THEN pv END, 8) AS pred FROM gr LEFT JOIN vv ON vv.date = gr.date")
+@query(f"""{_PM}, {_ON_DAYS},
+    va AS (SELECT pv, row_number() OVER (ORDER BY date) AS i
+    FROM pk WHERE ticker = 'N'),
+    vd AS (SELECT date, row_number() OVER (ORDER BY date) AS i
+    FROM dd),
+    vv AS (SELECT date, pv FROM vd JOIN va ON va.i = vd.i)
+    SELECT gr.ticker AS ticker, gr.date AS date, round(CASE WHEN ticker = 'N' THEN pv END, 8) AS pred
+    FROM gr LEFT JOIN vv ON vv.date = gr.date""")
 def forecasts_single(spark, sf_dir):
     """Forecasts of one ticker without dates, on the calendar's first days."""
     at, b = shared_folder(spark, "forecasts"), src.daily(spark, sf_dir)
@@ -212,7 +279,8 @@ def forecasts_single(spark, sf_dir):
 _MANIFESTS = {"flat": {"alpha": 1.2}, "other_key": {"calibrator_alpha": 0.8}, "nested": {"calibration": {"alpha": 0.7}}, "flat_first": {"report": {"alpha": 3}, "alpha_calibrator": 2}, "none": {"k_label": 10}, "no_number": {"alpha": "1.5", "meta": {"alpha": 4}}}
 
 
-@query("SELECT * FROM (VALUES ('flat', 1.2::DOUBLE), ('other_key', 0.8), ('nested', 0.7), ('flat_first', 2.0), ('none', 1.0), ('no_number', 4.0), ('missing', 1.0), ('model_gbm', 1.25), ('model_en', 1.0)) t(manifest, alpha)")
+@query("""SELECT * FROM (VALUES ('flat', 1.2::DOUBLE), ('other_key', 0.8), ('nested', 0.7), ('flat_first', 2.0), ('none',
+    1.0), ('no_number', 4.0), ('missing', 1.0), ('model_gbm', 1.25), ('model_en', 1.0)) t(manifest, alpha)""")
 def manifest_factors(spark, sf_dir):
     at = shared_folder(spark, "manifests")
     for name, facts in _MANIFESTS.items():
@@ -250,17 +318,24 @@ def _backtest_forecasts(spark, sf_dir) -> DataFrame:
     return backtest.with_fallback(ml, forecasters.lagged_blend(b).select("ticker", "date", "pred_vol"))
 
 
-_WITH_FALLBACK = f"{_PM}, {q.V2}, vf AS (SELECT ticker, date, pv * 1.05 AS pred_vol FROM pk WHERE ticker <> 'R' UNION ALL SELECT ticker, date, pred_vol FROM v2 WHERE ticker = 'R')"
+_WITH_FALLBACK = f"""{_PM}, {q.V2},
+    vf AS (SELECT ticker, date, pv * 1.05 AS pred_vol
+    FROM pk WHERE ticker <> 'R' UNION ALL SELECT ticker, date, pred_vol
+    FROM v2 WHERE ticker = 'R')"""
 
 
-@query(f"{_WITH_FALLBACK}, {q.weekly_positions('vf')} SELECT ticker, week, round(price, 9) AS price, round(vol, 8) AS vol, round(shares, 6) AS shares, round(pnl, 2) AS pnl FROM wp")
+@query(f"""{_WITH_FALLBACK}, {q.weekly_positions('vf')}
+    SELECT ticker, week, round(price, 9) AS price, round(vol, 8) AS vol, round(shares, 6) AS shares, round(pnl, 2) AS pnl
+    FROM wp""")
 def weekly_backtest_fallback(spark, sf_dir):
     d = backtest.weekly_positions(src.daily(spark, sf_dir), _backtest_forecasts(spark, sf_dir), sizing.weights_table(spark))
     return rounded(rounded(rounded(rounded(d, 9, "price"), 8, "vol"), 6, "shares"), 2, "pnl")
 
 
-_LEGACY_ML = f"""{_PM}, {q.WEIGHTS}, dp AS (SELECT bars.ticker AS ticker, bars.date AS date, close AS price, portw, CASE WHEN close * pv <> 0 THEN 50000.0 * portw / (close * pv) END AS shares, close - lag(close) OVER (PARTITION BY bars.ticker ORDER BY bars.date) AS chg
-FROM bars JOIN pk ON pk.ticker = bars.ticker AND pk.date = bars.date JOIN weights ON weights.ticker = bars.ticker), dq AS (SELECT *, chg * shares AS pnl FROM dp WHERE chg IS NOT NULL)"""
+_LEGACY_ML = f"""{_PM}, {q.WEIGHTS}, dp AS (SELECT bars.ticker AS ticker, bars.date AS date, close AS price, portw, CASE
+    WHEN close * pv <> 0 THEN 50000.0 * portw / (close * pv) END AS shares, close - lag(close) OVER (PARTITION BY bars.ticker ORDER BY bars.date) AS chg
+FROM bars JOIN pk ON pk.ticker = bars.ticker AND pk.date = bars.date JOIN weights ON weights.ticker = bars.ticker), dq AS (SELECT *,
+    chg * shares AS pnl FROM dp WHERE chg IS NOT NULL)"""
 
 
 @query(f"{_LEGACY_ML} SELECT date, round(coalesce(sum(pnl), 0.0), 2) AS pnl FROM dq GROUP BY date")
@@ -294,7 +369,10 @@ def saved_ticker_forecasts(spark, sf_dir):
     return rounded(spark.read.parquet(at).where("ticker = 'A'").select("ticker", "date", "pred_gbm"), 8, "pred_gbm")
 
 
-@query(f"{q.BASE}, {q.V5}, {q.WEIGHTS} SELECT v5.ticker AS symbol, round(pred_vol, 8) AS pred_vol_scalar_t0, round(50000.0 * portw / (close * pred_vol * mult), 6) AS pos_size_scalar_t0, 32 AS n_weights, portw, mult AS multiplier FROM v5 JOIN weights ON weights.ticker = v5.ticker WHERE idx = 0")
+@query(f"""{q.BASE}, {q.V5}, {q.WEIGHTS} SELECT v5.ticker AS symbol, round(pred_vol, 8) AS pred_vol_scalar_t0, round(50000.0 * portw / (close * pred_vol * mult),
+    6) AS pos_size_scalar_t0, 32 AS n_weights, portw, mult AS multiplier
+    FROM v5 JOIN weights ON weights.ticker = v5.ticker
+    WHERE idx = 0""")
 def saved_legacy_summary(spark, sf_dir):
     at = shared_folder(spark, "legacy")
     v = forecasters.legacy_vectors(src.daily(spark, sf_dir))
@@ -304,7 +382,9 @@ def saved_legacy_summary(spark, sf_dir):
     return d.select("symbol", num("pred_vol_scalar_t0", 8), num("pos_size_scalar_t0", 6), F.size(F.split("weights32", r"\|")).alias("n_weights"), num("portw", 6), num("multiplier", 6))
 
 
-@query(f"{q.BASE}, {q.V5}, {q.WEIGHTS} SELECT v5.ticker AS ticker, idx, v5.date AS date, round(stdev32, 8) AS stdev32, round(CASE WHEN pred_vol <> 0 THEN 50000.0 * portw / (close * pred_vol * mult) END, 6) AS position_size FROM v5 JOIN weights ON weights.ticker = v5.ticker")
+@query(f"""{q.BASE}, {q.V5}, {q.WEIGHTS} SELECT v5.ticker AS ticker, idx, v5.date AS date, round(stdev32, 8) AS stdev32,
+    round(CASE WHEN pred_vol <> 0 THEN 50000.0 * portw / (close * pred_vol * mult) END,
+    6) AS position_size FROM v5 JOIN weights ON weights.ticker = v5.ticker""")
 def saved_legacy_vectors(spark, sf_dir):
     at = shared_folder(spark, "legacy")
     v = forecasters.legacy_vectors(src.daily(spark, sf_dir))
@@ -355,32 +435,48 @@ def tercile_counts(spark, sf_dir):
     return metrics.value_counts(_regime(spark, sf_dir), "vol_tercile")
 
 
-@query(f"{q.REGIME}, e AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS a, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS b FROM g) SELECT 'head' AS part, ticker, date, round(price, 9) AS price FROM e WHERE a <= 2 UNION ALL SELECT 'tail', ticker, date, round(price, 9) FROM e WHERE b <= 2")
+@query(f"""{q.REGIME},
+    e AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS a, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS b
+    FROM g) SELECT 'head' AS part, ticker, date, round(price, 9) AS price
+    FROM e WHERE a <= 2 UNION ALL SELECT 'tail', ticker, date, round(price, 9)
+    FROM e WHERE b <= 2""")
 def regime_head_tail(spark, sf_dir):
     return rounded(metrics.head_tail(_regime(spark, sf_dir)).select("part", "ticker", "date", "price"), 9, "price")
 
 
-@query(f"SELECT *, CAST(row_number() OVER (ORDER BY abs(rho) DESC, feature) AS INTEGER) AS place FROM ({ORACLES['spearman_features']}) ORDER BY abs(rho) DESC, feature LIMIT 5")
+@query(f"""SELECT *, CAST(row_number() OVER (ORDER BY abs(rho) DESC, feature) AS INTEGER) AS place
+    FROM ({ORACLES['spearman_features']}) ORDER BY abs(rho) DESC, feature LIMIT 5""")
 def top_features(spark, sf_dir):
     """The five features whose ranks follow the label most."""
     found = rounded(metrics.spearman(_dataset(spark, sf_dir).where("split = 'train'"), _NUM, "label"), 6, "rho")
     return metrics.top_features(found, 5)
 
 
-@query(f"{q.PRED}, b AS (SELECT min(y) AS a, max(y) AS z, quantile_cont(y, 0.01) AS p, quantile_cont(y, 0.99) AS p2 FROM e), h AS (SELECT CAST(least(49, floor((y - a) / ((z - a) / 50))) AS INTEGER) AS bin, a, z, p, p2 FROM e CROSS JOIN b), hh AS (SELECT bin, min(a) + bin * (min(z) - min(a)) / 50 AS lo, (min(z) - min(a)) / 50 AS step, min(p) AS p, min(p2) AS p2, count(*) AS n FROM h GROUP BY bin) SELECT bin, round(lo, 8) AS lo, n, lo <= p2 AND lo + step >= p AS inside FROM hh")
+@query(f"""{q.PRED},
+    b AS (SELECT min(y) AS a, max(y) AS z, quantile_cont(y, 0.01) AS p, quantile_cont(y, 0.99) AS p2
+    FROM e),
+    h AS (SELECT CAST(least(49, floor((y - a) / ((z - a) / 50))) AS INTEGER) AS bin, a, z, p, p2
+    FROM e CROSS JOIN b),
+    hh AS (SELECT bin, min(a) + bin * (min(z) - min(a)) / 50 AS lo, (min(z) - min(a)) / 50 AS step, min(p) AS p, min(p2) AS p2,
+    count(*) AS n FROM h GROUP BY bin) SELECT bin, round(lo, 8) AS lo, n, lo <= p2 AND lo + step >= p AS inside
+    FROM hh""")
 def label_histogram_central(spark, sf_dir):
     """The histogram, with the bins that the central 98 % reach."""
     d = _pred(spark, sf_dir).where("y is not null and pred is not null")
     return rounded(metrics.central_histogram(d, "y"), 8, "lo")
 
 
-@query(f"SELECT round(sum(units), 4) AS units, round(sum(notional_alloc), 2) AS notional_alloc, round(median(pred_vol), 8) AS pred_vol FROM ({ORACLES['ewma_snapshot']})")
+@query(f"""SELECT round(sum(units), 4) AS units, round(sum(notional_alloc), 2) AS notional_alloc, round(median(pred_vol), 8) AS pred_vol
+    FROM ({ORACLES['ewma_snapshot']})""")
 def snapshot_totals(spark, sf_dir):
     d = sizing.totals(sizing.ewma_snapshot(src.daily(spark, sf_dir), sizing.weights_table(spark)))
     return rounded(rounded(rounded(d, 4, "units"), 2, "notional_alloc"), 8, "pred_vol")
 
 
-@query(f"WITH {q.bars()}, d AS (SELECT ticker, max(date) AS last FROM bars GROUP BY ticker) SELECT ticker, last, CAST(last - INTERVAL 4 YEAR AS DATE) AS from_date, last - 30 AS warm_up, strftime(last, '%Y-%m') AS month FROM d")
+@query(f"""WITH {q.bars()},
+    d AS (SELECT ticker, max(date) AS last FROM bars GROUP BY ticker)
+    SELECT ticker, last, CAST(last - INTERVAL 4 YEAR AS DATE) AS from_date, last - 30 AS warm_up, strftime(last, '%Y-%m') AS month
+    FROM d""")
 def date_offsets(spark, sf_dir):
     """Look-back dates of each ticker's last bar."""
     d = src.daily(spark, sf_dir).groupBy("ticker").agg(F.max("date").alias("last"))

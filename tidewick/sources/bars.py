@@ -55,18 +55,19 @@ def load_long(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     """A long table from Parquet or CSV with column names in any case, spacing and with additions ("AAA Close"), the first of
     equal meaning; missing optional columns are null.
 
-    Raises ValueError if date, ticker, high or low is missing. Zones are dropped, NaN becomes null.
+    Raises ValueError if date, ticker, high or low is missing. Dates and numbers that can't be read become null, and NaN
+    too; times with a zone count by the session's. Rows without a date go.
     """
     raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
     named = {canonical(c): c for c in reversed(raw.columns)}
     missing = [c for c in REQUIRED if c not in named]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    cols = [F.to_date(F.col(f"`{named['date']}`")).alias("date"), F.col(f"`{named['ticker']}`").cast("string").alias("ticker")]
+    cols = [F.expr(f"CAST(try_cast(`{named['date']}` AS timestamp) AS date)").alias("date"), F.col(f"`{named['ticker']}`").cast("string").alias("ticker")]
     for f in BARS.fields[2:]:
         x = F.expr(f"try_cast(`{named[f.name]}` AS double)") if f.name in named else F.lit(None).cast("double")
         cols.append(F.nanvl(x, F.lit(None).cast("double")).alias(f.name))
-    return raw.select(*cols)
+    return raw.select(*cols).where("date is not null")
 
 
 def require_tickers(bars: DataFrame, wanted: list[str]) -> DataFrame:
