@@ -180,8 +180,11 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
         return w[0] * (two[a, b] / c[a] if c[a] else 0) + w[1] * c[b] / n + w[2] / (v + 1)
 
     want = {i: sum(math.log10(p(a, b)) for a, b in zip(["\0start", *tok(t)], tok(t), strict=False)) for i, t in rows}
-    for block, parts in ((lm.BLOCK_BYTES, 1), (200, 8)):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    for block, parts, fan in ((lm.BLOCK_BYTES, 1, 512), (200, 8, 512), (200, 3, 2)):  # the last with two levels of chunks
         monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lm, "FAN_OUT", fan)
+        monkeypatch.setattr(lm, "ranges_for", lambda docs: 7)
         got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
         assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
 

@@ -10,7 +10,9 @@ Counting: documents form blocks of a few MB. A block keeps its texts as numbers
 (written once to the shared folder) and sends its distinct words and word pairs, packed and sorted
 by hash, to hash ranges. A range adds up the counts of all blocks and answers each block in the
 block's own order, so that scoring needs no table of the whole model in any task. Per key about
-five bytes move, and a frequent key moves once a block.
+five bytes move, and a frequent key moves once a block. A block sends to FAN_OUT ranges at most: where
+more are needed, what a range gets is merged into chunks, which ask finer ranges as blocks do and
+answer their blocks from what comes back, so the number of blobs follows the input.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import _BASE, crc_mod, cut, drop_cut, mix64, pack, ranges_for, release, runs_of, steps, unpack, word_hashes
 
 BLOCK_BYTES = 8 << 20
+#: Ranges that a block or chunk sends to, and bytes of blobs that make a chunk.
+FAN_OUT, CHUNK_BYTES = 512, 24 << 20
 _START, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x7FEB352D846CA68B)
 _BLOB = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("r", pa.int32()), ("payload", pa.binary()), ("counts", pa.binary())])
 _BLOB_DDL = "block long, kind int, r int, payload binary, counts binary"
@@ -62,8 +66,10 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], at
 
 
-def _edges(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
-    return np.searchsorted(keys, np.array([min((r << bits) // ranges, (1 << 64) - 1) for r in range(ranges)], dtype=np.uint64)).tolist() + [len(keys)]
+def _edges(keys: np.ndarray, bits: int, ranges: int, first: int = 0, last: int | None = None) -> list[int]:
+    """Where each hash range from first to last - 1 (all) begins in sorted keys, and their end."""
+    last = ranges if last is None else last
+    return np.searchsorted(keys, np.array([min((r << bits) // ranges, (1 << 64) - 1) for r in range(first, last)], dtype=np.uint64)).tolist() + [len(keys)]
 
 
 def _stage(ranges: int):
@@ -100,6 +106,68 @@ def _stage(ranges: int):
     return run
 
 
+def _chunks(many: int, into: int):
+    """Merges each range's blobs into chunks. Part "kept" has where each block's keys are in its chunk, part "keys" the chunk's
+    keys by `into` finer ranges."""
+    schema = pa.schema([("part", pa.string()), *_BLOB])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = made = 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal held, size, made
+            name, made = TaskContext.get().partitionId() << 32 | made, made + 1
+            keys = [unpack(x[3]) for x in held]
+            distinct, at = _distinct(np.concatenate(keys))
+            total = np.bincount(at, weights=np.concatenate([unpack(x[4]) for x in held])).astype(np.uint64)
+            kind, r = held[0][1:3]
+            ends = np.cumsum([0, *map(len, keys)])
+            rows = [("kept", name, kind, r, pack(at[a:b]), x[0].to_bytes(8, "little")) for x, a, b in zip(held, ends[:-1], ends[1:], strict=True)]
+            e = _edges(distinct, 64 if kind == 0 else 56, many * into, r * into, (r + 1) * into)
+            rows += [("keys", name, kind, f, pack(distinct[a:b]), pack(total[a:b])) for f, a, b in zip(range(r * into, (r + 1) * into), e[:-1], e[1:], strict=True) if b > a]
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in _BLOB.names), strict=True):
+                if row[1] == 2:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(("keys", *row), schema, strict=True)], schema=schema)
+                    continue
+                if held and (row[1:3] != held[0][1:3] or size >= CHUNK_BYTES):
+                    yield chunk()
+                held.append(row)
+                size += len(row[3]) + len(row[4])
+        if held:
+            yield chunk()
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's totals, given to its blocks in the order of their keys."""
+    for _, table in runs_of(batches, "block"):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "r", "payload", "counts")), strict=True), key=lambda x: x[:2])
+        totals = np.concatenate([unpack(x[3]) for x in rows if x[2] is None])
+        for kind, r, at, block in (x for x in rows if x[2] is not None):
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((int.from_bytes(block, "little"), kind, r, None, pack(totals[unpack(at)])), _BLOB, strict=True)], schema=_BLOB)
+
+
+def _totals(keys: DataFrame, many: int, ranges: int) -> DataFrame:
+    """Totals of the keys that blocks have sent to `many` ranges, by _add_up() over `ranges` ranges or more."""
+    asked = lambda df: df.withColumn("slot", F.col("r") * 3 + F.col("kind")).repartition(many, "r").sortWithinPartitions("slot")
+    if many >= ranges:
+        return cut(asked(keys).mapInArrow(_add_up, _BLOB_DDL), "lm-totals")
+    into = min(FAN_OUT, -(-ranges // many))
+    chunks = cut(asked(keys).mapInArrow(_chunks(many, into), f"part string, {_BLOB_DDL}"), "lm-chunks", by="part")
+    below = _totals(chunks.where("part = 'keys'").select(*_BLOB.names), many * into, ranges)
+    back = chunks.where("part = 'kept'").select(*_BLOB.names).unionByName(below.where("kind < 3"))
+    out = cut(back.repartition(many, "block").sortWithinPartitions("block").mapInArrow(_answers, _BLOB_DDL).unionByName(below.where("kind >= 3")), "lm-totals")
+    drop_cut(chunks)
+    drop_cut(below)
+    return out
+
+
 def _parts(payload: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(payload):
@@ -234,16 +302,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     gives no rows; without training rows all counts are 0. Words are told apart by 64-bit hashes, pairs by 56 bits.
     """
     ranges = ranges_for(docs)
+    sent = min(ranges, FAN_OUT)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", 7) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    staged = cut(rows.mapInArrow(_stage(ranges), _BLOB_DDL).withColumn("part", F.when(F.col("kind") < 0, "texts").otherwise("keys")), "lm-blocks", by="part")
-    slot = F.col("r") * 3 + F.col("kind")
-    keys = staged.where("part = 'keys'").drop("part").withColumn("slot", slot).repartition(ranges, "r").sortWithinPartitions("slot")
-    totals = cut(keys.mapInArrow(_add_up, _BLOB_DDL), "lm-totals")
+    staged = cut(rows.mapInArrow(_stage(sent), _BLOB_DDL).withColumn("part", F.when(F.col("kind") < 0, "texts").otherwise("keys")), "lm-blocks", by="part")
+    totals = _totals(staged.where("part = 'keys'").select(*_BLOB.names), sent, ranges)
     facts = totals.where("kind >= 3").select("kind", "payload").collect()  # two numbers a range
     number = lambda x, i: int.from_bytes(x[8 * i : 8 * i + 8], "little")
     tokens, types = (sum(number(f["payload"], i) for f in facts if f["kind"] == 3) for i in (0, 1))
     texts = sum(number(f["payload"], 0) for f in facts if f["kind"] == 4)
-    del keys
     drop_cut(staged, "part=keys")
     release(docs.sparkSession)
     blocks = staged.where("part = 'texts'").drop("part")
