@@ -376,7 +376,8 @@ def plain_repeats(rows, length):
             if n[b[k : k + length]] > 1:
                 gone[k : k + length] = True
         spans = int(gone[:1].sum() + ((gone[1:] & ~gone[:-1]).sum()))
-        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), len(kept.decode(errors="ignore"))))
     return sorted(out, key=str)
 
 

@@ -227,7 +227,7 @@ def _encode(shared, digest: bool):
         for batch, raw in steps(batches, limit=1 << 20):
             rows = []
             texts = [x.decode() for x in raw]
-            for (tokens, _), _text in zip(pre_tokens(texts), texts, strict=True):
+            for tokens, _ in pre_tokens(texts):
                 ids = encoder(tokens)
                 if digest:
                     name = encoder.text_of
@@ -273,6 +273,7 @@ def round_trip(docs: DataFrame, rank_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of the bytes decoded from them.
 
     One pass without a shuffle; rows as in encode(). An empty or null text has 0 tokens and two digests of no bytes.
+    A text over a step's size is encoded whole, by itself; offsets are encode()'s, digests need none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_file))
     return _input(docs).mapInArrow(_encode(shared, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -338,7 +338,7 @@ def _mark(length: int, index_bytes: int):
 
 
 def _drop(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,12 +348,9 @@ def _drop(length: int):
                     gone = np.array([[0, len(text)]])
                 else:
                     gone = _merge_spans(np.array([(x["first"], x["first"] + x["many"] + length - 1) for x in spans or []], dtype=np.int64).reshape(-1, 2))
-                digest, at = hashlib.sha256(), 0
-                for a, b in gone.tolist():
-                    digest.update(text[at:a])
-                    at = b
-                digest.update(text[at:])
-                rows.append((doc_id, len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), digest.hexdigest()))
+                edges = [0, *gone.ravel().tolist(), len(text)]
+                kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                rows.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(kept.decode(errors="ignore"))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -361,10 +358,11 @@ def _drop(length: int):
 
 
 def drop_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_chars) for every row of docs (doc_id, text).
 
     Every byte is removed that a string of `length` bytes covers which also starts anywhere else, in the same text or
-    another; strings overlap, and lie within a text. n_spans counts maximal removed runs. Texts are UTF-8; a null or
+    another; strings overlap, and lie within a text. n_spans counts maximal removed runs, kept_chars the code points that
+    the remaining bytes make (a removed run may cut one). Texts are UTF-8; a null or
     empty text has 0 bytes and keeps the digest of none. Rows that repeat a text repeat each other: all of it goes if
     it has `length` bytes. A null doc_id is a document like any other; other columns are ignored; an empty table gives
     none. `length` is at least 64. Texts are told apart by 64 bits of their MD5, segments by 64-bit hashes; a text of any
@@ -414,4 +412,4 @@ def drop_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     # Of texts that occur twice nothing else is asked.
     found = texts.select("key", "copies").where("copies > 1").join(spans, "key", "full_outer").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.coalesce("copies", F.lit(1)) == 1, F.col("spans")).alias("spans"))
     done = rows.join(found, "key", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
-    return done.mapInArrow(_drop(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.mapInArrow(_drop(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_chars long")
