@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import by_column, quantiles
 from ..functions.rolling import clip
+from ..sources.paths import saved
 from .features import DAYS, MONTHS, NUMERIC
 
 
@@ -56,7 +57,7 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 def prepare(df: DataFrame, columns: list[str], *, winsor: bool = False, drop: tuple[str, ...] = (), purge: int = 0) -> DataFrame:
     """Splits, drops named columns, clips heavy tails (winsor) and scales by training statistics, in this order."""
     kept = [c for c in columns if c not in drop]
-    d = split(drop_columns(df, list(drop)), purge=purge)
+    d = saved(split(drop_columns(df, list(drop)), purge=purge), "split")
     return scale(winsorize(d, winsor_columns(kept)) if winsor else d, kept)
 
 

@@ -11,7 +11,7 @@ from ..functions.rolling import symbol_key
 from ..operators import backtest, dataset, features, forecasters, metrics, ml, regimes, sizing
 from ..sources import bars as src
 from ..sources import forecasts as fsrc
-from ..sources.paths import shared_folder
+from ..sources.paths import saved, shared_folder
 from ..streaming.bars import stream_hourly
 from . import oracle as q
 
@@ -230,6 +230,11 @@ def dataset_split(spark, sf_dir):
     return _rounded_features(_dataset(spark, sf_dir).drop(*features.DAYS, *features.MONTHS))
 
 
+def _saved_dataset(spark, sf_dir) -> DataFrame:
+    """The same, written first: for queries that read it several times."""
+    return saved(_dataset(spark, sf_dir), "dataset")
+
+
 _HOLES = f"hl AS (SELECT ticker, date, CASE WHEN day(date) % 3 = 0 THEN NULL ELSE ret END AS x FROM r)"
 
 
@@ -248,7 +253,7 @@ _WIN = dataset.winsor_columns(list(features.NUMERIC))
     FROM s WHERE split = 'train') SELECT date, ticker, {', '.join(f'round(least(greatest({c}, {c}_lo), {c}_hi), 6) AS {c}' for c in _WIN)}
     FROM s CROSS JOIN cp""")
 def winsor_train(spark, sf_dir):
-    return rounded(dataset.winsorize(_dataset(spark, sf_dir), _WIN), 6, *_WIN).select("date", "ticker", *_WIN)
+    return rounded(dataset.winsorize(_saved_dataset(spark, sf_dir), _WIN), 6, *_WIN).select("date", "ticker", *_WIN)
 
 
 _NUM = list(features.NUMERIC)
@@ -259,7 +264,7 @@ _NUM = list(features.NUMERIC)
     FROM s WHERE split = 'train') SELECT date, ticker, {', '.join(f'round(({c} - {c}_mu) / {c}_sd, 5) AS {c}' for c in _NUM)}
     FROM s CROSS JOIN sc""")
 def zscore_train(spark, sf_dir):
-    return rounded(dataset.scale(_dataset(spark, sf_dir), _NUM), 5, *_NUM).select("date", "ticker", *_NUM)
+    return rounded(dataset.scale(_saved_dataset(spark, sf_dir), _NUM), 5, *_NUM).select("date", "ticker", *_NUM)
 
 
 @query(f"{q.BASE}, {q.FEATURES}, m AS (SELECT ticker, {q.MASKED} FROM f3), t AS (SELECT ticker, {', '.join(f'avg(CAST({c} IS NULL AS INT)) AS {c}' for c in _NUM)} FROM m GROUP BY ticker) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 10) AS rate FROM t" for c in _NUM))
@@ -281,7 +286,7 @@ SELECT fold, role, count(*) AS n, min(date) AS start, max(date) AS "end"
     FROM ro WHERE role IS NOT NULL GROUP BY fold, role""")
 def time_folds(spark, sf_dir):
     """Rows by fold and role of expanding folds over the rows by date."""
-    return dataset.folds(_dataset(spark, sf_dir)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
+    return dataset.folds(_saved_dataset(spark, sf_dir)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
 
 
 # --- forecasters ---
@@ -360,10 +365,10 @@ def ml_snapshot(spark, sf_dir):
 
 
 def _portfolio_sql() -> str:
-    shares = ", ".join(f"{v} AS {c}" for c, v in {"share_ewma": "round(alloc_ewma / sum(alloc_ewma) OVER (), 4)", "share_ml": "round(alloc_ml / sum(alloc_ml) OVER (), 4)", "ratio": "round(units_ml / units_ewma, 3)"}.items())
+    shares = ", ".join(f"{v} AS {c}" for c, v in {"share_ewma": "round(alloc_ewma / sum(alloc_ewma) OVER (), 4)", "share_ml": "round(alloc_ml / sum(alloc_ml) OVER (), 4)", "ratio": "round(50000.0 * 2.5 * (0.02 / 19) / 25000.0 * vol_ewma / vol_ml, 3)"}.items())
     return f"""SELECT ticker, round(units_ewma, 4) AS units_ewma, round(units_ml, 4) AS units_ml, round(alloc_ewma, 2) AS alloc_ewma,
     round(alloc_ml, 2) AS alloc_ml, {shares}, state FROM (
-SELECT a.ticker AS ticker, a.units AS units_ewma, b.units AS units_ml, a.notional_alloc AS alloc_ewma, b.notional_alloc AS alloc_ml
+SELECT a.ticker AS ticker, a.pred_vol AS vol_ewma, b.pred_vol AS vol_ml, a.units AS units_ewma, b.units AS units_ml, a.notional_alloc AS alloc_ewma, b.notional_alloc AS alloc_ml
     FROM ({ORACLES['ewma_snapshot']}) a FULL JOIN ({ORACLES['ml_snapshot']}) b ON a.ticker = b.ticker)
 CROSS JOIN ({q.STATE} SELECT arg_max(state, date) AS state FROM ds)"""
 
@@ -521,7 +526,7 @@ def _ranked(columns: list[str]) -> str:
 
 @query(f"{q.DATASET}, rk AS (SELECT {_ranked([*_NUM, 'label'])} FROM s WHERE split = 'train') " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr(r_{c}, r_label), 6) AS rho FROM rk" for c in _NUM))
 def spearman_features(spark, sf_dir):
-    return rounded(metrics.spearman(_dataset(spark, sf_dir).where("split = 'train'"), _NUM, "label"), 6, "rho")
+    return rounded(metrics.spearman(_saved_dataset(spark, sf_dir).where("split = 'train'"), _NUM, "label"), 6, "rho")
 
 
 @query(f"{q.DATASET} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, label), 6) AS r FROM s WHERE split = 'train'" for c in _NUM))
@@ -534,7 +539,7 @@ _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
 
 @query(f"{q.DATASET}, rk AS (SELECT {_ranked(_NUM)} FROM s WHERE split = 'train') SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS rho FROM rk" for a, b in _PAIRS) + ") WHERE abs(rho) >= 0.5")
 def redundant_pairs(spark, sf_dir):
-    return rounded(metrics.correlated_pairs(_dataset(spark, sf_dir).where("split = 'train'"), _NUM, 0.5), 6, "rho")
+    return rounded(metrics.correlated_pairs(_saved_dataset(spark, sf_dir).where("split = 'train'"), _NUM, 0.5), 6, "rho")
 
 
 # --- regimes ---
@@ -624,22 +629,22 @@ def nowcast(spark, sf_dir):
 
 @query()
 def elasticnet_fit(spark, sf_dir):
-    return ml.fit_report(_dataset(spark, sf_dir), "elasticnet")
+    return ml.fit_report(_saved_dataset(spark, sf_dir), "elasticnet")
 
 
 @query()
 def gbt_fit(spark, sf_dir):
-    return ml.fit_report(_dataset(spark, sf_dir), "gbt")
+    return ml.fit_report(_saved_dataset(spark, sf_dir), "gbt")
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    return ml.importance(_dataset(spark, sf_dir))
+    return ml.importance(_saved_dataset(spark, sf_dir))
 
 
 @query(f"{q.DATASET}, rk AS (SELECT {_ranked(_NUM)} FROM s WHERE split = 'train') " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS rho FROM rk" for a in _NUM for b in _NUM))
 def rank_corr_matrix(spark, sf_dir):
-    return rounded(ml.rank_matrix(_dataset(spark, sf_dir).where("split = 'train'"), _NUM), 6, "rho")
+    return rounded(ml.rank_matrix(_saved_dataset(spark, sf_dir).where("split = 'train'"), _NUM), 6, "rho")
 
 
 @query(f"SELECT * FROM ({ORACLES['bars_hourly']}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")

@@ -12,7 +12,7 @@ from ..sources import forecasts as fsrc
 from ..sources import readers, sinks
 from ..sources.paths import read_json, shared_folder, write_json
 from . import oracle as q
-from .catalog import _DAILY, _F8, _FR, _GRID, _LABELS, _NUM, ORACLES, _daily, _dataset, _gaps, _pred, QUERIES, _regime, _returns, _rounded_features, daily_state, query, rounded
+from .catalog import _DAILY, _F8, _FR, _GRID, _LABELS, _NUM, ORACLES, _daily, _dataset, _gaps, _pred, QUERIES, _regime, _returns, _rounded_features, _saved_dataset, daily_state, query, rounded
 
 TICKERS = ["A", "N", "R"]
 __all__ = ["ORACLES", "QUERIES"]
@@ -154,7 +154,7 @@ def dataset_counts(spark, sf_dir):
 
 _KEPT = [c for c in _NUM if c != "rv20"]
 _CAPPED = dataset.winsor_columns(_KEPT)
-_SCALED = ", ".join(f"round(({c} - {c}_mu) / {c}_sd, 5) AS {c}" for c in _KEPT)
+_SCALED = ", ".join(f"round(({c} - {c}_mu) / {c}_sd, 5) + 0.0 AS {c}" for c in _KEPT)  # no negative zeros
 
 
 @query(f"""{q.DATASET}, cp AS (SELECT {', '.join(f'quantile_cont({c}, 0.005) AS {c}_lo, quantile_cont({c}, 0.995) AS {c}_hi' for c in _CAPPED)} FROM s WHERE split = 'train'),
@@ -448,7 +448,7 @@ def regime_head_tail(spark, sf_dir):
     FROM ({ORACLES['spearman_features']}) ORDER BY abs(rho) DESC, feature LIMIT 5""")
 def top_features(spark, sf_dir):
     """The five features whose ranks follow the label most."""
-    found = rounded(metrics.spearman(_dataset(spark, sf_dir).where("split = 'train'"), _NUM, "label"), 6, "rho")
+    found = rounded(metrics.spearman(_saved_dataset(spark, sf_dir).where("split = 'train'"), _NUM, "label"), 6, "rho")
     return metrics.top_features(found, 5)
 
 

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read back: for what is read several times and dear to compute."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_if_there(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:
     """The table at path, or None if there is nothing."""
     try:
