@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewick.llm import bm25, bpe, secrets, toxicity
-from tidewick.llm.common import read, shared_path
+from tidewick.llm.common import cut, drop_cut, read, shared_path
 from tidewick.llm.jaccard import one_of_each
 from tidewick.llm.queries import RANK_FILE
 
@@ -48,10 +48,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written to the shared folder and read by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to documents; what each returns is written to the shared folder and read by the next, then removed.
+
+    Null ids and texts, empty texts and repeated rows go through as each stage defines; no documents give no rows.
+    """
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            drop_cut(last)
+        last = docs
     return docs
