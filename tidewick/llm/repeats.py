@@ -5,10 +5,10 @@
    have equal anchors, wherever they are, at the same place. The windows of an anchor are a segment of the text.
 2. Segments are counted by anchor and by hash: those that occur twice as a whole repeat; anchors
    that occur once can't; only the other segments need a look at their bytes.
-3. An anchor with more bytes than an index takes is split: its windows by the anchor's place in them, in
-   buckets, and these by the bytes that all windows of a bucket have. What then is alone, or repeats as a
-   whole, is settled; what is still too much is split again, into narrower buckets. A bucket of one place
-   holds whole windows, so this ends, and no task gets a hot anchor.
+3. These are split: the windows by the anchor's place in them, in buckets, and these by the bytes that
+   all windows of a bucket have. What then is alone, or repeats as a whole, is settled; a group with more
+   bytes than an index takes is split again, into narrower buckets. A bucket of one place holds whole
+   windows, so this ends, and no task gets a hot anchor.
 4. The bytes of each group meet, with one copy of each segment that is known to repeat: a suffix
    array (prefix tripling), its Burrows-Wheeler transform in runs, and samples at the run ends. A
    row within a run has its predecessor's match one byte later, so lengths are compared at run
@@ -32,7 +32,7 @@ from .common import _BASE, _BYTE_VALUE, cut, drop_cut, mix64, ranges_for, runs_o
 
 KMER = 32
 PIECE = 1 << 20
-#: Bytes of segments that one index takes; an anchor that has more is split.
+#: Bytes of segments that one index takes; a group that has more is split again.
 INDEX_BYTES = 1_500_000
 #: Places of an anchor in a bucket, from split to split.
 WIDTHS = (96, 24, 6, 1)
@@ -181,7 +181,7 @@ def _split(row: tuple, length: int, width: int) -> Iterator[tuple]:
 
 
 def _segment_bytes(length: int, width: int):
-    """Bytes of the segments that are asked for; those of hot anchors come split."""
+    """Bytes of the segments that are asked for, split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +189,7 @@ def _segment_bytes(length: int, width: int):
             for owner, text, asked in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for x in asked:
                     body = text[x["first"] : x["first"] + x["many"] + length - 1]
-                    row = ("whole", x["akey"], owner, x["first"], x["many"], x["lead"], x["state"], 0, body)
-                    rows += _split(row, length, width) if x["hot"] else [row]
+                    rows += _split((None, x["akey"], owner, x["first"], x["many"], x["lead"], x["state"], 0, body), length, width)
                     size += len(body)
                 if size > 2 << 20:
                     yield _body_rows(rows)
@@ -376,37 +375,32 @@ def drop_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     version = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     texts = rows.groupBy("key").agg(F.min(version).alias("version"), F.count(F.lit(1)).alias("copies"))
     sent = rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_anchors(length), _ANCHORS)
-    # A text that several tasks have read comes several times.
-    sent = cut(sent.distinct(), "segments").withColumn("state", F.lit(2)).withColumn("size", F.col("many") + length - 1)
-    met = cut(_met(sent, "skey").select("owner", "first", "many", "lead", "akey", "state", "bytes"), "met")
+    # A text that several tasks have read comes several times: it repeats as a whole, so its segments count rightly.
+    sent = cut(sent, "segments").withColumn("state", F.lit(2)).withColumn("size", F.col("many") + length - 1)
+    met = cut(_met(sent, "skey").select("owner", "first", "many", "lead", "akey", "state"), "met")
     marks = met.where("state = 1").select("owner", "first", "many")
     # Bytes of the segments that need a look, from one copy of each text.
-    asked = met.where("state > 1").groupBy("owner").agg(F.collect_list(F.struct("first", "many", "lead", "akey", "state", (F.col("bytes") > INDEX_BYTES).alias("hot"))).alias("asked"))
+    asked = met.where("state > 1").groupBy("owner").agg(F.collect_list(F.struct("first", "many", "lead", "akey", "state")).alias("asked"))
     asked = asked.join(texts.select(F.col("key").alias("owner"), "version"), "owner")
     bodies = rows.withColumn("version", version).join(asked.withColumnRenamed("owner", "key"), ["key", "version"]).select("key", "text", "asked").mapInArrow(_segment_bytes(length, WIDTHS[0]), _BODIES)
-    bodies = cut(bodies, "bodies", by="part")
+    split = cut(bodies, "bodies")
     drop_cut(sent)
     fields = [f.name for f in _BODY_SCHEMA]
-    whole, split, level = [bodies.where("part = 'whole'")], bodies.where("part = 'split'"), 0
-    while not split.isEmpty():
+    looked, level = None, 0
+    while looked is None or not split.isEmpty():
         level += 1
-        # Rows that repeat an id and text have sent a segment twice.
-        split = split.dropDuplicates(["akey", "owner", "first"]).withColumn("size", F.octet_length("body"))
-        found = _met(split, "bhash").withColumn("part", F.when(F.col("state") == 1, "repeats").when(F.col("bytes") > INDEX_BYTES, "hot").otherwise("whole"))
+        # Rows that repeat an id and text send a segment twice; their text repeats as a whole, so it counts rightly.
+        found = _met(split.withColumn("size", F.octet_length("body")), "bhash").withColumn("part", F.when(F.col("state") == 1, "repeats").when(F.col("bytes") > INDEX_BYTES, "hot").otherwise("whole"))
         found = cut(found.select(*fields), f"split-{level}", by="part")
         marks = marks.unionByName(found.where("part = 'repeats'").select("owner", "first", "many"))
-        whole.append(found.where("part = 'whole'"))
+        whole = found.where("part = 'whole'").select("akey", "owner", "first", "state", "body")
+        looked = whole if looked is None else looked.unionByName(whole)
+        drop_cut(split)
         split = found.where("part = 'hot'")
         if level < len(WIDTHS):
-            split = split.select(*fields).mapInArrow(_split_again(length, WIDTHS[level]), _BODIES)
-            split = cut(split, f"narrower-{level}")
-    looked = None
-    for part in whole:
-        part = part.select("akey", "owner", "first", "state", "body")
-        looked = part if looked is None else looked.unionByName(part)
+            split = cut(split.select(*fields).mapInArrow(_split_again(length, WIDTHS[level]), _BODIES), f"narrower-{level}")
     looked = looked.repartition(many, "akey").sortWithinPartitions("akey").mapInArrow(_mark(length, INDEX_BYTES), "owner long, first long, many long")
     marks = cut(marks.unionByName(looked), "repeats")
-    drop_cut(bodies)
     drop_cut(met)
     spans = marks.groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     # Of texts that occur twice nothing else is asked.
