@@ -1,12 +1,38 @@
 """The pipeline's stages against brute force on a small table."""
 
+import base64
+import hashlib
 import random
 import re
 
 import corpus_pipeline
+import public_tokenizers
+import tiktoken
+
+from tidewick.llm import toxicity
 from tidewick.llm.queries import ORACLES, QUERIES
 
-WORD = re.compile(r"\S+")
+def brute(rows, k, num, den):
+    """(id, shingles, smallest id of the component) by comparing all pairs of texts."""
+    low = {i: i + 32 for i in range(65, 91)}
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for _, t in rows]
+    sets = [frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset() for w in words]
+    root = list(range(len(rows)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and den * len(x & y) >= num * len(x | y):
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        least[root[a]] = min(i, least.get(root[a], i))
+    return [(i, len(sets[a]), least[root[a]] if sets[a] else i) for a, (i, _) in enumerate(rows)]
+
+
+def reference():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_stages(spark, tmp_path):
@@ -30,7 +56,18 @@ def test_stages(spark, tmp_path):
     assert set(got) == {i for i, _ in clean} | {104, 105, 106}
     assert "[SECRET]" in got[104]["text"] and got[104]["n_chars"] == len(got[104]["text"])
     final = corpus_pipeline.run(spark, d)
-    assert {r["doc_id"] for r in final.collect()} == set(got)
+    # The stages again, in plain Python.
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    want = [(i, t) for i, t in rows if toxicity.Scorer(lexicon)(t or "")[0] < 0.7]
+    kept = {i for i, _, c in brute(want, 5, 80, 100) if i == c}
+    want = [(i, t) for i, t in want if i in kept and item not in (t or "")]
+    _, encoding = reference()
+    digests = {}
+    for i, t in want:
+        t = re.sub(r'password = "[A-Za-z]{12,}', "[SECRET]", t or "")
+        ids = encoding.encode_ordinary(t)
+        digests[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert {r["doc_id"]: tuple(r)[1:] for r in final.collect()} == digests
 
 
 def test_odd_rows(spark, tmp_path):
