@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, lm, repeats, secrets, sketch, toxicity, warc
+from . import bm25, bpe, chat, lm, repeats, secrets, sketch, toxicity, urls, warc
 from .common import read, shared_path
 from .jaccard import link_components
 
 #: The vocabulary of op9; a parameter, not a file of this repository.
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: Rules (host, path, verdict) of op12, and the words in host names that make its list of blocked hosts.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+HOST_WORDS = ("ads?", "adult", "bets?", "casino", "pills?", "spam")
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, from a lexicon learned outside the held-out third."""
@@ -70,6 +74,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages: the rules, then a list of hosts whose names hold a listed word."""
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.rule_table(spark, URL_RULES), urls.named_hosts(pages, HOST_WORDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -81,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_url_filters": op12_url_filters,
 }
 
 ORACLES: dict[str, str] = {
@@ -121,5 +132,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM bits
+""",
+    "op12_url_filters": r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), r(rule_host, rule_path, said) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT DISTINCT host, path, rule_host || rule_path AS rule, said FROM (SELECT DISTINCT host, path FROM p), r WHERE ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)),
+b AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(said, length(rule)) AS said FROM f GROUP BY host, path),
+l AS (SELECT DISTINCT host AS listed FROM p WHERE regexp_matches(host, '(^|[.-])(ads?|adult|bets?|casino|pills?|spam)([.-]|$)')),
+h AS (SELECT host, max_by(listed, length(listed)) AS listed_key FROM (SELECT DISTINCT host FROM p), l WHERE ends_with('.' || host, '.' || listed) GROUP BY host)
+SELECT page_id, host, path, rule, listed_key, coalesce(said, CASE WHEN listed_key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (host, path) LEFT JOIN h USING (host)
 """,
 }
