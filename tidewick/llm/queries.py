@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, lm, repeats, secrets, sketch, toxicity, urls, warc
+from . import bm25, bpe, chat, lm, periods, repeats, secrets, sketch, toxicity, urls, warc
 from .common import read, shared_path
 from .jaccard import link_components
 
@@ -80,6 +80,11 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rule_table(spark, URL_RULES), urls.named_hosts(pages, HOST_WORDS))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, with repetitions written into a tenth of them, and the collapsed texts."""
+    return periods.digests(periods.periodic_runs(periods.planted(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op12_url_filters": op12_url_filters,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
