@@ -86,45 +86,48 @@ def _columns(spec: Boosting, tree: int, many: int) -> np.ndarray:
     return np.sort(np.random.default_rng((spec.seed, tree)).permutation(many)[:n])
 
 
-def histogram(bins: np.ndarray, offsets: np.ndarray, node: np.ndarray, grad: np.ndarray, columns: np.ndarray, nodes: int) -> np.ndarray:
-    """Sums of gradients and counts of rows, by node of a level and bin of the columns' features: (2, nodes, all bins)."""
-    width = int(offsets[-1])
-    place = (bins[:, columns] + (node[:, None] * width + offsets[columns])).ravel()
-    g = np.bincount(place, np.repeat(grad, len(columns)), nodes * width)
-    return np.stack((g, np.bincount(place, minlength=nodes * width))).reshape(2, nodes, width)
+def _spans(offsets: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Where the bins of the sampled columns begin, side by side, and how many there are."""
+    return np.concatenate(([0], np.cumsum(offsets[columns + 1] - offsets[columns])))
+
+
+def histogram(place: np.ndarray, node: np.ndarray, grad: np.ndarray, nodes: int, width: int) -> np.ndarray:
+    """Sums of gradients and counts of rows, by node of a level and bin: (2, nodes, width). place: each row's bins, side by side."""
+    at = (place + (node * width)[:, None]).ravel()
+    g = np.bincount(at, np.repeat(grad, place.shape[1]), nodes * width)
+    return np.stack((g, np.bincount(at, minlength=nodes * width))).reshape(2, nodes, width)
 
 
 def best_splits(sums: np.ndarray, offsets: np.ndarray, spec: Boosting, columns: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
     """For each node (feature, bin, gain, leaf value, rows, gradient): the split of greatest gain, feature -1 if none helps.
 
-    Gains within a billionth of the greatest are equal; the first feature, then the first bin, is taken.
+    Gains within a billionth of the greatest are equal; the first feature, then the first bin, is taken. Sums of the last
+    level have totals only, (2, nodes, 1).
     """
-    soft = lambda g: np.sign(g) * np.maximum(np.abs(g) - spec.l1, 0.0)
-    score = lambda g, n: np.where(n + spec.l2 > 0, soft(g) ** 2 / np.maximum(n + spec.l2, 1e-300), 0.0)
-    first = slice(offsets[columns[0]], offsets[columns[0] + 1])
-    total_g, total_n = sums[0][:, first].sum(1), sums[1][:, first].sum(1)
-    gains = []
-    for f in columns:
-        part = sums[:, :, offsets[f] : offsets[f + 1]].cumsum(2)[:, :, :-1]
-        if not part.shape[2]:
-            continue
-        left_g, left_n = part
-        right_g, right_n = total_g[:, None] - left_g, total_n[:, None] - left_n
-        gain = score(left_g, left_n) + score(right_g, right_n) - score(total_g, total_n)[:, None]
-        least = max(spec.child, 1)
-        gains.append((f, np.where((left_n >= least) & (right_n >= least), gain, -np.inf)))
-    every = np.concatenate([g for _, g in gains], 1) if gains else np.full((len(total_g), 1), -np.inf)
-    names = np.concatenate([np.stack((np.full(g.shape[1], f), np.arange(g.shape[1]))) for f, g in gains], 1) if gains else np.zeros((2, 1), int)
-    top = every.max(1)
-    out = []
-    for i in range(len(top)):
-        leaf = float(-soft(total_g[i]) / (total_n[i] + spec.l2)) if total_n[i] + spec.l2 > 0 else 0.0
-        facts = (leaf, float(total_n[i]), float(total_g[i]))
-        if top[i] > spec.least_gain:
-            k = int(np.argmax(every[i] >= top[i] * (1 - 1e-9)))
-            out.append((int(names[0, k]), int(names[1, k]), float(every[i, k]), *facts))
-        else:
-            out.append((-1, 0, 0.0, *facts))
+    soft = (lambda g: np.sign(g) * np.maximum(np.abs(g) - spec.l1, 0.0)) if spec.l1 else (lambda g: g)
+    span = _spans(offsets, columns)
+    whole = sums.shape[2] == 1
+    total_g, total_n = sums[:, :, : 1 if whole else span[1]].sum(2)
+    leaf = -soft(total_g) / np.maximum(total_n + spec.l2, 1e-300)
+    out = [(-1, 0, 0.0, float(v), float(n), float(g)) for v, n, g in zip(leaf, total_n, total_g, strict=True)]
+    if whole or not total_n.any():
+        return out
+    run = sums.cumsum(2)
+    before = np.concatenate((np.zeros((2, sums.shape[1], 1)), run[:, :, span[1:-1] - 1]), 2)
+    g, n = run - np.repeat(before, np.diff(span), axis=2)
+    other_g, other_n = total_g[:, None] - g, total_n[:, None] - n
+    least = max(spec.child, 1)
+    fits = (n >= least) & (other_n >= least)
+    fits[:, span[1:] - 1] = False  # all of a feature's rows go left
+    l2 = max(spec.l2, 1e-300)
+    gain = soft(g) ** 2 / (n + l2) + soft(other_g) ** 2 / (other_n + l2)
+    gain[~fits] = -np.inf
+    gain -= (soft(total_g) ** 2 / (total_n + l2))[:, None]
+    top = gain.max(1)
+    for i in np.flatnonzero(top > spec.least_gain):
+        k = int(np.argmax(gain[i] >= top[i] * (1 - 1e-9)))
+        f = int(np.searchsorted(span, k, side="right")) - 1
+        out[i] = (int(columns[f]), k - int(span[f]), float(gain[i, k]), *out[i][3:])
     return out
 
 
@@ -164,12 +167,14 @@ def added(tree: dict[str, np.ndarray], bins: np.ndarray, depth: int) -> np.ndarr
 def grow_tree(blocks: list[Block], margins: list[np.ndarray], spec: Boosting, fold: int, t: int, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """One tree on the training rows of a fold."""
     tree, columns = _empty_tree(spec.depth), _columns(spec, t, len(offsets) - 1)
+    used = [Sampled(b, m, spec, fold, t, offsets) for b, m in zip(blocks, margins, strict=True)]
     for depth in range(spec.depth + 1):
-        sums = sum(level_sums(b, m, spec, fold, t, tree, depth, offsets) for b, m in zip(blocks, margins, strict=True))
-        splits = best_splits(sums, offsets, spec, columns)
+        splits = best_splits(sum(u.sums(tree, depth) for u in used), offsets, spec, columns)
         _level(tree, splits, depth, spec)
         if all(s[0] < 0 for s in splits):
             break
+        for u in used:
+            u.down(tree)
     return tree
 
 
@@ -183,21 +188,42 @@ class Block:
     role: np.ndarray
 
 
+class Sampled:
+    """A block's rows that a tree learns from, with the bins of the columns that it may split on, and the node each is in."""
+
+    def __init__(self, b: Block, margin: np.ndarray, spec: Boosting, fold: int, t: int, offsets: np.ndarray) -> None:
+        use = b.role[:, fold] == 1
+        if spec.rows < 1:
+            use &= _mixed(b.ids, spec, t) < spec.rows
+        at = np.flatnonzero(use)
+        columns = _columns(spec, t, len(offsets) - 1)
+        span = _spans(offsets, columns)
+        self.bins, self.grad, self.spec, self.width = b.bins[at], (margin - b.y)[at], spec, int(span[-1])
+        self.place = self.bins[:, columns] + span[:-1]
+        self.node = np.zeros(len(at), dtype=np.int64)
+
+    def down(self, tree: dict[str, np.ndarray]) -> None:
+        """Rows in a node that has been split go to its children."""
+        f = tree["feature"][self.node]
+        right = self.bins[np.arange(len(f)), np.maximum(f, 0)] > tree["bin"][self.node]
+        self.node = np.where(f >= 0, 2 * self.node + 1 + right, self.node)
+
+    def sums(self, tree: dict[str, np.ndarray], depth: int) -> np.ndarray:
+        """histogram() of the rows that are in nodes of this level; of the last level totals only."""
+        node, nodes = self.node - ((1 << depth) - 1), 1 << depth
+        at = slice(None) if not depth else np.flatnonzero(node >= 0)
+        node, grad = node[at], self.grad[at]
+        if depth < self.spec.depth:
+            return histogram(self.place[at], node, grad, nodes, self.width)
+        return np.stack((np.bincount(node, grad, nodes), np.bincount(node, minlength=nodes)))[:, :, None]
+
+
 def level_sums(b: Block, margin: np.ndarray, spec: Boosting, fold: int, t: int, tree: dict[str, np.ndarray], depth: int, offsets: np.ndarray) -> np.ndarray:
-    """histogram() of the rows of a tree that are in nodes of this level."""
-    node = descend(tree, b.bins, depth) - ((1 << depth) - 1)
-    use = (b.role[:, fold] == 1) & (node >= 0)
-    if spec.rows < 1:
-        use &= _mixed(b.ids, spec, t) < spec.rows
-    at = np.flatnonzero(use)
-    columns = _columns(spec, t, len(offsets) - 1)
-    if depth < spec.depth:
-        return histogram(b.bins[at], offsets, node[at], (margin - b.y)[at], columns, 1 << depth)
-    # Leaves need totals only; they stand in the first bin that best_splits() adds up.
-    sums = np.zeros((2, 1 << depth, int(offsets[-1])))
-    first = offsets[columns[0]]
-    sums[0, :, first], sums[1, :, first] = np.bincount(node[at], (margin - b.y)[at], 1 << depth), np.bincount(node[at], minlength=1 << depth)
-    return sums
+    """The sums of one level of a tree whose upper levels are known."""
+    rows = Sampled(b, margin, spec, fold, t, offsets)
+    for _ in range(depth):
+        rows.down(tree)
+    return rows.sums(tree, depth)
 
 
 # --- Spark ---
@@ -267,12 +293,12 @@ class Task:
 class BinnedTable:
     """Rows of a data set as blocks of bins. Close it when its models are grown."""
 
-    def __init__(self, df: DataFrame, columns: list[str], label: str, roles: list[Column], key: list[str], cuts: list[np.ndarray] | None = None) -> None:
+    def __init__(self, df: DataFrame, columns: list[str], label: str, roles: list[Column], key: list[str], cuts: list[np.ndarray] | None = None, bins: int = 256) -> None:
         """roles: for each fold 1 on rows to fit and 2 on rows to score, else 0. key: columns that tell rows apart."""
         self.columns, self.folds = columns, len(roles)
         rows = df.select(F.xxhash64(*key).alias("id"), F.col(label).cast("double").alias("y"), *(r.cast("int").alias(f"role_{i}") for i, r in enumerate(roles)), *(F.col(c).cast("double").alias(f"f_{i}") for i, c in enumerate(columns)))
         rows = rows.where("y is not null")
-        self.cuts = cuts_of(df, columns) if cuts is None else cuts
+        self.cuts = cuts_of(df, columns, bins) if cuts is None else cuts
         self.offsets = np.concatenate(([0], np.cumsum([len(c) + 1 for c in self.cuts]))).astype(np.int64)
         self.blocks = rows.mapInArrow(_to_blocks(self.cuts, self.folds), _BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
         found = rows.agg(*(F.avg(F.when(F.col(f"role_{i}") == 1, F.col("y"))) for i in range(self.folds)), F.count(F.lit(1))).first()
@@ -435,6 +461,34 @@ def predict(model: Model, cuts: list[np.ndarray], df: DataFrame, columns: list[s
     return df.select(*keep, *(F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(columns))).mapInArrow(run, schema)
 
 
+_NODE = "tree int, node int, feature string, bin int, cut double, gain double, value double, rows double"
+
+
+def node_table(model: Model, cuts: list[np.ndarray], columns: list[str], df: DataFrame) -> DataFrame:
+    """The nodes of a model that hold rows, (tree, node, feature, bin, cut, gain, value, rows); leaves have no feature."""
+    rows = []
+    for t, tree in enumerate(model.trees):
+        for i in np.flatnonzero(tree["rows"] > 0):
+            f, b = int(tree["feature"][i]), int(tree["bin"][i])
+            where = (columns[f], b, float(cuts[f][b])) if f >= 0 else (None, None, None)
+            rows.append((t, int(i), *where, float(tree["gain"][i]), float(tree["value"][i]), float(tree["rows"][i])))
+    return df.sparkSession.createDataFrame(rows, _NODE)
+
+
+def from_nodes(nodes: DataFrame, spec: Boosting, base: float, columns: list[str]) -> tuple[Model, list[np.ndarray]]:
+    """The model of a node table, with the cuts that it uses: a model's trees are as many as its rounds, whatever the data."""
+    rows = nodes.collect()
+    cuts = [np.unique([r["cut"] for r in rows if r["feature"] == c]) for c in columns]
+    trees = [_empty_tree(spec.depth) for _ in range(1 + max((r["tree"] for r in rows), default=-1))]
+    for r in rows:
+        tree, i = trees[r["tree"]], r["node"]
+        tree["gain"][i], tree["value"][i], tree["rows"][i] = r["gain"], r["value"], r["rows"]
+        if r["feature"] is not None:
+            f = columns.index(r["feature"])
+            tree["feature"][i], tree["bin"][i] = f, int(np.searchsorted(cuts[f], r["cut"]))
+    return Model(spec, base, trees), cuts
+
+
 def importances(model: Model, columns: list[str]) -> list[tuple[str, float, float, int, float]]:
     """(feature, gain, cover, splits, share): mean gain and mean rows of the splits on a feature, how many there are, and the
     feature's share of the total gain; features without a split have zeros."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import by_column, quantiles
@@ -73,15 +73,25 @@ def folds(df: DataFrame, n: int = 4, gap: int = 0) -> DataFrame:
     Borders are at n equal steps from half of the rows, the first left out (n = 4: .625, .75 and .875 of them, each
     validated on the next 9.375 %); `gap` rows before a border are in neither.
     """
+    d = ranked(df)
+    role = lambda r: F.when(r == 1, "train").when(r == 2, "val")
+    d = d.withColumn("x", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("fold"), role(r).alias("role")) for k, r in enumerate(fold_roles(n, gap))))))
+    return d.select("x.fold", "x.role", *(F.col(c) for c in df.columns)).where("role is not null")
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    """df with rank by date, equal dates by ticker, and total: what fold_roles() reads."""
     from .metrics import ordinal
 
+    return ordinal(df.withColumn("__day", F.unix_date("date").cast("double")), "__day", "ticker").drop("__day")
+
+
+def fold_roles(n: int = 4, gap: int = 0) -> list[Column]:
+    """For each of the folds 1 on rows of ranked() to train on, 2 on rows to validate, else 0."""
     starts = [0.5 + 0.5 * (i + 1) / n for i in range(n - 1)]
     width = (1 - starts[0]) / n
-    d = ordinal(df.withColumn("__day", F.unix_date("date").cast("double")), "__day", "ticker").drop("__day")
     border = lambda a: F.floor(F.lit(a) * F.col("total"))
-    role = lambda a: F.when(F.col("rank") <= border(a) - gap, "train").when((F.col("rank") > border(a)) & (F.col("rank") <= border(a + width)), "val")
-    d = d.withColumn("x", F.explode(F.array(*(F.struct(F.lit(k + 1).alias("fold"), role(a).alias("role")) for k, a in enumerate(starts)))))
-    return d.select("x.fold", "x.role", *(F.col(c) for c in df.columns)).where("role is not null")
+    return [F.when(F.col("rank") <= border(a) - gap, 1).when((F.col("rank") > border(a)) & (F.col("rank") <= border(a + width)), 2).otherwise(0) for a in starts]
 
 
 def counts(df: DataFrame) -> DataFrame:
