@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.rolling import UNBOUNDED, by_ticker, symbol_key
 from .paths import read_if_there, read_json, read_table
@@ -147,18 +148,33 @@ def daily_forecasts(spark: SparkSession, folder: str, tickers: list[str], *, k:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df, straight from files, with position 0, 1, ... in their order.
+    """df, straight from files, with position 0, 1, ...: by the files' names, then by the rows' places in their file.
 
-    Partitions are counted first, so no task holds all rows; one number a partition comes together.
+    Parquet rows tell their place; of other formats the rows of a file meet in one task, which numbers them. Rows are
+    counted by file, and only a number a file comes together.
     """
-    d = df.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    base = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))  # a row a partition
-    base = base.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(UNBOUNDED, -1)), F.lit(0)))
-    return d.join(F.broadcast(base.select(F.col("__part").alias("__p"), "__first", "__before")), F.col("__part") == F.col("__p")).withColumn("position", F.col("__id") - F.col("__first") + F.col("__before")).drop("__part", "__p", "__id", "__first", "__before")
+    names = df.columns
+    file, row = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        d = df.select("*", file, row)
+        d.schema  # noqa: B018  raises here if the format has no row numbers
+    except AnalysisException:
+        # The ids of a task's rows rise as it reads them, and a task reads a file's splits from the front.
+        d = df.select("*", file, F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+        w = Window.partitionBy("__file").orderBy("__block", "__id")
+        d = d.withColumn("__row", F.row_number().over(w) - 1).drop("__block", "__id")
+    sizes = d.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))  # a row a file
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__name").rowsBetween(UNBOUNDED, -1)), F.lit(0))
+    sizes = sizes.select(F.col("__file").alias("__name"), "__n").select("__name", before.alias("__before"))
+    return d.join(sizes, F.col("__file") == F.col("__name")).select(*(F.col(f"`{c}`") for c in names), (F.col("__before") + F.col("__row")).alias("position"))
 
 
 def by_position(preds: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """(ticker, date, pred): forecasts that belong to the rows (date, ticker) in the same position; unequal counts raise ValueError."""
+    """(ticker, date, pred): forecasts that belong to the rows (date, ticker) in the same position; unequal counts raise ValueError.
+
+    Both are read straight from files. Positions go by file name, then by row, so part files of any sizes, cut anywhere,
+    are put together in the order in which Spark named them.
+    """
     a, b = preds.count(), rows.count()
     if a != b:
         raise ValueError(f"{b} rows and {a} forecasts")
@@ -167,14 +183,15 @@ def by_position(preds: DataFrame, rows: DataFrame, value: str) -> DataFrame:
         raise ValueError("the rows have no date or no ticker column")
     if value not in preds.columns:
         raise ValueError(f"no forecast column {value}")
-    left = numbered(rows.select(F.to_date(f"`{date}`").alias("date"), F.col(f"`{ticker}`").cast("string").alias("ticker")))
-    return one_each(left.join(numbered(preds.select(F.col(f"`{value}`").cast("double").alias("pred"))), "position").drop("position"))
+    left = numbered(rows).select("position", F.to_date(f"`{date}`").alias("date"), F.col(f"`{ticker}`").cast("string").alias("ticker"))
+    right = numbered(preds).select("position", F.col(f"`{value}`").cast("double").alias("pred"))
+    return one_each(left.join(right, "position").drop("position"))
 
 
 def _vector(df: DataFrame, value: str, calendar: DataFrame, ticker: str, tail: bool) -> DataFrame:
     """A file without dates: its values on the first (or last) days of the calendar (date), in order."""
     days = calendar.select("date").distinct()
-    v = numbered(df.select(F.col(f"`{value}`").cast("double").alias("pred")))
+    v = numbered(df).select("position", F.col(f"`{value}`").cast("double").alias("pred"))
     back = days.count() - v.count() if tail else 0
     days = days.withColumn("position", F.row_number().over(Window.orderBy("date")) - 1 - back)  # a row a date
     return days.join(v, "position").select(F.lit(ticker).alias("ticker"), "date", "pred")
