@@ -28,13 +28,15 @@ RESULT = "doc_id long, item_id long, score double, question_overlap double, answ
 @dataclass(frozen=True)
 class Bm25Params:
     """threshold: share of an item's own score; essential: share of its weight in essential terms, at least 1 - threshold;
-    overlap: share of the shingles of question and of answer, see _overlap(), that must be in the passage; shard_bytes bounds the index that travels with tasks."""
+    overlap: share of the shingles of question and of answer, see _Part, that must be in one span of a document; spread: words of
+    a span, as a multiple of the item's; shard_bytes bounds the index that travels with tasks."""
 
     k1: float = 1.2
     b: float = 0.75
     threshold: float = 0.6
     essential: float = 0.75
     overlap: float = 0.5
+    spread: float = 2.0
     answer_share: float = 0.3
     block: int = 32
     least_stride: int = 64
@@ -178,43 +180,76 @@ def split_item(words: list[bytes], text: bytes, share: float) -> tuple[int, int]
     return cut, n
 
 
-def _overlap(part: np.ndarray, passage: np.ndarray) -> float:
-    """Share of a word sequence's 3-word shingles, of its words if it has fewer than 8, that are in a passage; 1 for no words."""
-    if not len(part):
-        return 1.0
-    k = 3 if len(part) >= 8 else 1
-    own, there = (np.unique(shingle_hashes(x, np.array([0, len(x)]), k)[0]) for x in (part, passage))
-    return float(np.isin(own, there).mean())
+class _Part:
+    """The question's or the answer's 3-word shingles; of a part with fewer than 8 words, the words."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.k = 3 if len(words) >= 8 else 1
+        self.own = np.unique(shingle_hashes(words, np.array([0, len(words)]), self.k)[0]) if len(words) else np.empty(0, np.uint64)
+
+    def found(self, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in a passage shingles of the part begin, and which ones they are."""
+        there = shingle_hashes(passage, np.array([0, len(passage)]), self.k)[0] if len(passage) >= self.k else np.empty(0, np.uint64)
+        which = np.minimum(np.searchsorted(self.own, there), max(0, len(self.own) - 1))
+        at = np.flatnonzero(self.own[which] == there) if len(self.own) else np.empty(0, np.int64)
+        return at, which[at]
+
+    def share(self, at: np.ndarray, which: np.ndarray, first: int, last: int) -> float:
+        """Share of the shingles that lie in words [first, last); 1 for a part without words."""
+        return len(np.unique(which[(at >= first) & (at + self.k <= last)])) / len(self.own) if len(self.own) else 1.0
+
+
+def span_overlap(item: np.ndarray, cut: int, passage: np.ndarray, p: Bm25Params) -> tuple[float, float]:
+    """(question overlap, answer overlap) in the best span of a passage: as many words as `spread` times the item's, 16 more
+    than it has at least. The best span has the greatest lesser overlap, then the greatest sum."""
+    span = max(int(p.spread * len(item)), len(item) + 16)
+    question, answer = _Part(item[:cut]), _Part(item[cut:])
+    q, r = question.found(passage), answer.found(passage)
+    whole = question.share(*q, 0, len(passage)), answer.share(*r, 0, len(passage))
+    if len(passage) <= span or min(whole) < p.overlap:
+        return whole
+    best = (0.0, 0.0)
+    for first in np.unique(np.concatenate((q[0], r[0]))).tolist():
+        here = question.share(*q, first, first + span), answer.share(*r, first, first + span)
+        best = max(best, here, key=lambda x: (min(x), sum(x)))
+    return best
+
+
+@dataclass
+class ItemClass:
+    """Items of similar length: their index, ids, words, ends of questions, and the stride of the windows that they are sought in."""
+
+    index: BlockMaxIndex
+    ids: list[int]
+    words: list[np.ndarray]
+    cuts: list[int]
+    stride: int
 
 
-def _held(index: BlockMaxIndex, words: list[np.ndarray], cuts: list[int], stride: int, texts: list[bytes]) -> dict[tuple[int, int], tuple]:
-    """(score, question overlap, answer overlap) by (text, item) that a passage holds."""
-    p = index.params
+def _held(classes: list[ItemClass], texts: list[bytes]) -> dict[tuple[int, int], tuple]:
+    """(score, question overlap, answer overlap) by (text, item id) that a passage holds."""
     hashes, off = word_hashes(texts)
-    terms = index.terms_of(hashes)
-    best: dict[tuple[int, int], tuple] = {}
-    for i, c in index.windows(terms, off, stride).tolist():
-        a, b = off[i] + c * stride, min(off[i + 1], off[i] + (c + 2) * stride)
-        here = terms[a:b]
-        for item, score in index.search(np.unique(here[here >= 0]).tolist(), p.threshold):
-            # An item at the window's edge may go on beyond it.
-            passage = hashes[max(off[i], a - stride) : min(off[i + 1], b + stride)]
-            q, r = _overlap(words[item][: cuts[item]], passage), _overlap(words[item][cuts[item] :], passage)
-            if q >= p.overlap and r >= p.overlap:
-                best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (score, q, r))
+    best: dict[tuple[int, int], tuple] = {}  # an item may have several texts
+    for c in classes:
+        terms, p, stride = c.index.terms_of(hashes), c.index.params, c.stride
+        for i, w in c.index.windows(terms, off, stride).tolist():
+            a, b = off[i] + w * stride, min(off[i + 1], off[i] + (w + 2) * stride)
+            here = terms[a:b]
+            for item, score in c.index.search(np.unique(here[here >= 0]).tolist(), p.threshold):
+                # An item at the window's edge may go on beyond it.
+                q, r = span_overlap(c.words[item], c.cuts[item], hashes[max(off[i], a - stride) : min(off[i + 1], b + stride)], p)
+                if q >= p.overlap and r >= p.overlap:
+                    best[i, c.ids[item]] = max(best.get((i, c.ids[item]), (0.0, 0.0, 0.0)), (score, q, r))
     return best
 
 
-def _search(index: BlockMaxIndex, ids: list[int], words: list[np.ndarray], cuts: list[int], stride: int):
+def _search(classes: list[ItemClass]):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
             doc_ids = batch.column(0).to_pylist()
-            best: dict[tuple[int, int], tuple] = {}  # an item may have several texts
-            for (i, item), v in _held(index, words, cuts, stride, texts).items():
-                best[i, ids[item]] = max(best.get((i, ids[item]), (0.0, 0.0, 0.0)), v)
-            rows = [(doc_ids[i], item, *v) for (i, item), v in sorted(best.items())]
+            rows = [(doc_ids[i], item, *v) for (i, item), v in sorted(_held(classes, texts).items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -224,8 +259,10 @@ def _search(index: BlockMaxIndex, ids: list[int], words: list[np.ndarray], cuts:
 def leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every item that a passage of a document holds.
 
-    docs (doc_id, text), items (item_id, text); other columns are ignored. Passages are windows of two strides, a stride
-    apart, so each run of words as long as the longest item lies in one; texts are read whole, in steps of bounded size.
+    docs (doc_id, text), items (item_id, text); other columns are ignored. Items are searched by length class: passages are
+    windows of two strides, a stride apart, and a class's stride is the power of two, least_stride at least, that none of
+    its items is longer than; so an item's passages follow its own length, whatever other items there are. Question and
+    answer have to overlap with one span of `spread` times the item's words. Texts are read whole, in steps of bounded size.
     score is the best passage's BM25 as a share of the item's own; values that equal a bound count as reached. Null, empty
     and blank texts hold and are nothing. Repeated documents each give their rows; items with a null id are ignored,
     repeated ones count once, and of one with several texts the best match counts. No items or no documents give no rows.
@@ -238,7 +275,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Params())
     shards, each = _shards(items, params)
     out = spark.createDataFrame([], RESULT)
     for shard in each:
-        found = rows.mapInArrow(_search(*shard), RESULT)
+        found = rows.mapInArrow(_search(shard), RESULT)
         if shards == 1:
             return found
         out = out.unionByName(cut(found, "leaks"))  # the driver holds one shard at a time
@@ -251,14 +288,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, params: Bm25Params = Bm25Pa
     Null and empty texts stay; repeated rows stay or go together; without items all rows stay.
     """
     shards, each = _shards(items, params)
-    for index, ids, words, cuts, stride in each:
+    for classes in each:
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, words=words, cuts=cuts, stride=stride) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], classes=classes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 column = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "text"])
                 clean, at = np.ones(batch.num_rows, dtype=bool), 0
                 for part, texts in steps(iter([column])):
-                    clean[[at + i for i, _ in _held(index, words, cuts, stride, texts)]] = False
+                    clean[[at + i for i, _ in _held(classes, texts)]] = False
                     at += part.num_rows
                 yield batch.filter(pa.array(clean))
 
@@ -279,7 +316,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shards(items: DataFrame, params: Bm25Params) -> tuple[int, Iterator[tuple]]:
-    """The number of shards, and of each in turn index, item ids, word hashes, ends of questions and stride.
+    """The number of shards, and the length classes of each in turn.
 
     Word statistics are counted by Spark; a shard's items and the counts of its words, in proportion to shard_bytes, come
     to the driver.
@@ -288,7 +325,7 @@ def _shards(items: DataFrame, params: Bm25Params) -> tuple[int, Iterator[tuple]]
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // params.shard_bytes))
     terms = tests.select("item_id", "text").mapInArrow(_item_words, "term long, words long")
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"), F.max("words").alias("longest"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
     if shards > 1:
         counts = cut(counts, "item-words")
     whole = counts.where("term is null and words > 0").first()
@@ -308,8 +345,14 @@ def _shards(items: DataFrame, params: Bm25Params) -> tuple[int, Iterator[tuple]]
             found = df["term"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(found)
             n = df["df"].to_numpy(np.float64)[order]
-            index = BlockMaxIndex(words, found[order], np.log1p((whole["df"] - n + 0.5) / (n + 0.5)), whole["words"] / whole["df"], params)
-            cuts = [split_item(t.encode().split(), t.encode(), params.answer_share)[0] for _, t in part]
-            yield index, [i for i, _ in part], words, cuts, max(params.least_stride, whole["longest"])
+            idf = np.log1p((whole["df"] - n + 0.5) / (n + 0.5))
+            strides = [max(params.least_stride, 1 << (len(w) - 1).bit_length()) for w in words]
+            classes = []
+            for stride in sorted(set(strides)):
+                at = [i for i, s in enumerate(strides) if s == stride]
+                own_words = [words[i] for i in at]
+                cuts = [split_item(part[i][1].encode().split(), part[i][1].encode(), params.answer_share)[0] for i in at]
+                classes.append(ItemClass(BlockMaxIndex(own_words, found[order], idf, whole["words"] / whole["df"], params), [part[i][0] for i in at], own_words, cuts, stride))
+            yield classes
 
     return shards, each()

@@ -22,7 +22,7 @@ from .common import cut, text_bytes
 #: Base kinds in the order that breaks ties, then the added ones.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "url")
 BASE = 3
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -30,9 +30,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 # Header lines, then the body up to its END line, or the base64 lines of a key that is cut off.
-_PEM = re.compile(r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*+
-    (?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*\n[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|\Z))+(?:\n(?:[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/=]+\Z))?))?""".replace("\n    ", ""))
-_URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:[^\s/@]{4,}@[A-Za-z0-9.-]+")
+_PEM = re.compile(r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*+
+    (?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*\n[A-Za-z0-9+/=]{16,}[ \t\r]*(?=\n|\Z))+(?:\n(?:[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/=]+\Z))?))?""".replace("\n    ", ""))
+# What follows a scheme; the scheme is then read backwards, so that a long run of its characters is read once.
+_URL = re.compile(r"://[^\s/:@]*:[^\s/@]{4,}@[A-Za-z0-9.-]+")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 FINDINGS = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -53,10 +55,25 @@ def find_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
     if b"-----BEGIN " in raw:
         out += [(m.start(), m.end(), 4) for m in _PEM.finditer(text)]
     if b"://" in raw and b"@" in raw:
-        out += [(m.start(), m.end(), 5) for m in _URL.finditer(text)]
+        out += [(a, b, 5) for a, b in _urls(text)]
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def _urls(text: str) -> list[tuple[int, int]]:
+    """URLs with a password; a scheme of any length begins with a letter and has two characters or more."""
+    out, done = [], 0
+    for m in _URL.finditer(text):
+        a = m.start()
+        while a > done and text[a - 1] in _SCHEME:
+            a -= 1
+        while a < m.start() and not "a" <= text[a] <= "z":
+            a += 1
+        if m.start() - a >= 2:
+            out.append((a, m.end()))
+            done = m.end()
+    return out
+
+
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 

@@ -44,6 +44,8 @@ PIECE = 1 << 20
 class ToxicityParams:
     """max_rows bounds the labelled rows that the lexicon is learned from; everything else covers all rows.
 
+    Words of fewer than least_chars characters are not learned, of any greater length they are. A form that weighs less than
+    least_weight is no hit, alone or with others.
     near_entry forms and near_form contexts are what the smoothing of near misses counts as; near_most is its highest weight, so
     one alone makes no text toxic. The three were set on a third of the training rows.
     """
@@ -63,6 +65,8 @@ class ToxicityParams:
     near_entry: float = 2.0
     near_form: float = 2.0
     near_most: float = 0.5
+    least_chars: int = 3
+    least_weight: float = 0.02
 
 
 @dataclass
@@ -214,7 +218,7 @@ class Scorer:
                     weight = m[0] if m else 0.0
                     if m and m[2] == 0:
                         self.exact.add(w)
-                    if weight < 0.02:
+                    if weight < self.params.least_weight:
                         self.clean.add(w)
                         continue
                     self.found[w] = weight
@@ -244,13 +248,13 @@ class Scorer:
         return not REPORTING.isdisjoint(TOKEN.findall(before)[-4:])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, word before, label) of a batch."""
+def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (word, word before, label) of a batch, for words of `least` characters or more."""
     for batch in batches:
         seen = set()
         for text, toxic in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words = [w for piece in pieces(text.decode()) for w in TOKEN.findall(piece.lower())]
-            seen.update((w, v, toxic) for v, w in zip(["", *words], words, strict=False) if 3 <= len(w) <= 40)
+            seen.update((w, v, toxic) for v, w in zip(["", *words], words, strict=False) if len(w) >= least)
         rows = list(seen)
         for at in range(0, len(rows), 100_000):
             part = rows[at : at + 100_000]
@@ -270,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     part = min(1.0, params.max_rows / max(1, n))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else usable
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
-    words = train.select("text", "toxic").mapInArrow(_contexts, "word string, prev string, toxic int").distinct()
+    words = train.select("text", "toxic").mapInArrow(lambda b: _contexts(b, params.least_chars), "word string, prev string, toxic int").distinct()
     words = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).persist()
     try:
         total = words.agg(F.sum("bad"), F.sum("good")).first()
