@@ -60,9 +60,9 @@ class Model:
 
 
 def cuts_of(df: DataFrame, columns: list[str], bins: int = 256, error: float = 0.001) -> list[np.ndarray]:
-    """Upper borders of all bins but the last of each column: its quantiles, without repeats."""
-    found = df.approxQuantile(columns, [i / bins for i in range(1, bins)], error)
-    return [np.unique(np.array(q, dtype=np.float64)) for q in found]
+    """Upper borders of all bins but the last of each column: its quantiles below the greatest value, without repeats."""
+    found = [np.array(q, dtype=np.float64) for q in df.approxQuantile(columns, [*(i / bins for i in range(1, bins)), 1.0], error)]
+    return [np.unique(q[:-1][q[:-1] < q[-1]]) if len(q) else q for q in found]
 
 
 def binned(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -198,8 +198,12 @@ class Sampled:
         at = np.flatnonzero(use)
         columns = _columns(spec, t, len(offsets) - 1)
         span = _spans(offsets, columns)
-        self.bins, self.grad, self.spec, self.width = b.bins[at], (margin - b.y)[at], spec, int(span[-1])
-        self.place = self.bins[:, columns] + span[:-1]
+        self.bins, self.grad, self.spec, self.span = b.bins[at], (margin - b.y)[at], spec, span
+        # Columns of two bins need no histogram: what is in the second one is a product of matrices.
+        self.two = np.flatnonzero(np.diff(span) == 2)
+        wide = np.flatnonzero(np.diff(span) != 2)
+        self.place = self.bins[:, columns[wide]] + span[wide]
+        self.flags = self.bins[:, columns[self.two]].astype(np.float64)
         self.node = np.zeros(len(at), dtype=np.int64)
 
     def down(self, tree: dict[str, np.ndarray]) -> None:
@@ -213,9 +217,14 @@ class Sampled:
         node, nodes = self.node - ((1 << depth) - 1), 1 << depth
         at = slice(None) if not depth else np.flatnonzero(node >= 0)
         node, grad = node[at], self.grad[at]
-        if depth < self.spec.depth:
-            return histogram(self.place[at], node, grad, nodes, self.width)
-        return np.stack((np.bincount(node, grad, nodes), np.bincount(node, minlength=nodes)))[:, :, None]
+        total = np.stack((np.bincount(node, grad, nodes), np.bincount(node, minlength=nodes)))[:, :, None]
+        if depth == self.spec.depth:
+            return total
+        sums = histogram(self.place[at], node, grad, nodes, int(self.span[-1]))
+        member = (node == np.arange(nodes)[:, None]).astype(np.float64)
+        second = np.stack((member * grad @ self.flags[at], member @ self.flags[at]))
+        sums[:, :, self.span[self.two]], sums[:, :, self.span[self.two] + 1] = total - second, second
+        return sums
 
 
 def level_sums(b: Block, margin: np.ndarray, spec: Boosting, fold: int, t: int, tree: dict[str, np.ndarray], depth: int, offsets: np.ndarray) -> np.ndarray:
@@ -307,16 +316,16 @@ class BinnedTable:
     def close(self) -> None:
         self.blocks.unpersist()
 
-    def fit(self, tasks: list[tuple[Boosting, int, tuple[int, ...]]], local_bytes: int = LOCAL_BYTES) -> tuple[list[Model], dict[tuple[int, int], tuple[float, float]]]:
+    def fit(self, tasks: list[tuple[Boosting, int, tuple[int, ...]]], local_bytes: int = LOCAL_BYTES, keep: bool = True) -> tuple[list[Model], dict[tuple[int, int], tuple[float, float]]]:
         """Grows a model for each (specification, fold, rounds to score), and gives (mape, mae) of the fold's validation rows
-        by (task, rounds)."""
+        by (task, rounds). Without `keep`, models that single tasks grow have no trees: only their errors come back."""
         todo = [Task(s, fold, self.means[fold], tuple(stages)) for s, fold, stages in tasks]
         if not self.rows:
             return [Model(t.spec, t.base, []) for t in todo], {}
         small = self.rows * (len(self.columns) + 16) <= local_bytes
-        return self._by_model(todo) if small else self._by_rows(todo)
+        return self._by_model(todo, keep) if small else self._by_rows(todo)
 
-    def _by_model(self, todo: list[Task]) -> tuple[list[Model], dict[tuple[int, int], tuple[float, float]]]:
+    def _by_model(self, todo: list[Task], keep: bool) -> tuple[list[Model], dict[tuple[int, int], tuple[float, float]]]:
         """Blocks go to every group of models, which one task grows."""
         spark, offsets = self.blocks.sparkSession, self.offsets
         groups = min(len(todo), 4 * max(1, spark.sparkContext.defaultParallelism))
@@ -335,14 +344,14 @@ class BinnedTable:
                         margin += added(trees[-1], b.bins, task.spec.depth)
                     if t + 1 in task.stages:
                         scores.append((t + 1, *map(sum, zip(*(errors(b.y[v], margin[v]) for b, margin in zip(blocks, margins, strict=True) for v in [b.role[:, task.fold] == 2]), strict=True))))
-                out.append({"model": m, "trees": _pack_tree(trees), "rounds": [s[0] for s in scores], "mape": [s[1] for s in scores], "mae": [s[2] for s in scores], "n": [s[3] for s in scores]})
+                out.append({"model": m, "trees": _pack_tree(trees if keep else []), "rounds": [s[0] for s in scores], "mape": [s[1] for s in scores], "mae": [s[2] for s in scores], "n": [s[3] for s in scores]})
             return pa.Table.from_pylist(out, schema)
 
         schema = pa.schema([("model", pa.int32()), ("trees", pa.binary()), ("rounds", pa.list_(pa.int32())), ("mape", pa.list_(pa.float64())), ("mae", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
         dealt = self.blocks.select(F.spark_partition_id().alias("part"), "*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
         found = dealt.repartition(groups, "group").groupBy("group").applyInArrow(grow, "model int, trees binary, rounds array<int>, mape array<double>, mae array<double>, n array<long>")
         models, scores = [None] * len(todo), {}
-        for r in found.toLocalIterator():  # a row a model
+        for r in found.collect():  # a row a model
             models[r["model"]] = Model(todo[r["model"]].spec, todo[r["model"]].base, _unpack_trees(r["trees"], todo[r["model"]].spec.depth))
             scores |= {(r["model"], k): (a / n, b / n) for k, a, b, n in zip(r["rounds"], r["mape"], r["mae"], r["n"], strict=True) if n}
         return models, scores
@@ -509,7 +518,7 @@ def grid_search(table: BinnedTable, candidates: list[Boosting]) -> list[tuple[Bo
     for c in candidates:
         longest.setdefault(replace(c, rounds=0), []).append(c.rounds)
     tasks = [(replace(c, rounds=max(r)), fold, tuple(sorted(set(r)))) for c, r in longest.items() for fold in range(table.folds)]
-    _, scores = table.fit(tasks)
+    _, scores = table.fit(tasks, keep=False)
     at = {(replace(s, rounds=0), fold): i for i, (s, fold, _) in enumerate(tasks)}
     out = []
     for c in candidates:
