@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import UNBOUNDED, adjusted_kurtosis, adjusted_skewness, by_ticker, roll
+from ..functions.scans import CHUNK_DAYS, Average, averages
 
 NUMERIC = ("park_d", "ema9", "macd21", "slope20", "rv5", "rv10", "rv20", "ewma94", "d_rv10", "vov", "skew20", "kurt20", "dd60")
 #: Fewest bars of a ticker before a feature counts.
@@ -104,14 +105,13 @@ def ema(x: pd.Series, span: int | None = None, alpha: float | None = None, least
     return x.ewm(span=span, alpha=alpha, adjust=False, min_periods=least).mean()
 
 
-def recursive(returns: DataFrame) -> DataFrame:
+def recursive(returns: DataFrame, chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """ema9, macd (12/26), macd_signal (9), macd21 (EMA of macd) and ewma94 (root EMA of squared returns)."""
-
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        macd = ema(p["close"], 12, least=12) - ema(p["close"], 26, least=26)
-        return pd.DataFrame({"ema9": ema(p["close"], 9, least=9), "macd": macd, "macd_signal": ema(macd, 9, least=9), "macd21": ema(macd, 21, least=21), "ewma94": ema(p["ret"] ** 2, alpha=1 - 0.94, least=10) ** 0.5})
-
-    return by_groups(returns, fn, "ema9 double, macd double, macd_signal double, macd21 double, ewma94 double")
+    close = lambda n: Average.span("close", n, n)
+    d = averages(returns.withColumn("__square", F.col("ret") * F.col("ret")), {"ema9": close(9), "__e12": close(12), "__e26": close(26), "__e94": Average("__square", 1 - 0.94, 10)}, chunk_days=chunk_days)
+    d = d.withColumn("macd", F.col("__e12") - F.col("__e26"))
+    d = averages(d, {"macd_signal": Average.span("macd", 9, 9), "macd21": Average.span("macd", 21, 21)}, chunk_days=chunk_days)
+    return d.select(*returns.columns, "ema9", "macd", "macd_signal", "macd21", F.sqrt("__e94").alias("ewma94"))
 
 
 def past_median(df: DataFrame, columns: list[str], n: int = 20, least: int = 3, least_all: int = 5) -> DataFrame:
