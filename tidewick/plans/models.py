@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dataset, tuning
+from ..operators import dataset, eda, features, information, tuning
+from ..sources import bars as src
 from ..sources.forecasts import pick_model
-from ..sources.paths import saved, shared_folder
-from .catalog import QUERIES, _dataset, query
+from ..sources.paths import read_json, saved, shared_folder
+from . import oracle as q
+from .catalog import QUERIES, _dataset, query, rounded
 
 
 def _prepared(spark, sf_dir):
@@ -56,4 +58,26 @@ def trained_importance(spark, sf_dir):
     return tuning.importance_table(spark, at)
 
 
-__all__ = ["QUERIES"]
+_NUM = list(features.NUMERIC)
+_PSI = "(ln({m} + 6) - 1 / (2 * ({m} + 6)) - 1 / (12 * ({m} + 6) ** 2) + 1 / (120 * ({m} + 6) ** 4) - 1 / (252 * ({m} + 6) ** 6)" + "".join(f" - 1 / ({{m}} + {j})" for j in range(6)) + ")"
+
+
+@query(f"""{q.DATASET}, mi_t AS (SELECT row_number() OVER () AS i, * FROM s WHERE split = 'train'),
+mi_s AS (SELECT i, label / (SELECT stddev_pop(label) FROM mi_t) AS y, {", ".join(f"{c} / (SELECT stddev_pop({c}) FROM mi_t) AS {c}" for c in _NUM)} FROM mi_t),
+mi_p AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, i, {c} AS x, y FROM mi_s" for c in _NUM)}),
+mi_d AS (SELECT a.feature, a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM mi_p a JOIN mi_p b ON a.feature = b.feature AND a.i <> b.i),
+mi_r AS (SELECT feature, i, min(greatest(dx, dy), 3)[3] AS r FROM mi_d GROUP BY feature, i),
+mi_n AS (SELECT feature, i, count(*) FILTER (dx < r OR dx = 0 AND r = 0) + 1.0 AS nx, count(*) FILTER (dy < r OR dy = 0 AND r = 0) + 1.0 AS ny FROM mi_d JOIN mi_r USING (feature, i) GROUP BY feature, i)
+SELECT feature, round(greatest(0, (SELECT {_PSI.format(m="count(*)")} FROM mi_t) + {_PSI.format(m="3.0")} - avg({_PSI.format(m="nx")} + {_PSI.format(m="ny")})), 4) AS mi FROM mi_n GROUP BY feature""")
+def mutual_info(spark, sf_dir):
+    """Nearest-neighbour mutual information of each numeric feature with the label, on the training rows."""
+    d = saved(_dataset(spark, sf_dir), "dataset").where("split = 'train'")
+    return rounded(information.mutual_information(d, _NUM), 4, "mi")
+
+
+@query()
+def eda_summary(spark, sf_dir):
+    """The numbers of a saved exploration: rows, top rank correlations, redundant pairs, mutual information."""
+    at, b = shared_folder(spark, "eda"), src.daily(spark, sf_dir)
+    eda.explore(saved(_dataset(spark, sf_dir), "dataset"), at, columns=_NUM, raw=features.build(b))
+    return spark.createDataFrame(eda.as_rows(read_json(spark, f"{at}/eda_k10_summary.json")), "what string, name string, value double")
