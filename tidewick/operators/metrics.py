@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import average_ranks, by_column, quantiles
 from ..functions.rolling import roll
+from ..sources.paths import saved
 
 FLOOR = 1e-12
 
@@ -55,17 +56,20 @@ def deciles(d: DataFrame, n: int = 10) -> DataFrame:
     return r.withColumn("decile", i).groupBy("decile").agg(F.count(F.lit(1)).alias("count"), F.avg("y").alias("mean_y"), F.avg("p").alias("mean_pred"), F.avg("ae").alias("mae"), F.avg("ape").alias("mape"))
 
 
-def ordinal(d: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
-    """d with rank (1, 2, ... in the order) and total, by counting coarse value ranges of the first, numeric, column first."""
-    cuts = d.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    b = F.lit(0)
-    for c in sorted(set(cuts)):
-        b = b + (F.col(order[0]) > F.lit(c)).cast("int")
-    d = d.withColumn("__b", b)
-    size = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
-    before = size.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("__n").over(Window.partitionBy()))
-    d = d.join(F.broadcast(before.drop("__n")), "__b")
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) + F.col("__before")).drop("__b", "__before")
+def ordinal(d: DataFrame, *order: str) -> DataFrame:
+    """d with rank (1, 2, ... in the order) and total.
+
+    Rows are sorted by ranges of the whole order, so equal values of its first column don't meet in one task; the sorted table
+    is written, its parts are counted, and only a number a part comes together.
+    """
+    part, at = F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")
+    # Nulls are first, as in a window.
+    rows = saved(d.repartitionByRange(*(F.asc(c) for c in order)).sortWithinPartitions(*order).select("*", part, at), "sorted")
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))  # a row a part
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("__part").alias("__p"), "first", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    d = rows.join(F.broadcast(sizes), F.col("__part") == F.col("__p"))
+    return d.select(*(F.col(f"`{c}`") for c in rows.columns[:-2]), "total", (F.col("__id") - F.col("first") + F.col("before") + 1).alias("rank"))
 
 
 def top_decile_lift(table: DataFrame) -> DataFrame:
