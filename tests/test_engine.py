@@ -281,7 +281,7 @@ def test_weekly_backtest_by_hand(spark):
     assert [(r["price"], r["pnl"]) for r in rows] == [(10.0, 50_000 / 5.0), (11.0, pytest.approx(50_000 / 5.5))]
 
 
-NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly", "portfolio_summary", "stationary_distribution", "time_folds", "cached_close", "saved_split", "saved_transitions", "forecasts_daily_long", "forecasts_long", "forecasts_by_position", "forecasts_by_ticker_file", "weekly_backtest_fallback", "manifest_factors", "legacy_details")]
+NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly", "portfolio_summary", "stationary_distribution", "time_folds", "cached_close", "saved_split", "saved_transitions", "forecasts_daily_long", "forecasts_long", "forecasts_by_position", "forecasts_by_ticker_file", "weekly_backtest_fallback", "mutual_info", "legacy_details")]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.paths import write_json
-from ..sources.sinks import save_reports
 from . import dataset, metrics
 
 FLOOR = 1e-12
@@ -23,7 +22,6 @@ ELASTIC = {"alpha": 8.111e-4, "l1_ratio": 0.2}
 # The grids that are searched.
 ELASTIC_GRID = {"alpha": [10 ** (-4 + 5 * i / 11) for i in range(12)], "l1_ratio": [0.05, 0.2, 0.5, 0.8, 0.95]}
 BOOSTED_GRID = {"maxIter": [300, 600, 900], "stepSize": [0.03, 0.06, 0.1], "maxDepth": [2, 3], "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [5, 20]}
-SAMPLED_GRID = {"maxIter": [400, 700], "stepSize": [0.05, 0.1], "maxDepth": [3, 4], "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["0.7", "all"], "minInstancesPerNode": [1, 5]}
 BOOSTED = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 2, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "seed": 17}
 
 
@@ -40,7 +38,7 @@ def elastic_net(train: DataFrame, alpha: float, l1_ratio: float) -> LinearRegres
 
 
 def grid(values: dict[str, list]) -> list[dict]:
-    """All combinations of a grid's values, the last name varying fastest. The sampled grid lacks L1 and L2 weights, which the estimator hasn't."""
+    """All combinations of a grid's values, the last name varying fastest."""
     return [dict(zip(values, x, strict=True)) for x in itertools.product(*values.values())]
 
 
@@ -140,12 +138,6 @@ def report(preds: DataFrame, model: str = "pred_gbm") -> dict[str, DataFrame]:
     }
 
 
-def train_and_report(split: DataFrame, folder: str, k: int = 10, tuned: dict[str, list[dict]] | None = None) -> dict[str, str]:
-    """train(), then report() of the test forecasts as CSV under folder/reports; returns the reports' paths."""
-    train(split, folder, k, tuned)
-    return save_reports(f"{folder}/reports", **report(split.sparkSession.read.parquet(f"{folder}/preds_test_k{k}.parquet")))
-
-
 def importance(split: DataFrame) -> DataFrame:
     """(feature, gbt, elasticnet): impurity gain and absolute coefficient."""
     d = dataset.scale(split, dataset.feature_columns()).where("split <> 'test'").hint("rebalance").cache()

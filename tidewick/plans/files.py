@@ -278,31 +278,6 @@ def forecasts_single(spark, sf_dir):
     return rounded(fsrc.provider_forecasts(spark, at, TICKERS, b, single="N"), 8, "pred")
 
 
-_MANIFESTS = {"flat": {"alpha": 1.2}, "other_key": {"calibrator_alpha": 0.8}, "nested": {"calibration": {"alpha": 0.7}}, "flat_first": {"report": {"alpha": 3}, "alpha_calibrator": 2}, "none": {"k_label": 10}, "no_number": {"alpha": "1.5", "meta": {"alpha": 4}}}
-
-
-@query("""SELECT * FROM (VALUES ('flat', 1.2::DOUBLE), ('other_key', 0.8), ('nested', 0.7), ('flat_first', 2.0), ('none',
-    1.0), ('no_number', 4.0), ('missing', 1.0), ('model_gbm', 1.25), ('model_en', 1.0)) t(manifest, alpha)""")
-def manifest_factors(spark, sf_dir):
-    at = shared_folder(spark, "manifests")
-    for name, facts in _MANIFESTS.items():
-        write_json(spark, f"{at}/{name}.json", facts)
-    write_json(spark, f"{at}/models.json", {"alpha_gbm": 1.25, "alpha_en": None})
-    rows = [(n, fsrc.manifest_alpha(spark, f"{at}/{n}.json")) for n in [*_MANIFESTS, "missing"]] + [(f"model_{m}", fsrc.model_alpha(spark, f"{at}/models.json", m)) for m in ("gbm", "en")]
-    return spark.createDataFrame(rows, "manifest string, alpha double")
-
-
-_METRICS = {"lower_rmse": {"gbm": {"rmse_test": 2}, "en": {"rmse_test": 1}}, "equal": {"gbm": {"RMSE_TEST": 1}, "en": {"rmse_test": 1}}, "by_mae": {"gbm": {"rmse_test": 1, "mae_test": 2}, "en": {"MAE_TEST": 1}}, "one_model": {"en": {"rmse_test": 1}}}
-
-
-@query("SELECT * FROM (VALUES ('lower_rmse', 'en'), ('equal', 'gbm'), ('by_mae', 'en'), ('one_model', 'gbm'), ('missing', 'gbm')) t(metrics, model)")
-def picked_models(spark, sf_dir):
-    at = shared_folder(spark, "metrics")
-    for name, facts in _METRICS.items():
-        write_json(spark, f"{at}/{name}.json", facts)
-    return spark.createDataFrame([(n, fsrc.pick_model(spark, f"{at}/{n}.json")) for n in [*_METRICS, "missing"]], "metrics string, model string")
-
-
 # --- forecasters and backtests by provider ---
 
 @query(f"{q.BASE}, {q.V3} SELECT ticker, date, round(last_value(pred_vol IGNORE NULLS) OVER {q.frame(None, 0)}, 8) AS pred_vol FROM v3")

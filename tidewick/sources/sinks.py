@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .paths import write_json
+from .paths import saved, write_json
 from .readers import STATES
 
 
@@ -50,6 +50,7 @@ def save_bars(bars: DataFrame, folder: str, tickers: list[str] | None = None, cs
     from ..operators.features import log_returns, simple_returns
     from .bars import to_wide
 
+    bars = saved(bars, "bars")  # read again for every table and format
     tables = {
         "ohlc_long": bars,
         "close": bars.select("date", "ticker", "close"),
@@ -69,13 +70,16 @@ def save_labels(labels: DataFrame, folder: str) -> str:
 
 
 def save_features(features: DataFrame, folder: str) -> dict[str, str]:
-    return {"parquet": write_table(features, f"{folder}/features_raw_long.parquet"), "csv": write_csv(features, f"{folder}/features_raw_long.csv")}
+    """Features as Parquet, and from that as CSV."""
+    path = write_table(features, f"{folder}/features_raw_long.parquet")
+    return {"parquet": path, "csv": write_csv(features.sparkSession.read.schema(features.schema).parquet(path), f"{folder}/features_raw_long.csv")}
 
 
 def save_splits(split: DataFrame, folder: str, spec: FeatureSpec = FeatureSpec()) -> dict[str, str]:
     """A data set in a folder for each split, with the splits' sizes and dates, and the features' specification."""
     from dataclasses import asdict
 
+    split = saved(split, "splits")
     rows = split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"), F.min("date").alias("start"), F.max("date").alias("end")).collect()  # a row a split
     facts = {r["split"]: {"rows": r["rows"], "tickers": r["tickers"], "start": str(r["start"]), "end": str(r["end"])} for r in rows}
     facts["features"] = [c for c in split.columns if c not in ("date", "ticker", "split", "label")]
