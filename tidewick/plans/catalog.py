@@ -13,6 +13,7 @@ from ..sources import bars as src
 from ..sources import forecasts as fsrc
 from ..sources.paths import saved, shared_folder
 from ..streaming.bars import stream_hourly
+from ..streaming.states import live_states
 from . import oracle as q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,3 +652,35 @@ def rank_corr_matrix(spark, sf_dir):
 def stream_bars_hourly(spark, sf_dir):
     """The hourly bars that a stream over the events has closed when its input is read."""
     return rounded(stream_hourly(spark, sf_dir).drop("adj_close"), 6, "open", "high", "low", "close")
+
+
+@query(f"""WITH bh AS ({ORACLES['bars_hourly']}), hb AS (SELECT ticker, ts AS date, close FROM bh),
+sa AS (SELECT ticker, date, close, {q.ema('close', '0.2')} AS f, {q.ema('close', '(2.0/22)')} AS s FROM hb),
+sr AS (SELECT *, CASE WHEN f > s THEN 'risk_on' WHEN f < s THEN 'risk_off' ELSE 'neutral' END AS raw FROM sa),
+sn AS (SELECT *, sum(nw) OVER (PARTITION BY ticker ORDER BY date) AS run FROM (
+  SELECT *, CAST(raw IS DISTINCT FROM lag(raw) OVER (PARTITION BY ticker ORDER BY date) AS INTEGER) AS nw FROM sr)),
+sg AS (SELECT *, row_number() OVER (PARTITION BY ticker, run ORDER BY date) AS raw_age FROM sn),
+ss AS (SELECT *, coalesce(last_value(CASE WHEN raw_age >= 3 THEN raw END IGNORE NULLS) OVER w, first_value(raw) OVER w) AS state
+  FROM sg WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)),
+st AS (SELECT *, sum(sw) OVER (PARTITION BY ticker ORDER BY date) AS srun FROM (
+  SELECT *, CAST(state IS DISTINCT FROM lag(state) OVER (PARTITION BY ticker ORDER BY date) AS INTEGER) AS sw FROM ss))
+SELECT ticker, date AS ts, close, round(f, 6) AS ema_fast, round(s, 6) AS ema_slow, raw, state,
+  row_number() OVER (PARTITION BY ticker, srun ORDER BY date) AS age FROM st
+QUALIFY date <= (SELECT max(date) - INTERVAL 6 HOUR FROM hb)""")
+def stream_states(spark, sf_dir):
+    """Averages, trend states and ages of the hourly bars, replayed as a stream of several files in the order of time."""
+    at = shared_folder(spark, "stream-states")
+    b = src.hourly(spark, sf_dir).select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.round("close", 6).alias("close"))
+    b = saved(b.withColumn("at", F.unix_timestamp("ts").cast("double")), "hours")
+    borders = [float("-inf"), *b.approxQuantile("at", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for low, high in zip(borders, borders[1:], strict=False):  # one after the other: a stream takes files by age
+        b.where((F.col("at") > low) & (F.col("at") <= high)).drop("at").write.mode("append").parquet(f"{at}/bars")
+    bars = spark.readStream.schema("ticker string, ts timestamp, close double").option("maxFilesPerTrigger", 4).parquet(f"{at}/bars")
+    out = live_states(bars, "6 hours").writeStream.outputMode("append").format("parquet").option("path", f"{at}/states").option("checkpointLocation", f"{at}/progress")
+    run = out.trigger(availableNow=True).start()
+    try:
+        run.awaitTermination()
+    finally:
+        run.stop()
+    found = spark.read.parquet(f"{at}/states").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(found, 6, "ema_fast", "ema_slow")
