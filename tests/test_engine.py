@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewick.functions.rolling import symbol_key, week_of
 from tidewick.operators import backtest, dataset, features, forecasters, metrics, regimes, sizing
-from tidewick.plans import files
+from tidewick.plans import models
 from tidewick.sources import bars as src
 from tidewick.sources import forecasts as fsrc
 
@@ -281,7 +281,7 @@ def test_weekly_backtest_by_hand(spark):
     assert [(r["price"], r["pnl"]) for r in rows] == [(10.0, 50_000 / 5.0), (11.0, pytest.approx(50_000 / 5.5))]
 
 
-NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly", "portfolio_summary", "stationary_distribution", "time_folds", "cached_close", "saved_split", "saved_transitions", "forecasts_daily_long", "forecasts_long", "forecasts_by_position", "forecasts_by_ticker_file", "weekly_backtest_fallback", "mutual_info", "legacy_details")]
+NAMES = [n for n in ("bars_daily", "calendar_asof", "labels", "features_long", "dataset_split", "vol_v1", "vol_v2", "vol_v3_lookahead", "legacy_vectors", "weekly_series", "ab_compare", "backtest_metrics", "deciles", "spearman_features", "regime_features", "nowcast", "stream_bars_hourly", "portfolio_summary", "stationary_distribution", "time_folds", "cached_close", "saved_split", "saved_transitions", "forecasts_daily_long", "forecasts_long", "forecasts_by_position", "forecasts_by_ticker_file", "weekly_backtest_fallback", "mutual_info", "stream_states", "legacy_details")]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -290,8 +290,8 @@ def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    want = con.execute(files.ORACLES[name]).df()
-    got = files.QUERIES[name](spark, SF).toPandas()
+    want = con.execute(models.ORACLES[name]).df()
+    got = models.QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     cols = sorted(want.columns)
 

@@ -10,7 +10,7 @@ from ..sources import bars as src
 from ..sources.forecasts import pick_model
 from ..sources.paths import read_json, saved, shared_folder
 from . import oracle as q
-from .catalog import QUERIES, _dataset, query, rounded
+from .catalog import ORACLES, QUERIES, _dataset, query, rounded
 
 
 def _prepared(spark, sf_dir):
@@ -81,3 +81,6 @@ def eda_summary(spark, sf_dir):
     at, b = shared_folder(spark, "eda"), src.daily(spark, sf_dir)
     eda.explore(saved(_dataset(spark, sf_dir), "dataset"), at, columns=_NUM, raw=features.build(b))
     return spark.createDataFrame(eda.as_rows(read_json(spark, f"{at}/eda_k10_summary.json")), "what string, name string, value double")
+
+
+__all__ = ["ORACLES", "QUERIES"]
