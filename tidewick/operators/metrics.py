@@ -129,9 +129,10 @@ def rolling_mape(d: DataFrame, n: int = 60) -> DataFrame:
 
 def histogram(d: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin, lo, n): equal-width counts between the least and the largest value."""
-    s = d.where(F.col(column).isNotNull()).agg(F.min(column).alias("a"), F.max(column).alias("b"))  # one row
-    x = d.where(F.col(column).isNotNull()).crossJoin(F.broadcast(s))
-    k = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("a")) / ((F.col("b") - F.col("a")) / bins))).cast("int")
+    d = d.where(F.col(column).isNotNull()).select(F.col(column).alias("__x"))
+    s = d.agg(F.min("__x").alias("a"), F.max("__x").alias("b"))  # one row
+    x = d.crossJoin(F.broadcast(s))
+    k = F.least(F.lit(bins - 1), F.floor((F.col("__x") - F.col("a")) / ((F.col("b") - F.col("a")) / bins))).cast("int")
     return x.withColumn("bin", F.when(F.col("b") > F.col("a"), k).otherwise(0)).groupBy("bin").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("n")).select("bin", (F.col("a") + F.col("bin") * (F.col("b") - F.col("a")) / bins).alias("lo"), "n")
 
 
