@@ -45,3 +45,11 @@ def test_published_trees_are_those_of_the_final_fits(spark, split_set):
     model, _ = ml.fit_boosted(split_set.where("split <> 'test'"))
     assert model.spec == tuning.GBM and len(model.trees) == 300
     assert model.base == pytest.approx(split_set.where("split <> 'test'").agg(F.avg("label")).first()[0])
+
+
+def test_importance_takes_no_jobs_per_tree(spark, split_set):
+    found, many = jobs(spark, "importance", lambda: ml.importance(split_set).collect())
+    by = {r["feature"]: r for r in found}
+    assert many < ml.BOOSTED["maxIter"] / 2 and [r["feature"] for r in found] == dataset.feature_columns()
+    assert sum(r["gbt"] for r in found) == pytest.approx(1.0) and max(found, key=lambda r: r["gbt"])["feature"] == dataset.feature_columns()[0]
+    assert by[dataset.feature_columns()[3]]["gbt"] > 0.05

@@ -157,11 +157,11 @@ def report(preds: DataFrame, model: str = "pred_gbm") -> dict[str, DataFrame]:
 
 
 def importance(split: DataFrame) -> DataFrame:
-    """(feature, gbt, elasticnet): impurity gain and absolute coefficient."""
-    d = dataset.scale(split, dataset.feature_columns()).where("split <> 'test'").hint("rebalance").cache()
-    g, e = fit(d, "gbt").stages[-1].featureImportances.toArray(), fit(d, "elasticnet").stages[-1].coefficients.toArray()
-    d.unpersist()
-    rows = [(c, float(a), float(abs(b))) for c, a, b in zip(dataset.feature_columns(), g, e, strict=True)]
+    """(feature, gbt, elasticnet): share of the trees' whole gain and absolute coefficient."""
+    columns = dataset.feature_columns()
+    d = saved(dataset.scale(split, columns).where("split <> 'test'"), "scaled")
+    g, e = boosting.importances(fit_boosted(d)[0], columns), fit(d, "elasticnet").stages[-1].coefficients.toArray()
+    rows = [(c, share, float(abs(b))) for (c, *_, share), b in zip(g, e, strict=True)]
     return split.sparkSession.createDataFrame(rows, "feature string, gbt double, elasticnet double")
 
 
