@@ -139,3 +139,38 @@ def test_odd_tables(spark):
         found = [r["prediction"] for r in boosting.predict(model, t.cuts, df, COLUMNS, ["k"]).collect()]
         assert len(found) == len(rows) and np.allclose(found, rows[0][1] or 0.0 if rows else 0.0)
         t.close()
+
+
+def test_models_side_by_side_sum_few_rows_and_equal_single_ones(spark, monkeypatch):
+    """Models of the same samples share them, only smaller children are summed and exclusive flags make one column: the trees are
+    those of fits one by one over rows, from less than half the values a level of all rows and columns has."""
+    x, y = table(500)
+    flags = (np.arange(500)[:, None] % 12 == np.arange(12)).astype(float)
+    values = np.hstack((x, flags))
+    names = [f"c{i}" for i in range(values.shape[1])]
+    df = spark.createDataFrame([(i, float(t), *map(float, v)) for i, (v, t) in enumerate(zip(values, y, strict=True))], "k long, y double, " + ", ".join(f"{c} double" for c in names))
+    t = boosting.BinnedTable(df, names, "y", [F.when(F.col("k") % 5 < 4, 1).otherwise(2)], ["k"], bins=32)
+    specs = [Boosting(rounds=3, depth=4, rows=0.7, columns=0.7, rate=r, l2=l2, l1=0.01) for r in (0.1, 0.4) for l2 in (1.0, 5.0)]
+    single, scores = t.fit([(s, 0, (3,)) for s in specs], 0)
+    blocks = [boosting._read_block(r.asDict()) for r in t.blocks.collect()]
+    batch = boosting.Batch(blocks, specs, 0, t.means[0], t.offsets)
+    assert len(batch.place) == 4 + 2 and len(batch.train) == 400  # the first flag of x and the twelve: two packs
+    seen, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **k: (seen.append(len(v)), plain(v, *a, **k))[1])
+    grown = [batch.grow(i) for i in range(3)]
+    assert sum(seen) < len(specs) * 3 * 4 * (400 * 0.7) * int(17 * 0.7) * 2 / 2
+    for k, model in enumerate(single):
+        for mine, tree in zip(grown, model.trees, strict=True):
+            assert (mine["feature"][k] == tree["feature"]).all() and (mine["bin"][k] == tree["bin"]).all()
+            assert all(np.allclose(mine[c][k], tree[c]) for c in ("value", "gain", "rows"))
+    assert all(np.allclose((e[0] / e[2], e[1] / e[2]), scores[k, 3]) for k, e in enumerate(batch.errors()))
+    t.close()
+
+
+def test_grids_are_dealt_in_batches_of_like_samples():
+    from tidewick.operators import tuning
+
+    todo = [boosting.Task(boosting.replace(c, rounds=700), fold, 0.5, (400, 700)) for c in tuning.candidates("xgb") if c.rounds == 400 for fold in range(3)]
+    dealt = boosting.alike(todo, 8)
+    assert len(todo) == 384 and len(dealt) == 48 and sorted(i for b in dealt for i in b) == list(range(384))
+    assert all(len({(todo[i].fold, todo[i].spec.rows, todo[i].spec.columns, todo[i].spec.depth) for i in b}) == 1 for b in dealt)

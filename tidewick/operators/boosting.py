@@ -4,7 +4,8 @@ sampled per tree, and many models at once.
 Features are cut into quantile bins once. A level of all models' trees is one aggregation: every block of rows sums its
 gradients and row counts by (model, node, feature bin), the sums meet by model, where the best split of each node is chosen,
 and only splits come to the driver. Rows of a split go to its children by their bins, so no row ever moves. A table whose
-bins are proven small is dealt by model instead: a task then grows whole models with the same functions.
+bins are proven small is dealt by model instead: a task then grows whole models, those with the same samples side by side,
+and chooses splits by the same function.
 
 The trees of n rounds are the first n of a longer fit, so one fit is scored at every wanted number of trees.
 """
@@ -27,6 +28,10 @@ from ..sources.paths import saved
 BLOCK_ROWS = 1 << 15
 #: Bytes of bins up to which a task grows whole models.
 LOCAL_BYTES = 64 << 20
+#: Models that a task grows side by side, and pairs of a model and a row whose sums are made at once.
+BATCH, PAIRS = 8, 1 << 11
+#: Bytes of bins that are dealt to more groups than four a core.
+SPREAD_BYTES = 1 << 30
 #: After so many rounds the margins of a distributed fit are written down.
 CUT_ROUNDS = 25
 
@@ -104,31 +109,49 @@ def best_splits(sums: np.ndarray, offsets: np.ndarray, spec: Boosting, columns:
     Gains within a billionth of the greatest are equal; the first feature, then the first bin, is taken. Sums of the last
     level have totals only, (2, nodes, 1).
     """
-    soft = (lambda g: np.sign(g) * np.maximum(np.abs(g) - spec.l1, 0.0)) if spec.l1 else (lambda g: g)
     span = _spans(offsets, columns)
     whole = sums.shape[2] == 1
     total_g, total_n = sums[:, :, : 1 if whole else span[1]].sum(2)
-    leaf = -soft(total_g) / np.maximum(total_n + spec.l2, 1e-300)
+    l1, l2, child, least = (np.full(len(total_g), x) for x in (spec.l1, spec.l2, max(spec.child, 1), spec.least_gain))
+    leaf = _leaves(total_g, total_n, l1, l2)
     out = [(-1, 0, 0.0, float(v), float(n), float(g)) for v, n, g in zip(leaf, total_n, total_g, strict=True)]
     if whole or not total_n.any():
         return out
-    run = sums.cumsum(2)
-    before = np.concatenate((np.zeros((2, sums.shape[1], 1)), run[:, :, span[1:-1] - 1]), 2)
-    g, n = run - np.repeat(before, np.diff(span), axis=2)
-    other_g, other_n = total_g[:, None] - g, total_n[:, None] - n
-    least = max(spec.child, 1)
-    fits = (n >= least) & (other_n >= least)
+    at, gain, _, _ = _best(sums[0], sums[1], total_g, total_n, span, l1, l2, child, least)
+    for i in np.flatnonzero(at >= 0):
+        f = int(np.searchsorted(span, at[i], side="right")) - 1
+        out[i] = (int(columns[f]), int(at[i] - span[f]), float(gain[i]), *out[i][3:])
+    return out
+
+
+def _soft(g: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0) if l1.any() else g
+
+
+def _leaves(g: np.ndarray, n: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    return -_soft(g, l1) / np.maximum(n + l2, 1e-300)
+
+
+def _best(g: np.ndarray, n: np.ndarray, total_g: np.ndarray, total_n: np.ndarray, span: np.ndarray, l1: np.ndarray, l2: np.ndarray, child: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the place of its best split among the bins side by side, or -1, its gain, and the gradient and rows that
+    go left. g, n: sums by node and bin; the rest by node."""
+    l1, l2, child, all_g, all_n = (x[:, None] for x in (l1, np.maximum(l2, 1e-300), child, total_g, total_n))
+    of = np.repeat(np.arange(len(span) - 1), np.diff(span))
+
+    def running(x):
+        run = x.cumsum(1)
+        return run - np.concatenate((np.zeros((len(x), 1)), run[:, span[1:-1] - 1]), 1).take(of, 1)
+
+    g, n = running(g), running(n)
+    other = all_n - n
+    fits = (n >= child) & (other >= child)
     fits[:, span[1:] - 1] = False  # all of a feature's rows go left
-    l2 = max(spec.l2, 1e-300)
-    gain = soft(g) ** 2 / (n + l2) + soft(other_g) ** 2 / (other_n + l2)
+    gain = _soft(g, l1) ** 2 / (n + l2) + _soft(all_g - g, l1) ** 2 / (other + l2)
+    gain -= _soft(all_g, l1) ** 2 / (all_n + l2)
     gain[~fits] = -np.inf
-    gain -= (soft(total_g) ** 2 / (total_n + l2))[:, None]
-    top = gain.max(1)
-    for i in np.flatnonzero(top > spec.least_gain):
-        k = int(np.argmax(gain[i] >= top[i] * (1 - 1e-9)))
-        f = int(np.searchsorted(span, k, side="right")) - 1
-        out[i] = (int(columns[f]), k - int(span[f]), float(gain[i, k]), *out[i][3:])
-    return out
+    top, node = gain.max(1), np.arange(len(g))
+    at = (gain >= (top - 1e-9 * np.abs(top))[:, None]).argmax(1)
+    return np.where(top > least, at, -1), gain[node, at], g[node, at], n[node, at]
 
 
 def _level(tree: dict[str, np.ndarray], splits: list[tuple], depth: int, spec: Boosting) -> None:
@@ -164,20 +187,6 @@ def added(tree: dict[str, np.ndarray], bins: np.ndarray, depth: int) -> np.ndarr
     return tree["value"][descend(tree, bins, depth)]
 
 
-def grow_tree(blocks: list[Block], margins: list[np.ndarray], spec: Boosting, fold: int, t: int, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """One tree on the training rows of a fold."""
-    tree, columns = _empty_tree(spec.depth), _columns(spec, t, len(offsets) - 1)
-    used = [Sampled(b, m, spec, fold, t, offsets) for b, m in zip(blocks, margins, strict=True)]
-    for depth in range(spec.depth + 1):
-        splits = best_splits(sum(u.sums(tree, depth) for u in used), offsets, spec, columns)
-        _level(tree, splits, depth, spec)
-        if all(s[0] < 0 for s in splits):
-            break
-        for u in used:
-            u.down(tree)
-    return tree
-
-
 @dataclass
 class Block:
     """Rows of the table: ids, labels, bins and, for each fold, the role (0 none, 1 train, 2 validation)."""
@@ -235,6 +244,141 @@ def level_sums(b: Block, margin: np.ndarray, spec: Boosting, fold: int, t: int,
     return rows.sums(tree, depth)
 
 
+class Batch:
+    """Models of a fold that see the same rows and columns in every round (alike()), grown side by side.
+
+    Of two children only the smaller one's rows are summed; the other has what is left of their parent's sums. Columns of two
+    bins are summed as one column where no row is in the second bin of more than one of them.
+    """
+
+    def __init__(self, blocks: list[Block], specs: list[Boosting], fold: int, base: float, offsets: np.ndarray) -> None:
+        used = [np.flatnonzero(b.role[:, fold]) for b in blocks]
+        self.ids, self.y, bins, role = (np.concatenate([getattr(b, c)[i] for b, i in zip(blocks, used, strict=True)]) for c in ("ids", "y", "bins", "role"))
+        self.specs, self.offsets, self.bins = specs, offsets, np.ascontiguousarray(bins.T)
+        self.train, self.scored = np.flatnonzero(role[:, fold] == 1), np.flatnonzero(role[:, fold] == 2)
+        self.margin = np.full((len(specs), len(self.y)), base)
+        self.rate, self.l1, self.l2, self.least = (np.array([getattr(s, c) for s in specs], dtype=np.float64) for c in ("rate", "l1", "l2", "least_gain"))
+        self.child = np.array([max(s.child, 1) for s in specs])
+        sums, self.at, self.held = [], {}, {}  # columns of sums; where a feature's bins are among them; in which column
+        self.width = 0
+        for f in np.flatnonzero(np.diff(offsets) != 2):
+            size = int(offsets[f + 1] - offsets[f])
+            self.at[f], self.held[f] = np.arange(self.width, self.width + size), len(sums)
+            sums.append(self.bins[f].astype(np.int32) + self.width)
+            self.width += size
+        for pack in self._packs(np.flatnonzero(np.diff(offsets) == 2)):
+            code = np.zeros(len(self.y), dtype=np.int32)
+            for k, f in enumerate(pack, 1):
+                code[self.bins[f] > 0] = k
+                self.at[f], self.held[f] = np.array([self.width, self.width + k]), len(sums)
+            sums.append(code + self.width)
+            self.width += len(pack) + 1
+        self.place = np.stack(sums)
+
+    def _packs(self, two: np.ndarray) -> list[list[int]]:
+        packs: list[tuple[np.ndarray, list[int]]] = []
+        for f in two:
+            flag = self.bins[f] > 0
+            for taken, pack in packs:
+                if not (taken & flag).any():
+                    taken |= flag
+                    pack.append(f)
+                    break
+            else:
+                packs.append((flag, [f]))
+        return [pack for _, pack in packs]
+
+    def grow(self, t: int) -> dict[str, np.ndarray]:
+        """Tree t of every model, (models, nodes); margins of all rows go on by it."""
+        spec, models, rows = self.specs[0], len(self.specs), self.train
+        if spec.rows < 1:
+            rows = rows[_mixed(self.ids[rows], spec, t) < spec.rows]
+        columns = _columns(spec, t, len(self.offsets) - 1)
+        span = _spans(self.offsets, columns)
+        take = np.concatenate([self.at[f] for f in columns])
+        first = span[:-1][np.diff(span) == 2]  # first bins of columns of two: what isn't in the second
+        place = self.place[np.ix_(np.unique([self.held[f] for f in columns]), rows)]
+        grad = self.margin[:, rows] - self.y[rows]
+        one = _empty_tree(spec.depth)
+        trees = {c: np.tile(x, (models, 1)) for c, x in one.items()}
+        node, size, m = np.zeros((models, len(self.y)), dtype=np.int64), len(one["value"]), np.arange(models)[:, None]
+        sums, flat, at_row = self._root(place, grad), self.bins.ravel(), np.arange(len(self.y))
+        total_g, total_n = grad.sum(1)[:, None], np.full((models, 1), float(len(rows)))
+        for depth in range(spec.depth + 1):
+            nodes, here = 1 << depth, slice((1 << depth) - 1, (2 << depth) - 1)
+            by_node = [np.repeat(x, nodes) for x in (self.l1, self.l2, self.child, self.least)]
+            leaf = _leaves(total_g.ravel(), total_n.ravel(), *by_node[:2]).reshape(models, nodes)
+            trees["rows"][:, here] = total_n
+            split = np.zeros((models, nodes), dtype=bool)
+            if depth < spec.depth:
+                g, n = sums.reshape(2, models * nodes, -1).take(take, 2)
+                for x, total in ((g, total_g), (n, total_n)):
+                    x[:, first] = total.reshape(-1, 1) - x[:, first + 1]
+                at, gain, left_g, left_n = (x.reshape(models, nodes) for x in _best(g, n, total_g.ravel(), total_n.ravel(), span, *by_node))
+                split = at >= 0
+                f = np.searchsorted(span, at, side="right") - 1
+                trees["feature"][:, here] = np.where(split, columns[f], -1)
+                trees["bin"][:, here] = np.where(split, at - span[f], 0)
+                trees["gain"][:, here] = np.where(split, gain, 0.0)
+            trees["value"][:, here] = np.where(split, 0.0, self.rate[:, None] * leaf)
+            if not split.any():
+                break
+            key, inner = node + m * size, trees["feature"].ravel() >= 0
+            begin, cut = np.maximum(trees["feature"].ravel(), 0) * np.int64(len(self.y)), trees["bin"].ravel().astype(np.uint8)
+            right = flat.take(begin.take(key) + at_row) > cut.take(key)
+            node = np.where(inner.take(key), 2 * node + 1 + right, node)
+            left_g, left_n = np.where(split, left_g, 0.0), np.where(split, left_n, 0.0)
+            right_g, right_n = np.where(split, total_g - left_g, 0.0), np.where(split, total_n - left_n, 0.0)
+            if depth + 1 < spec.depth:
+                sums = self._children(sums, place, grad, node[:, rows] - ((2 << depth) - 1), left_n <= right_n, split)
+            total_g, total_n = (np.stack(x, 2).reshape(models, 2 * nodes) for x in ((left_g, right_g), (left_n, right_n)))
+        self.margin += trees["value"].ravel().take(node + m * size)
+        return trees
+
+    def _root(self, place: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        """Sums of gradients and rows of all sampled rows, (2, models, 1, width)."""
+        out = np.zeros((2, len(grad), 1, self.width))
+        for a in range(0, place.shape[1], PAIRS):
+            part = place[:, a : a + PAIRS].astype(np.int64)
+            out[1] += np.bincount(part.ravel(), minlength=self.width)
+            for k, x in enumerate(grad[:, a : a + PAIRS]):
+                out[0, k, 0] += np.bincount(part.ravel(), np.broadcast_to(x, part.shape).ravel(), self.width)
+        return out
+
+    def _children(self, sums: np.ndarray, place: np.ndarray, grad: np.ndarray, node: np.ndarray, left: np.ndarray, split: np.ndarray) -> np.ndarray:
+        """Sums of the next level, (2, models, nodes, width). node: where rows are in it, below 0 in leaves above; left: whether
+        the left child of each node is the smaller one; split: whether it has children."""
+        models, parents = left.shape
+        small = np.stack((left, ~left), 2).reshape(models, 2 * parents)
+        k, r = np.nonzero((node >= 0) & small[np.arange(models)[:, None], np.maximum(node, 0)])
+        slot, weight = (k * parents + node[k, r] // 2) * self.width, grad[k, r]
+        less = np.zeros((2, models * parents * self.width))
+        for a in range(0, len(k), PAIRS):
+            at = place[:, r[a : a + PAIRS]] + slot[a : a + PAIRS]
+            less[0] += np.bincount(at.ravel(), np.broadcast_to(weight[a : a + PAIRS], at.shape).ravel(), less.shape[1])
+            less[1] += np.bincount(at.ravel(), minlength=less.shape[1])
+        less = less.reshape(2, models, parents, self.width)
+        more, left = sums - less, left[None, :, :, None]
+        more[:, ~split] = 0.0
+        return np.stack((np.where(left, less, more), np.where(left, more, less)), 3).reshape(2, models, 2 * parents, self.width)
+
+    def errors(self) -> list[tuple[float, float, int]]:
+        """errors() of each model's forecasts of the fold's rows to score."""
+        return [errors(self.y[self.scored], x[self.scored]) for x in self.margin]
+
+
+def alike(todo: list[Task], most: int) -> list[list[int]]:
+    """Places of tasks whose models Batch grows together, up to so many."""
+    found: dict[tuple, list[list[int]]] = {}
+    for i, t in enumerate(todo):
+        s = t.spec
+        lists = found.setdefault((t.fold, t.base, t.stages, s.rounds, s.depth, s.seed, s.rows, s.columns, s.l1 > 0), [[]])
+        if len(lists[-1]) == most:
+            lists.append([])
+        lists[-1].append(i)
+    return [x for lists in found.values() for x in lists]
+
+
 # --- Spark ---
 
 _BLOCK = "block long, n long, ids binary, y binary, bins binary, role binary"
@@ -327,29 +471,33 @@ class BinnedTable:
 
     def _by_model(self, todo: list[Task], keep: bool) -> tuple[list[Model], dict[tuple[int, int], tuple[float, float]]]:
         """Blocks go to every group of models, which one task grows."""
-        spark, offsets = self.blocks.sparkSession, self.offsets
-        groups = min(len(todo), 4 * max(1, spark.sparkContext.defaultParallelism))
+        spark, offsets, size = self.blocks.sparkSession, self.offsets, self.rows * (len(self.columns) + 16)
+        cores = max(1, spark.sparkContext.defaultParallelism)
+        batches = alike(todo, max(1, min(BATCH, len(todo) // (4 * cores), BLOCK_ROWS // self.rows)))
+        groups = min(len(batches), max(4 * cores, SPREAD_BYTES // size))
 
         def grow(key, table):
             group = key[0].as_py()
             blocks = [_read_block(r) for r in table.sort_by([("part", "ascending"), ("block", "ascending")]).to_pylist()]
             out = []
-            for m in range(group, len(todo), groups):
-                task = todo[m]
-                margins = [np.full(len(b.y), task.base) for b in blocks]
-                trees, scores = [], []
+            for members in batches[group::groups]:
+                task = todo[members[0]]
+                batch = Batch(blocks, [todo[m].spec for m in members], task.fold, task.base, offsets)
+                trees, scores = [[] for _ in members], [[] for _ in members]
                 for t in range(task.spec.rounds):
-                    trees.append(grow_tree(blocks, margins, task.spec, task.fold, t, offsets))
-                    for b, margin in zip(blocks, margins, strict=True):
-                        margin += added(trees[-1], b.bins, task.spec.depth)
+                    grown = batch.grow(t)
+                    if keep:
+                        for k, mine in enumerate(trees):
+                            mine.append({c: x[k] for c, x in grown.items()})
                     if t + 1 in task.stages:
-                        scores.append((t + 1, *map(sum, zip(*(errors(b.y[v], margin[v]) for b, margin in zip(blocks, margins, strict=True) for v in [b.role[:, task.fold] == 2]), strict=True))))
-                out.append({"model": m, "trees": _pack_tree(trees if keep else []), "rounds": [s[0] for s in scores], "mape": [s[1] for s in scores], "mae": [s[2] for s in scores], "n": [s[3] for s in scores]})
+                        for mine, found in zip(scores, batch.errors(), strict=True):
+                            mine.append((t + 1, *found))
+                out += [{"model": m, "trees": _pack_tree(mine), "rounds": [s[0] for s in score], "mape": [s[1] for s in score], "mae": [s[2] for s in score], "n": [s[3] for s in score]} for m, mine, score in zip(members, trees, scores, strict=True)]
             return pa.Table.from_pylist(out, schema)
 
         schema = pa.schema([("model", pa.int32()), ("trees", pa.binary()), ("rounds", pa.list_(pa.int32())), ("mape", pa.list_(pa.float64())), ("mae", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
         dealt = self.blocks.select(F.spark_partition_id().alias("part"), "*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-        found = dealt.repartition(groups, "group").groupBy("group").applyInArrow(grow, "model int, trees binary, rounds array<int>, mape array<double>, mae array<double>, n array<long>")
+        found = dealt.repartition(4 * groups, "group").groupBy("group").applyInArrow(grow, "model int, trees binary, rounds array<int>, mape array<double>, mae array<double>, n array<long>")
         models, scores = [None] * len(todo), {}
         for r in found.collect():  # a row a model
             models[r["model"]] = Model(todo[r["model"]].spec, todo[r["model"]].base, _unpack_trees(r["trees"], todo[r["model"]].spec.depth))
