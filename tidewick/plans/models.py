@@ -9,7 +9,7 @@ from ..operators import dataset, eda, features, information, tuning
 from ..sources import bars as src
 from ..sources.forecasts import pick_model
 from ..sources.paths import read_json, saved, shared_folder
-from . import oracle as q
+from . import files, oracle as q  # files: its queries are in the same catalog
 from .catalog import ORACLES, QUERIES, _dataset, query, rounded
 
 
@@ -83,4 +83,4 @@ def eda_summary(spark, sf_dir):
     return spark.createDataFrame(eda.as_rows(read_json(spark, f"{at}/eda_k10_summary.json")), "what string, name string, value double")
 
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "files"]
