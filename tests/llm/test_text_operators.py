@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidewick.llm import bm25, bpe, chat, common, lm, repeats, secrets, sketch, toxicity, warc
+from tidewick.llm import bm25, bpe, chat, common, lm, queries, repeats, secrets, sketch, toxicity, warc
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -395,6 +395,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch, length, seed, index_bytes
     assert repeats.drop_repeats(frame(spark, []), length=length).count() == 0
 
 
+def test_repeats_show_what_goes_and_what_stays(spark, tmp_path):
+    """A passage of over 50 words and 400 bytes is gone from both texts, one of fewer bytes stays in both, and other texts stay whole."""
+    rng = random.Random(23)
+    words = lambda n, least=4: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(least, 9))) for _ in range(n))
+    passage, short, copy = words(80, 5), " ".join(x[:5] for x in words(55).split()), words(70, 6)
+    # What is ahead of the shared bytes ends in code points with the same last byte, which goes too.
+    shared = words(90)
+    texts = [f"{words(40)} 0<{passage}>0 {words(40)}", f"{words(9)} 1[{passage}]1", f"2{short}2 {words(60)}", f"{words(60)} 3{short}3", f"x\u00e9{shared}4", f"y\u0169{shared}5", words(90), copy, copy, None, ""]
+    assert len(short) < 400 < min(len(passage), len(shared), len(copy))
+    rows = list(enumerate(texts))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    d = queries.op7_suffix_array_dedup(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in d.collect())
+    assert d.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_chars", "spans", "kept_text"]
+    assert sorted((r[:6] for r in got), key=str) == plain_repeats(rows, 400)
+    for r, t in zip(got, ((t or "").encode() for t in texts), strict=True):
+        spans = [tuple(map(int, x.split(":"))) for x in r[6].split(",") if x]
+        edges = [0, *itertools.chain(*spans), len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        assert len(spans) == r[3] and hashlib.sha256(kept).hexdigest() == r[4] and kept.decode(errors="ignore") == r[7]
+    left = [r[7] for r in got]
+    assert left == [texts[0].replace(passage, ""), texts[1].replace(passage, ""), *texts[2:4], "x4", "y5", texts[6], "", "", "", ""]
+
+
 def test_long_texts_in_pieces(monkeypatch):
     rng = random.Random(9)
     body = "".join(rng.choice("abcd") for _ in range(3000))
