@@ -81,6 +81,50 @@ def test_variants_of_variants_equal_brute_force(spark):
         assert run(spark, rows, k=k, num=num, small_list=3) == brute(rows, k, num, 100)
 
 
+def fringed(rng, n, most):
+    """A large family: half of its texts have few edits, half up to `most`; edits take one of few words, so they are shared."""
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, 3) if i % 2 else rng.randint(4, most)):
+            p, u = rng.randrange(len(w)), rng.random()
+            if u < 0.15:
+                del w[p]
+            elif u < 0.2:
+                w.insert(p, f"e{rng.randrange(4)}")
+            else:
+                w[p] = f"e{rng.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "num", "seed"), [(3, 90, 41)])
+def test_large_family_equals_brute_force_in_few_levels(spark, monkeypatch, k, num, seed):
+    """Texts at the border of a family don't take a level for each few of them."""
+    import tidewick.llm.jaccard as j
+
+    levels = []
+    write = j.cut
+    monkeypatch.setattr(j, "cut", lambda df, name, by=None: levels.append(name) or write(df, name, by))
+    rows = fringed(random.Random(seed), 240, 14)
+    assert run(spark, rows, k=k, num=num, small_list=8) == brute(rows, k, num, 100)
+    assert sum(x.startswith("lists-") for x in levels) <= 2
+
+
+def test_differences_from_what_most_have(spark):
+    """A pivot that lacks what nearly all have gives way to a nearer one, and no token is a difference of more than half."""
+    import tidewick.llm.jaccard as j
+
+    few = list(range(10, 40))
+    sets = {1: few[3:], 2: few + [50], 3: few + [51], 4: few + [52, 53, 54], 5: few[1:] + [55]}
+    sy = spark.createDataFrame([(y, len(v), v) for y, v in sets.items()], "y long, ny long, ky array<long>")
+    first = [(x, 1, len(v), len(sets[1]), [t for t in v if t not in sets[1]], [t for t in sets[1] if t not in v], len(v), len(sets[1]), True) for x, v in sets.items() if x != 1]
+    df = spark.createDataFrame(first, "x long, y long, nx long, ny long, plus array<long>, minus array<long>, sx int, sy int, same boolean")
+    (got,) = j._centres(df, sy).collect()
+    assert (got["of"], got["c"], sorted(got["km"])) == (1, 2, few)
+
+
 def test_finer_ranges_by_several_exchanges(spark, monkeypatch):
     import tidewick.llm.jaccard as j
 

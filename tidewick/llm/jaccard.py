@@ -14,9 +14,13 @@
        |x & y| = |p| - |p-x| - |p-y| + s,   s = tokens in which both differ from p,
    so a class outside the family can only link with classes that share enough of its differences
    from p: these are indexed by prefix in turn, only as far as they can still reach the bound, and a
-   list pairs the classes outside the family, which ask, with those that answer. Lists with more than
-   `small_list` of both get a pivot each, the least of their classes, and differences from it, until
-   no list is long: pivots grow from level to level, so this ends.
+   list pairs the classes outside the family, which ask, with those that answer. Tokens that p has
+   and x lost are lost by a share of a large family, so their lists are long. But x and y share at
+   most the lesser number of them, so unless y is shorter than p by more than x is from a link with
+   p, they share tokens that p lacks, which few have: those that answer are dealt by how much
+   shorter they are, and x asks each such band only for what a partner there must share. A list with
+   many of both gets a pivot, the least of its classes, and differences from it, where pairing
+   it would take more than `pairs_a_row` times the rows of the level: pivots grow from level to level, so this ends.
 5. Verified links, and the families in between, go to connected components.
 
 No pair of different components is lost: the filters are bounds, and there is no cap on lists or partners.
@@ -24,6 +28,7 @@ No pair of different components is lost: the filters are bounds, and there is no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +45,8 @@ _PACKED = pa.schema([("r", pa.int32()), *((c, pa.binary()) for c in ("doc_ids",
 FAN_OUT = 512
 #: Bytes of packed shingles that are merged before they are dealt to finer ranges.
 SPLIT_BYTES = 24 << 20
+#: Differences from a pivot that a pair must share, at most, before it is verified.
+MATCHES = 8
 
 
 def set_digest(keys: np.ndarray) -> int:
@@ -238,7 +245,7 @@ def _packed_shingles(docs: DataFrame, k: int, ranges: int) -> tuple[DataFrame, i
     return dealt(packed, many), many
 
 
-def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 100, max_match: int = 3, verify_cost: float = 4.0, small_list: int = 32) -> DataFrame:
+def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 100, max_match: int = 3, verify_cost: float = 4.0, small_list: int = 32, pairs_a_row: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text); other columns are ignored.
 
     Two documents link if den * |A & B| >= num * |A | B| over their sets of k-word shingles (A-Z lower-cased,
@@ -267,7 +274,7 @@ def link_components(docs: DataFrame, *, k: int = 3, num: int = 90, den: int = 10
     sets = cut(sets.join(classes.select("digest", "n"), "digest").where(F.size("keys") * den >= F.col("n") * num), "shingle-sets")
     drop_cut(merged, "part=shingles")
     release(spark)
-    roots = _roots(sets, num, den, max_match, verify_cost, small_list)
+    roots = _roots(sets, num, den, max_match, verify_cost, small_list, pairs_a_row)
     drop_cut(sets)
     joined = classes.join(roots.withColumnRenamed("node", "digest"), "digest")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -307,7 +314,7 @@ def _prefixes(sets: DataFrame, num: int, den: int, max_match: int, verify_cost:
     return lists.select(F.xxhash64("token").alias("list"), "x", "n", F.col("l").cast("int").alias("need"), (F.col("i") + F.col("u")).cast("int").alias("at"), "u", F.lit(True).alias("probe"), F.lit(True).alias("index"))
 
 
-def _roots(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: float, small_list: int) -> DataFrame:
+def _roots(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: float, small_list: int, pairs_a_row: int) -> DataFrame:
     """(node, root) of every class that has a link."""
     sx, sy = (sets.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "xy")
     linked = F.col("inter") * (num + den) >= (F.col("nx") + F.col("ny")) * num
@@ -330,11 +337,12 @@ def _roots(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: flo
     while True:
         lists = rooted(lists, "x", "root")
         # A list's pairs are those of a row that asks and one that answers: with few of either they are few a row.
-        stats = lists.groupBy("list").agg(F.min(F.struct("u", "x")).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"), F.least(F.count_if("probe"), F.count_if("index")).alias("c"))
-        stats = stats.where("c > 0 and low < high").select("list", "c", F.col("pivot.x").alias("p"))
-        held = cut(lists.join(stats, "list").select("list", "x", "n", "need", "at", "probe", "index", "root", "c", "p"), f"lists-{level}")
-        long = held.where(F.col("c") > small_list)
-        found = verified(_pairs(held.where(F.col("c") <= small_list), num, den, level == 0)).withColumn("star", F.lit(False))
+        stats = lists.groupBy("list").agg(F.min(F.struct("u", "x")).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"), F.least(F.count_if("probe"), F.count_if("index")).alias("c"), F.greatest(F.count_if("probe"), F.count_if("index")).alias("by"))
+        stats = stats.where("c > 0 and low < high").select("list", "c", "by", F.col("pivot.x").alias("p"))
+        held = cut(lists.join(stats, "list").select("list", "x", "n", "need", "at", "probe", "index", "root", "c", "by", "p"), f"lists-{level}")
+        most = small_list if level == 0 else _longest(held, small_list, pairs_a_row)
+        long = held.where(F.col("c") > most)
+        found = verified(_pairs(held.where(F.col("c") <= most), num, den, level == 0)).withColumn("star", F.lit(False))
         if level == 0:
             first = long.where("x <> p").groupBy("x").agg(F.min_by("p", F.struct("at", "list")).alias("y"))
             found = found.unionByName(verified(first).withColumn("star", F.lit(True)))
@@ -350,42 +358,108 @@ def _roots(sets: DataFrame, num: int, den: int, max_match: int, verify_cost: flo
             near = near.withColumnRenamed("p", "y")
         open_ = near.where("rx <> rp").select("y").distinct()
         near = near.join(open_, "y", "left_semi").where("x <> y").select("x", "y", (F.col("rx") == F.col("rp")).alias("same"))
-        star = near.join(sx, "x").join(sy, "y").select("x", "y", "nx", "ny", F.array_except("kx", "ky").alias("plus"), F.array_except("ky", "kx").alias("minus"), F.size("kx").alias("sx"), F.size("ky").alias("sy"), "same")
-        star = star.withColumn("inter", F.col("sx") - F.size("plus")).withColumn("new", linked & ~F.col("same")).withColumn("same", F.col("same") | linked)
+        first = near.join(sx, "x").join(sy, "y").select("x", "y", "nx", "ny", F.array_except("kx", "ky").alias("plus"), F.array_except("ky", "kx").alias("minus"), F.size("kx").alias("sx"), F.size("ky").alias("sy"), "same")
+        first = first.withColumn("inter", F.col("sx") - F.size("plus")).withColumn("new", linked & ~F.col("same")).withColumn("same", F.col("same") | linked)
+        first = cut(first, f"pivots-{level}")
+        drop_cut(held)
+        if first.isEmpty():
+            drop_cut(first)
+            return roots if roots is not None else grown(found)
+        centres = cut(_centres(first, sy), f"centres-{level}")
+        both = first.select("x", F.col("y").alias("of"), "same").join(centres, "of").where("x <> c").join(sx, "x").join(sy.withColumnRenamed("y", "c"), "c")
+        both = both.select("x", "of", F.col("c").alias("y"), "nx", "ny", "same", "km", F.array_except("kx", "ky").alias("plus"), F.array_except("ky", "kx").alias("minus"), F.array_except("kx", "km").alias("pm"), F.array_except("km", "kx").alias("mm"), F.size("kx").alias("sx"), F.size("ky").alias("sy"))
+        both = both.withColumn("inter", F.col("sx") - F.size("plus")).withColumn("new", linked & ~F.col("same")).withColumn("same", F.col("same") | linked)
+        far = (F.col("sx") - F.size("pm")) * (num + den) < (F.col("nx") + F.size("km")) * num
+        pivot = F.struct("y", F.col("ny").alias("ny"), "sy", "plus", "minus", (~F.col("same") & ~far).alias("open"), "new")
+        most = F.struct(F.xxhash64("of", F.lit("most")).alias("y"), F.size("km").cast("long").alias("ny"), F.size("km").alias("sy"), F.col("pm").alias("plus"), F.col("mm").alias("minus"), (~F.col("same") & far).alias("open"), F.lit(False).alias("new"))
+        star = both.select("x", "nx", "sx", F.explode(F.array(pivot, most)).alias("to")).select("x", "nx", "sx", "to.*").withColumn("inter", F.col("sx") - F.size("plus"))
         star = cut(_differences(star, num, den), f"stars-{level}")
-        more = star.where("new").select("x", "y")
+        more = first.where("new").select("x", "y").unionByName(star.where("new").select("x", "y"))
         if not more.isEmpty():
             roots = grown(more)
-        drop_cut(held)
+        drop_cut(first)
+        drop_cut(centres)
         if star.where("asks > 0").isEmpty():
             drop_cut(star)
             return roots if roots is not None else grown(found)
-        e = star.where("asks > 0 or answers > 0").select("x", "y", "n", "u", "asks", "answers", F.posexplode("tokens").alias("at", "token"))
-        lists = e.select(F.xxhash64("y", "token").alias("list"), "x", "n", F.lit(1).alias("need"), "at", "u", (F.col("at") < F.col("asks")).alias("probe"), (F.col("at") < F.col("answers")).alias("index"))
+        lists = _bands(star, num, den)
         level += 1
 
 
+def _centres(first: DataFrame, sy: DataFrame) -> DataFrame:
+    """For each pivot `of`: km, the tokens that most of its classes have, and c, that of its own component which is nearest to these.
+
+    A pivot lacks some tokens that nearly all others have, which then are differences of all of these; from km no
+    difference is one of more than half of them.
+    """
+    nothing = F.array().cast("array<long>")
+    each = first.select("y", F.explode("plus").alias("token"), F.lit(True).alias("gained")).unionByName(first.select("y", F.explode("minus").alias("token"), F.lit(False).alias("gained")))
+    common = each.groupBy("y", "gained", "token").count().join(first.groupBy("y").agg(F.count(F.lit(1)).alias("many")), "y").where("2 * count > many")
+    common = common.groupBy("y").agg(F.collect_list(F.when(F.col("gained"), F.col("token"))).alias("gained"), F.collect_list(F.when(~F.col("gained"), F.col("token"))).alias("lost"))
+    off = F.size("plus") + F.size("minus") - 2 * (F.size(F.array_intersect("plus", "gained")) + F.size(F.array_intersect("minus", "lost"))) + F.col("nx") - F.col("sx") - (F.col("ny") - F.col("sy"))
+    nearer = first.where("same").join(common, "y").withColumn("off", off).where("off < 0").groupBy("y").agg(F.min_by("x", F.struct("off", "x")).alias("c"))
+    found = first.select("y").distinct().join(sy, "y").join(common, "y", "left").join(nearer, "y", "left")
+    return found.select(F.col("y").alias("of"), F.coalesce("c", "y").alias("c"), F.concat(F.array_except("ky", F.coalesce("lost", nothing)), F.coalesce("gained", nothing)).alias("km"))
+
+
+def _longest(held: DataFrame, small_list: int, pairs_a_row: int) -> int:
+    """The length up to which lists are paired: as long as all pairs of a level are in proportion to its rows."""
+    sizes = held.groupBy("list", "c", "by").count().groupBy(F.floor(F.log2("c")).alias("power")).agg(F.sum(F.col("c") * F.col("by")).alias("pairs"), F.sum("count").alias("rows")).orderBy("power").collect()
+    left, most = pairs_a_row * sum(r["rows"] for r in sizes), small_list
+    for r in sizes:
+        left -= r["pairs"]
+        if left < 0:
+            break
+        most = max(most, (2 << r["power"]) - 1)
+    return most
+
+
+def _bands(star: DataFrame, num: int, den: int) -> DataFrame:
+    """Posting lists of differences, by the pivot and how much shorter than it those that answer are: by 0, 1, 2 to 3, 4 to 7, ... tokens.
+
+    A partner z that is shorter than y by at most d shares at least excess(x) - t d tokens with x that y lacks, as it
+    shares at most min(|y - x|, |y - z|) of the others, where excess(x) = t (|x| + |y|) - |x & y| > 0. Up to MATCHES of them count.
+    """
+    t, eps = num / (num + den), 1e-6
+    shorter = F.when(F.col("short") <= 0, F.lit(0)).otherwise(F.floor(F.log2(F.greatest(F.lit(1), "short"))) + 1).cast("int")
+    star = star.withColumn("band", shorter)
+    star = star.join(star.where("asks > 0").select("y").distinct(), "y", "left_semi")
+    answers = star.where("answers > 0").select("y", F.col("band").alias("of"), "x", "n", F.lit(1).alias("need"), "u", F.posexplode(F.slice("tokens", 1, F.col("answers"))).alias("at", "token"), F.lit(False).alias("probe"), F.lit(True).alias("index"))
+    bands = star.where("answers > 0").select("y", F.col("band").alias("of")).distinct()
+    least = F.greatest(F.ceil(F.col("excess") - t * (F.pow(F.lit(2.0), F.col("of")) - 1) - eps), F.ceil((F.col("excess") - t * F.col("gone")) / (1 - t) - eps))
+    asked = star.where("asks > 0").join(bands, "y").withColumn("least", least).withColumn("need", F.greatest(F.lit(1), F.least(F.lit(MATCHES), "least")).cast("int"))
+    far = F.when(F.col("least") < 1, F.col("asks")).when(F.col("plus") < F.col("least"), F.lit(0)).otherwise(F.col("plus") - F.col("least") + F.col("need"))
+    asked = asked.withColumn("asks", far.cast("int")).where("asks > 0")
+    asked = asked.select("y", "of", "x", "n", "need", "u", F.posexplode(F.slice("tokens", 1, F.col("asks"))).alias("at", "token"), F.lit(True).alias("probe"), F.lit(False).alias("index"))
+    return asked.unionByName(answers).select(F.xxhash64("y", "of", "token").alias("list"), "x", "n", "need", "at", "u", "probe", "index")
+
+
 def _pairs(small: DataFrame, num: int, den: int, prefixes: bool) -> DataFrame:
     """Candidates (x, y) of different components that share enough lists; of prefix lists, the first shared place bounds the overlap."""
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "need", "at", "root")]
     pairs = small.where("probe").select("list", *side("a")).join(small.where("index").select("list", *side("b")), "list")
     pairs = pairs.where((F.col("x_a") < F.col("x_b") if prefixes else F.col("x_a") != F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
     if not prefixes:
+        # By several pivots a pair is counted together, so that none is lost.
+        pairs = pairs.groupBy("x_a", "x_b").agg(F.count(F.lit(1)).alias("c"), F.min("need_a").alias("need")).where("c >= need")
         return pairs.select(F.least("x_a", "x_b").alias("x"), F.greatest("x_a", "x_b").alias("y")).distinct()
     pairs = pairs.groupBy(F.col("x_a").alias("x"), F.col("x_b").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least("need_a", "need_b")).alias("need"), F.min("at_a").alias("i"), F.min("at_b").alias("j"), F.first("n_a").alias("nx"), F.first("n_b").alias("ny"))
     return pairs.where("c >= need").where(F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) * (num + den) >= (F.col("nx") + F.col("ny")) * num)
 
 
 def _differences(star: DataFrame, num: int, den: int) -> DataFrame:
-    """The tokens in which each class x differs from its pivot y, as far as links outside the pivot's component can depend on them.
+    """The tokens in which each class x differs from a set y, as far as links outside the pivot's component can depend on them.
+
+    y is the pivot, or what most of its classes have; those that ask (open) are outside the component and would not link with y.
 
     In the order: tokens that the pivot lacks, rarest first, those that only the pivot has, commonest first, the
     pivot's unshared tokens as one. With t = num / (num + den), x and z link if they share
         s >= a(x) + a(z) of them,   a(x) = t |x| + |y - x| - |y| / 2.
     * A partner z that shares `plus` of the first kind and `minus` of the second has at least that many, so
       (1 - t) plus + t minus >= A(x) = t (|x| + |y|) + |y - x| - |y|: what is left behind a token in x's order must weigh as much.
-    * One of the two isn't linked with y, so for the other s >= B(z) = t (|z| - |y|) + |y - z| + 1 / (num + den).
-    asks tokens of a class outside the component are looked up; answers tokens of any class are found.
+    * One of the two asks and so would not link with y, so for the other s >= B(z) = t (|z| - |y|) + |y - z| + 1 / (num + den).
+    asks tokens of a class outside the component are looked up; answers tokens of any class are found, with as many
+    more of the first kind as let MATCHES shared ones be seen: before the last of them are MATCHES - 1 that weigh 1 - t at most.
     """
     t, eps = num / (num + den), 1e-6
     plus, gone, own = F.size("plus"), F.col("ny") - F.col("inter"), F.col("ny") - F.col("sy")
@@ -394,8 +468,10 @@ def _differences(star: DataFrame, num: int, den: int) -> DataFrame:
     b = t * (F.col("nx") - F.col("ny")) + gone + 1 / (num + den)
     reach = F.when(gone * t >= a - eps, F.floor(whole - a / t + eps) + 1).otherwise(F.floor(plus - (a - gone * t) / (1 - t) + eps) + 1)
     bound = lambda n: F.greatest(F.lit(0), F.least(whole, n)).cast("int")
-    asks = F.when(F.col("same"), F.lit(0)).otherwise(bound(reach))
-    answers = bound(F.least(reach, F.floor(whole - b + eps) + 1))
+    asks = F.when(F.col("open"), bound(reach)).otherwise(F.lit(0))
+    answers = F.least(reach, F.floor(whole - b + eps) + 1)
+    answers = F.when(answers < 1, F.lit(0)).otherwise(bound(F.greatest(answers, F.least(plus, answers + math.ceil((MATCHES - 1) * den / num)))))
     tokens = F.concat("plus", F.reverse("minus"), F.when(own > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
-    d = star.select("x", "y", F.col("nx").alias("n"), (F.col("nx") - F.col("sx")).cast("int").alias("u"), "new", asks.alias("asks"), answers.alias("answers"), tokens.alias("tokens"))
-    return d.withColumn("tokens", F.slice("tokens", 1, F.greatest("asks", "answers")))
+    d = star.select("x", "y", F.col("nx").alias("n"), (F.col("nx") - F.col("sx")).cast("int").alias("u"), "new", asks.alias("asks"), answers.cast("int").alias("answers"), plus.alias("plus"), gone.alias("gone"), a.alias("excess"), (F.col("ny") - F.col("nx")).alias("short"), tokens.alias("tokens"))
+    # Of the first kind, those that ask may need more for MATCHES.
+    return d.withColumn("tokens", F.slice("tokens", 1, F.greatest("asks", "answers", F.when(F.col("asks") > 0, F.col("plus")).otherwise(0))))
