@@ -99,7 +99,7 @@ def fringed(rng, n, most):
     return rows
 
 
-@pytest.mark.parametrize(("k", "num", "seed"), [(3, 90, 41)])
+@pytest.mark.parametrize(("k", "num", "seed"), [(3, 90, 41), (5, 80, 42)])
 def test_large_family_equals_brute_force_in_few_levels(spark, monkeypatch, k, num, seed):
     """Texts at the border of a family don't take a level for each few of them."""
     import tidewick.llm.jaccard as j
